@@ -73,5 +73,37 @@ FROM pages2 p LEFT JOIN best b USING (row_id)
 """
 
 
+#: Every overlap of 13 words with 11 equal has four equal words in a row, whichever 2 differ.
+OP6 = r"""
+WITH doc_words AS (
+  SELECT row_number() OVER () AS row_id, doc_id,
+         list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS w
+  FROM documents
+), item_words AS (
+  SELECT row_number() OVER () AS item_row, item_id,
+         list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS w
+  FROM benchmark
+), doc_grams AS (
+  SELECT row_id, i AS at, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] AS gram
+  FROM doc_words, unnest(range(1, len(w) - 2)) AS t(i)
+), item_grams AS (
+  SELECT item_row, i AS at, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] AS gram
+  FROM item_words, unnest(range(1, len(w) - 2)) AS t(i) WHERE len(w) >= 5
+), diagonals AS (
+  SELECT DISTINCT d.row_id, b.item_row, d.at - b.at AS shift FROM doc_grams d JOIN item_grams b USING (gram)
+), laid AS (
+  SELECT d.doc_id, b.item_id, g.shift, least(13, len(b.w)) AS wide, len(b.w) AS n, len(d.w) AS n_doc, d.w AS dw, b.w AS bw
+  FROM diagonals g JOIN doc_words d USING (row_id) JOIN item_words b USING (item_row)
+), counted AS (
+  SELECT doc_id, item_id, shift, wide, s,
+         list_sum([CASE WHEN dw[s + shift + j] = bw[s + j] THEN 1 ELSE 0 END for j in range(0, wide)]) AS equal
+  FROM laid, unnest(range(greatest(1, 1 - shift), least(n, n_doc - shift) - wide + 2)) AS t(s)
+)
+SELECT doc_id, item_id, max(equal)::BIGINT AS equal_words, min(s + shift - 1)::BIGINT AS first_word
+FROM counted WHERE equal >= CASE WHEN wide < 13 THEN wide ELSE 11 END
+GROUP BY doc_id, item_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": op2_sql(), "op4_url_filter": OP4}
+    return {"op2_mix_sources": op2_sql(), "op4_url_filter": OP4, "op6_decontamination": OP6}
