@@ -98,19 +98,22 @@ def contaminated(
         )
         found = hits if found is None else found.unionByName(hits)
     same = F.transform(F.sequence(F.lit(1), F.least(F.size("a"), F.size("b"))), lambda i: F.when(F.get("a", i - 1) == F.get("b", i - 1), 1).otherwise(0))
-    laid = found.where(F.least(F.size("a"), F.size("b")) >= F.col("wide")).select("doc_id", "item_id", "wide", "from", same.alias("same"))
+    # No filter before the grouping: it would become a condition of the join, end the scan's generated code
+    # and so copy every text's words for each of its places.
+    laid = found.select("doc_id", "item_id", "wide", "from", same.alias("same"))
     counts = F.transform(
-        F.sequence(F.lit(1), F.size("same") - F.col("wide") + 1),
+        F.when(F.size("same") >= F.col("wide"), F.sequence(F.lit(1), F.size("same") - F.col("wide") + 1)),
         lambda s: F.aggregate(F.slice("same", s, F.col("wide")), F.lit(0), lambda x, y: x + y),
     )
     least = F.when(F.col("wide") < overlap, F.col("wide")).otherwise(F.lit(need))
     counted = laid.select("doc_id", "item_id", "from", least.alias("least"), counts.alias("counts"))
     judged = counted.select(
-        "doc_id", "item_id", F.array_max("counts").alias("best"), "least",
+        "doc_id", "item_id", F.struct(F.array_max("counts").alias("best"), "least").alias("got"),
         (F.col("from") + F.array_position(F.transform("counts", lambda c: c >= F.col("least")), True) - 1).alias("first"),
     )
+    passes = F.col("got.best") >= F.col("got.least")
     return (
-        judged.where("best >= least")
-        .groupBy("doc_id", "item_id")
-        .agg(F.max("best").cast("long").alias("equal_words"), F.min("first").cast("long").alias("first_word"))
+        judged.groupBy("doc_id", "item_id")
+        .agg(F.max(F.when(passes, F.col("got.best"))).cast("long").alias("equal_words"), F.min(F.when(passes, F.col("first"))).cast("long").alias("first_word"))
+        .where("equal_words IS NOT NULL")
     )
