@@ -117,3 +117,16 @@ def contaminated(
         .agg(F.max(F.when(passes, F.col("got.best"))).cast("long").alias("equal_words"), F.min(F.when(passes, F.col("first"))).cast("long").alias("first_word"))
         .where("equal_words IS NOT NULL")
     )
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that overlap no item.
+
+    Rows are known by a hash of id and text, so a clean row stays even where another of its id goes. What is
+    found, a hash a row, is joined by whichever way Spark's own size checks choose.
+    """
+    key = F.xxhash64(F.col(id_col), F.lit(0), F.col(text_col))
+    texts = docs.select(key.alias("row_key"), F.col(text_col).alias("text"))
+    found = common.cut(contaminated(texts, benchmark, id_col="row_key", **settings).select(F.col("doc_id").alias("row_key")).distinct())
+    held = docs.select(key.alias("row_key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return held.join(found, "row_key", "left_anti").select("row.*")

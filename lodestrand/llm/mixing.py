@@ -49,7 +49,7 @@ def mix(
     docs: DataFrame, *, weights: Sequence[int] = (1, 2, 3), cap: int = 3, seed: str = SEED, id_col: str = "doc_id",
     text_col: str = "text", source_col: str = "source", bucket_digits: int = 2,
 ) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken of every row.
+    """doc_id, source, size, source_size, target, copies, taken of every row.
 
     Null texts have size 0, null sources form a source of their own, the last. Repeated rows count each
     for itself; a null id is an id like another; an empty table gives an empty result; other columns
@@ -60,14 +60,37 @@ def mix(
     within a bucket. So a source with a third of all rows, or that many rows of one size, is spread over
     ``16 ** bucket_digits`` buckets a size class and no task holds a source.
     """
-    sizes = common.cut(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).alias("source"),
-            F.coalesce(F.regexp_count(F.col(text_col), F.lit(common.WORD)), F.lit(0)).cast("long").alias("size"),
-        )
+    sizes = common.cut(_sized(docs, id_col, text_col, source_col))
+    rows, starts = _laid_out(sizes, sizes, weights, cap, seed, bucket_digits)
+    return _copies(rows, starts, cap).select(
+        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
-    spark = docs.sparkSession
+
+
+def emit(
+    docs: DataFrame, *, weights: Sequence[int] = (1, 2, 3), cap: int = 3, seed: str = SEED, id_col: str = "doc_id",
+    text_col: str = "text", source_col: str = "source", bucket_digits: int = 2, number: str = "copy_number",
+) -> DataFrame:
+    """The rows of ``docs`` as often as ``mix`` takes them, all columns as they are, with ``number`` from 1.
+
+    If ``docs`` has a column of that name, the new one gets an underscore more. Texts are shuffled once.
+    """
+    while number.lower() in (c.lower() for c in docs.columns):
+        number += "_"
+    narrow = common.cut(_sized(docs, id_col, text_col, source_col))
+    whole = _sized(docs, id_col, text_col, source_col, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    rows, starts = _laid_out(narrow, whole, weights, cap, seed, bucket_digits)
+    taken = _copies(rows, starts, cap).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("n"))
+    return taken.select("row.*", F.col("n").alias(number))
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more) -> DataFrame:
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(common.WORD)), F.lit(0)).cast("long")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), *more)
+
+
+def _laid_out(sizes: DataFrame, rows: DataFrame, weights, cap: int, seed: str, bucket_digits: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with their source's plan and their bucket, and where each bucket starts on its source's line."""
     totals = sizes.groupBy("source").agg(F.sum("size")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"a mix has {MAX_SOURCES} sources at most")
@@ -75,19 +98,28 @@ def mix(
         (i, source, size, target, (target / size if size else 0.0), offset(i, seed))
         for i, (source, size, target) in enumerate(target_words([tuple(r) for r in totals], weights, cap))
     ]
-    plan_df = spark.createDataFrame(
-        plan, f"sid int, name {dict(sizes.dtypes)['source']}, source_size long, target double, rate double, shift double"
+    kind = dict(sizes.dtypes)["source"]
+    plan_df = sizes.sparkSession.createDataFrame(
+        plan, f"sid int, name {kind}, source_size long, target double, rate double, shift double"
     )
     bits = F.bin("size")
-    rows = (
-        sizes.join(F.broadcast(plan_df), F.col("source").eqNullSafe(F.col("name")))
-        .withColumn("cls", F.length(bits) * 4 + F.coalesce(F.try_to_number(F.substring(F.rpad(bits, 3, "0"), 2, 2), F.lit("99")), F.lit(0)).cast("int"))
-        .withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-        .withColumn("bucket", F.substring("h", 1, bucket_digits))
-    )
-    keys = ["sid", "cls", "bucket"]
+
+    def placed(df: DataFrame) -> DataFrame:
+        return (
+            df.join(F.broadcast(plan_df), F.col("source").eqNullSafe(F.col("name")))
+            .withColumn("cls", F.length(bits) * 4 + F.substring(F.rpad(bits, 3, "0"), 2, 2).cast("int"))
+            .withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+            .withColumn("bucket", F.substring("h", 1, bucket_digits))
+        )
+
     before = Window.partitionBy("sid").orderBy("cls", "bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).select(*keys, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    counts = placed(sizes).groupBy("sid", "cls", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    starts = counts.select("sid", "cls", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return placed(rows), starts
+
+
+def _copies(rows: DataFrame, starts: DataFrame, cap: int) -> DataFrame:
+    keys = ["sid", "cls", "bucket"]
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("size", "h", "doc_id"))
     end = F.floor(F.col("shift") + F.col("place") * F.col("rate"))
     begin = F.floor(F.col("shift") + (F.col("place") - 1) * F.col("rate"))
@@ -96,5 +128,4 @@ def mix(
         .join(starts, keys)
         .withColumn("place", (F.col("start") + F.col("in_bucket")).cast("double"))
         .withColumn("copies", F.least(end - begin, F.lit(cap)).cast("long"))
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     )

@@ -189,6 +189,28 @@ def near_duplicates(
     return rows.join(component_of(rows, bits=bits, max_cell=max_cell), "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, *, bits: int = BITS, shingle: int = 3, max_cell: int = MAX_CELL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group, all columns as they are: that with the smallest id (null last), then text hash.
+
+    Of repeated rows of that id and text one is kept, whichever. Texts are shuffled once, by a hash of id and
+    text; fingerprints and groups are worked out on narrow rows before.
+    """
+    key = F.xxhash64(F.col(id_col), F.lit(0), F.col(text_col))
+
+    def make():
+        return lambda batch: pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array([fingerprint(b.as_py(), shingle) for b in batch.column("body")], pa.int64()), batch.column("row_key")],
+            ["doc_id", "fp", "row_key"],
+        )
+
+    rows = common.cut(common.map_batches(common.text_bytes(docs, id_col, text_col, key.alias("row_key")), make, "doc_id long, fp long, row_key long"))
+    grouped = rows.join(component_of(rows, bits=bits, max_cell=max_cell).select("fp", "node"), "fp")
+    first = F.min(F.struct(F.isnull("doc_id"), "doc_id", "row_key"))["row_key"]
+    winners = grouped.groupBy("node").agg(first.alias("row_key")).select("row_key")
+    held = docs.select(key.alias("row_key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return held.join(winners.hint("shuffle_hash"), "row_key").dropDuplicates(["row_key"]).select("row.*")
+
+
 def component_of(rows: DataFrame, *, bits: int = BITS, max_cell: int = MAX_CELL) -> DataFrame:
     """fp, component_id, node: for each distinct fp of ``rows`` (doc_id, fp), its group's smallest id and fp."""
     nodes = common.cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
