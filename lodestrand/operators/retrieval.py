@@ -11,6 +11,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.checkpoints import keep
 from . import graph, vectors
 
 #: Systems in their order of display, and the rankings.
@@ -81,12 +82,12 @@ class Retrieval:
     @property
     def seeds(self) -> DataFrame:
         c, s = self.corpus, self.settings
-        return self._once("seeds", lambda: vectors.seeds(self.asked, c.points, s.seeds, chunks_each=s.chunks_each).persist())
+        return self._once("seeds", lambda: keep(vectors.seeds(self.asked, c.points, s.seeds, chunks_each=s.chunks_each)))
 
     @property
     def smart(self) -> DataFrame:
         c, s = self.corpus, self.settings
-        return self._once("smart", lambda: vectors.smart_seeds(self.asked, c.points, c.degree, s.seeds, overfetch=s.overfetch).persist())
+        return self._once("smart", lambda: keep(vectors.smart_seeds(self.asked, c.points, c.degree, s.seeds, overfetch=s.overfetch)))
 
     def stages(self, system: str) -> dict[str, DataFrame]:
         """raw, post_temporal, post_cap of an expanding system, each (query_id, id)."""
@@ -99,7 +100,7 @@ class Retrieval:
             e = self._once("emb", lambda: vectors.Expansion(c.points, c.dates))
             if system == "emb_1hop":
                 got = e.one_hop(self.seeds, self.dates, s.cap_1hop)
-                return got | {"post_cap": got["post_cap"].persist()}
+                return got | {"post_cap": keep(got["post_cap"])}
             return e.two_hop(self.seeds, self.stages("emb_1hop")["post_cap"], self.dates, s.cap_2hop, s.frontier)
 
         return self._once(f"stages {system}", make)
@@ -121,7 +122,7 @@ class Retrieval:
             for system in self.settings.systems:
                 one = self.pool(system).select(F.lit(system).alias("system"), "query_id", "id", "score", "is_seed", "seed_rank")
                 out = one if out is None else out.unionByName(one)
-            return out.persist()
+            return keep(out)
 
         return self._once("pools", make)
 
@@ -156,14 +157,16 @@ def first_of_union(pools: DataFrame) -> DataFrame:
     return pools.groupBy("query_id", "id").agg(F.min_by("score", order).alias("score"), F.min_by("system", order).alias("system"))
 
 
-def pair_scores(pools: DataFrame, query_texts: DataFrame, texts: DataFrame, scorer=vectors.overlap_score, limit: int = 4000) -> DataFrame:
+def pair_scores(pools: DataFrame, query_texts: DataFrame, texts: DataFrame, model=None, limit: int = 4000) -> DataFrame:
     """query_id, id, pair_score of the union of pools, for candidates whose text isn't blank.
 
-    ``scorer`` makes a column from two text columns: the query's and the candidate's, cut to ``limit`` characters.
+    ``model`` prepares each text, cut to ``limit`` characters, once and scores pairs of prepared texts.
     """
-    there = texts.where(F.trim(F.coalesce("text", F.lit(""))) != "").select("id", F.substring("text", 1, limit).alias("text"))
-    pairs = union_of_pools(pools).join(there, "id").join(query_texts.select("query_id", "query_text"), "query_id")
-    return pairs.select("query_id", "id", scorer(F.substring("query_text", 1, limit), F.col("text")).alias("pair_score"))
+    model = model or vectors.Overlap()
+    there = texts.where(F.trim(F.coalesce("text", F.lit(""))) != "").select("id", model.prepare(F.substring("text", 1, limit)).alias("b"))
+    asked = query_texts.select("query_id", model.prepare(F.substring("query_text", 1, limit)).alias("a"))
+    pairs = union_of_pools(pools).join(keep(there), "id").join(keep(asked), "query_id")
+    return pairs.select("query_id", "id", model.score(F.col("a"), F.col("b")).alias("pair_score"))
 
 
 def rank(pools: DataFrame, ranking: str, degree: DataFrame, scores: DataFrame | None = None, failed: DataFrame | None = None) -> DataFrame:

@@ -179,8 +179,18 @@ class Expansion:
         return self._stages(best_chunk(merged), query_dates, cap)
 
 
-def overlap_score(a: Column, b: Column) -> Column:
-    """Stand-in for a pair model: shared share of distinct lower-cased words of two texts."""
-    words = lambda x: F.array_distinct(F.array_remove(F.split(F.lower(x), r"\s+"), ""))
-    both, all_ = F.size(F.array_intersect(words(a), words(b))), F.size(F.array_union(words(a), words(b)))
-    return F.when(all_ > 0, both / all_).otherwise(0.0)
+class Overlap:
+    """Stand-in for a pair model: shared share of distinct lower-cased words of two texts.
+
+    A pair model has ``prepare`` (a text to what is kept of it, once a text) and ``score`` (two of those to
+    a number, once a pair). Here a text becomes the 64-bit hashes of its distinct words.
+    """
+
+    def prepare(self, text: Column) -> Column:
+        words = F.array_distinct(F.array_remove(F.split(F.lower(text), r"\s+"), ""))
+        return F.transform(words, lambda w: F.xxhash64(w))
+
+    def score(self, a: Column, b: Column) -> Column:
+        both = F.size(F.array_intersect(a, b))
+        all_ = F.size(a) + F.size(b) - both
+        return F.when(all_ > 0, both / all_).otherwise(0.0)

@@ -1,7 +1,7 @@
 """All queries by name: how the engine answers each, and the SQL that it is held against.
 
 An entry's ``columns`` says what both sides return: ``name`` as it is, ``name:i`` as BIGINT, ``name:f`` as
-a double rounded to six places.
+a double rounded to six places, ``name:g`` as a double that is rounded already.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ class Entry:
     def _column(self, spec: str):
         name, _, kind = spec.partition(":")
         one = F.col(f"`{name}`")
-        return {"": one, "i": one.cast("long"), "f": F.round(one.cast("double"), 6) + F.lit(0.0)}[kind].alias(name)
+        return {"": one, "i": one.cast("long"), "f": F.round(one.cast("double"), 6) + F.lit(0.0), "g": one.cast("double")}[kind].alias(name)
 
     def oracle(self) -> str | None:
         if self.sql is None:
@@ -41,7 +41,7 @@ class Entry:
         parts = []
         for spec in self.columns.split():
             name, _, kind = spec.partition(":")
-            parts.append({"": f'"{name}"', "i": f'"{name}"::BIGINT AS "{name}"', "f": f'round("{name}"::DOUBLE, 6) + 0.0::DOUBLE AS "{name}"'}[kind])
+            parts.append({"": f'"{name}"', "i": f'"{name}"::BIGINT AS "{name}"', "f": f'round("{name}"::DOUBLE, 6) + 0.0::DOUBLE AS "{name}"', "g": f'"{name}"::DOUBLE AS "{name}"'}[kind])
         return with_relations(f"SELECT {', '.join(parts)} FROM {self.sql}")
 
 
@@ -89,11 +89,11 @@ expect("enriched_nodes", "id source in_degree:i out_degree:i language", lambda w
        LEFT JOIN (SELECT src, count(*) AS n FROM edges GROUP BY src) o ON o.src = n.id LEFT JOIN meta m ON m.id = n.id)""")
 
 # Vectors --------------------------------------------------------------------------------------------
-expect("seed_topk_cosine", "query_id id score:f seed_rank:i", lambda w: w.found.seeds, "seeds")
-expect("seed_topk_smart", "query_id id score:f seed_rank:i", lambda w: w.found.smart, "smart")
+expect("seed_topk_cosine", "query_id id score:g seed_rank:i", lambda w: w.found.seeds, "seeds")
+expect("seed_topk_smart", "query_id id score:g seed_rank:i", lambda w: w.found.smart, "smart")
 
 
-@entry("knn_docs", "query_id id score:f", "(SELECT node AS query_id, id, max(score) AS score FROM knn WHERE rank <= 10 GROUP BY node, id)")
+@entry("knn_docs", "query_id id score:g", "(SELECT node AS query_id, id, max(score) AS score FROM knn WHERE rank <= 10 GROUP BY node, id)")
 def _knn(w: World) -> DataFrame:
     asked = w.rulings.where("chunk_index = 0").select(F.col("id").alias("query_id"), F.col("id").alias("node"), F.lit(10).alias("depth"))
     return vectors.neighbours_of(asked, w.rulings)
@@ -107,9 +107,9 @@ def _pairs(w: World) -> DataFrame:
 
 
 for _hop, _c in (("emb_1hop", "e1"), ("emb_2hop", "e2")):
-    expect(f"{_hop}_raw", "query_id id score:f", lambda w, h=_hop: w.found.stages(h)["raw"], f"{_c}_raw")
-    expect(f"{_hop}_timely", "query_id id score:f", lambda w, h=_hop: w.found.stages(h)["post_temporal"], f"{_c}_timely")
-    expect(f"{_hop}_pool", "query_id id score:f", lambda w, h=_hop: w.found.stages(h)["post_cap"], f"{_c}_cap")
+    expect(f"{_hop}_raw", "query_id id score:g", lambda w, h=_hop: w.found.stages(h)["raw"], f"{_c}_raw")
+    expect(f"{_hop}_timely", "query_id id score:g", lambda w, h=_hop: w.found.stages(h)["post_temporal"], f"{_c}_timely")
+    expect(f"{_hop}_pool", "query_id id score:g", lambda w, h=_hop: w.found.stages(h)["post_cap"], f"{_c}_cap")
 expect("vectors_of_first_chunks", "id n:i", lambda w: w.rulings.where("chunk_index = 0").join(w.truth.select("id").distinct(), "id", "left_semi").select("id", F.size("vector").alias("n")),
     "(SELECT id, len(vector) AS n FROM rulings WHERE chunk_index = 0 AND id IN (SELECT id FROM truth))")
 
@@ -154,12 +154,12 @@ expect("cosine_delta", "n:i mean:f median:f stdev:f min:f max:f", lambda w: _del
 
 # Rankings and pools ---------------------------------------------------------------------------------
 for _r in retrieval.RANKINGS:
-    expect(f"rank_{_r}", "system query_id id value:f rank:i", lambda w, r=_r: w.ranked(r).where("rank <= 40"), f"(SELECT * FROM ranked WHERE ranking = '{_r}' AND rank <= 40)")
-expect("candidate_pools", "system query_id id score:f is_seed seed_rank:i", lambda w: w.found.pools(), "pools")
+    expect(f"rank_{_r}", "system query_id id value:g rank:i", lambda w, r=_r: w.ranked(r).where("rank <= 40"), f"(SELECT * FROM ranked WHERE ranking = '{_r}' AND rank <= 40)")
+expect("candidate_pools", "system query_id id score:g is_seed seed_rank:i", lambda w: w.found.pools(), "pools")
 expect("pair_scores", "query_id id pair_score:f", lambda w: w.scores, "scores")
 expect("topk_prefix", "system ranking k:i query_id id rank:i", lambda w: w.results, "results")
 expect("derived_smaller_k", "system ranking k:i query_id id rank:i", lambda w: retrieval.derive_smaller(w.results.drop("value").where("k IN (10, 20)"), w.settings.ks), "results")
-expect("pool_union_dedup", "query_id id system score:f", lambda w: retrieval.first_of_union(w.found.pools()),
+expect("pool_union_dedup", "query_id id system score:g", lambda w: retrieval.first_of_union(w.found.pools()),
     """(SELECT query_id, id, arg_min(system, o) AS system, arg_min(score, o) AS score FROM (SELECT *, list_position(['rag', 'rag_smart', 'emb_1hop', 'emb_2hop', 'graph_1hop', 'graph_2hop'], system) AS o FROM pools)
        GROUP BY query_id, id)""")
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import truncate_tokens, year_of_ms
 from ..operators import graph, metrics, retrieval, sampling
+from ..sources.checkpoints import keep
 
 SETTINGS = retrieval.Settings(
     seeds=20, cap_1hop=64, cap_2hop=128, frontier=10, overfetch=24, chunks_each=2, systems=retrieval.SYSTEMS
@@ -57,7 +58,7 @@ class World:
     @cached_property
     def rulings(self) -> DataFrame:
         """The points of the two ruling sources."""
-        return self.points.where(F.col("source").isin(*RULING_SOURCES))
+        return keep(self.points.where(F.col("source").isin(*RULING_SOURCES)))
 
     @cached_property
     def source_rows(self) -> DataFrame:
@@ -75,11 +76,11 @@ class World:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return graph.edges(self.cited).persist()
+        return keep(graph.edges(self.cited))
 
     @cached_property
     def nodes(self) -> DataFrame:
-        return graph.nodes(self.source_rows, self.cited).persist()
+        return keep(graph.nodes(self.source_rows, self.cited))
 
     @cached_property
     def degree(self) -> DataFrame:
@@ -100,16 +101,16 @@ class World:
 
     @cached_property
     def truth(self) -> DataFrame:
-        return sampling.ground_truth(self.edges, self.valid, self.meta).persist()
+        return keep(sampling.ground_truth(self.edges, self.valid, self.meta))
 
     @cached_property
     def queries(self) -> DataFrame:
         """query_id, query_text, language, year, date_ms, vector of all ids with ground truth."""
         asked = self.truth.select(F.col("query_id").alias("id")).distinct()
         rows = self.corpus.join(asked, "id", "left_semi").join(self.dates, "id", "left")
-        return rows.select(
+        return keep(rows.select(
             F.col("id").alias("query_id"), truncate_tokens(F.col("text")).alias("query_text"), "language", year_of_ms(F.col("date_ms")).alias("year"), "date_ms", "vector"
-        )
+        ))
 
     @cached_property
     def engine(self) -> retrieval.Corpus:
@@ -122,7 +123,7 @@ class World:
 
     @cached_property
     def scores(self) -> DataFrame:
-        return retrieval.pair_scores(self.found.pools(), self.queries, self.engine.texts).persist()
+        return keep(retrieval.pair_scores(self.found.pools(), self.queries, self.engine.texts))
 
     @cached_property
     def failed(self) -> DataFrame:
@@ -140,7 +141,7 @@ class World:
         for ranking in retrieval.RANKINGS:
             one = retrieval.cut_off(self.ranked(ranking), self.settings.ks)
             out = one if out is None else out.unionByName(one)
-        return out.persist()
+        return keep(out)
 
     @cached_property
     def distances(self) -> tuple[DataFrame, DataFrame]:
@@ -157,7 +158,7 @@ class World:
 
     @cached_property
     def per_query(self) -> DataFrame:
-        return self.accuracy.join(self.nearness, [*metrics.CONFIG, "query_id"]).persist()
+        return keep(self.accuracy.join(self.nearness, [*metrics.CONFIG, "query_id"]))
 
     @cached_property
     def pool_metrics(self) -> DataFrame:
