@@ -1,8 +1,8 @@
 """Media columns: a payload stored as WAV samples, and spectral fingerprints of what is read back.
 
 The payload's bytes are the 8-bit samples of a mono WAV file, which is lossless. The samples read back
-are cut into overlapping frames, a short-time Fourier transform gives each frame's strongest bin, and
-pairs of such peaks in near frames make time-coded fingerprints.
+are cut into overlapping frames, a short-time Fourier transform gives the strongest bin of each frame
+and of its bands, and pairs of such peaks in one frame or near ones make time-coded fingerprints.
 """
 
 from __future__ import annotations
@@ -23,6 +23,9 @@ UNIT, FILL, RATE = 576, b"\xff", 8000
 #: of a peak that it is paired with.
 HOP, BLOCK, REACH = 288, 2048, 3
 
+#: First bins of the bands that give a peak each, and the end of the last.
+BANDS = (1, 24, 72, 144, UNIT // 2 + 1)
+
 _TAPER = np.hanning(UNIT)
 
 
@@ -47,30 +50,42 @@ def from_wav(stored: bytes) -> bytes:
         return source.readframes(source.getnframes())
 
 
-def peaks(samples: bytes) -> np.ndarray:
-    """The strongest bin of each frame, 0 for a flat frame. Magnitudes are rounded so that ties are stable."""
+def peaks(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(strongest bin of each frame, strongest bin of each of its bands), 0 where a frame or band is flat.
+
+    Magnitudes are rounded so that ties are stable.
+    """
     x = np.frombuffer(samples, np.uint8).astype(np.float64)
     frames = np.lib.stride_tricks.sliding_window_view(x, UNIT)[::HOP]
-    out = np.zeros(len(frames), np.int64)
+    bands = np.zeros((len(frames), len(BANDS) - 1), np.int64)
+    top = np.zeros(len(frames), np.int64)
     for start in range(0, len(frames), BLOCK):
         part = frames[start : start + BLOCK]
-        part = (part - part.mean(axis=1, keepdims=True)) * _TAPER
-        spectrum = np.fft.rfft(part, axis=1)[:, 1:]
+        spectrum = np.fft.rfft((part - part.mean(axis=1, keepdims=True)) * _TAPER, axis=1)
         power = np.rint(spectrum.real**2 + spectrum.imag**2)
-        best = power.argmax(axis=1)
-        out[start : start + len(part)] = np.where(power[np.arange(len(part)), best] > 0, best + 1, 0)
-    return out
+        place, height = np.arange(len(part)), np.zeros((len(part), len(BANDS) - 1))
+        for i, (a, b) in enumerate(zip(BANDS[:-1], BANDS[1:], strict=True)):
+            best = a + power[:, a:b].argmax(axis=1)
+            height[:, i] = power[place, best]
+            bands[start : start + len(part), i] = np.where(height[:, i] > 0, best, 0)
+        top[start : start + len(part)] = bands[start + place, height.argmax(axis=1)]
+    return top, bands
 
 
-def pairs(peak: np.ndarray) -> np.ndarray:
-    """frame << 20 | first bin << 11 | second bin << 2 | frames between, less one; by frame, then distance."""
-    found = []
-    for ahead in range(1, REACH + 1):
-        first, second = peak[:-ahead], peak[ahead:]
-        at = np.flatnonzero((first > 0) & (second > 0))
-        found.append(at << 20 | first[at] << 11 | second[at] << 2 | ahead - 1)
-    both = np.concatenate(found)
-    return both[np.argsort((both >> 20) * REACH + (both & 3), kind="stable")]
+def pairs(top: np.ndarray, bands: np.ndarray) -> np.ndarray:
+    """frame << 20 | first bin << 11 | second bin << 2 | frames between; by frame, then the rest.
+
+    A frame's strongest bin is paired with the peaks of its other bands and with the strongest bins of the
+    next REACH frames.
+    """
+    frame = np.arange(len(top))
+    found = [(frame, top, band, 0) for band in bands.T]
+    found += [(frame[:-n], top[:-n], top[n:], n) for n in range(1, REACH + 1)]
+    codes = []
+    for at, first, second, between in found:
+        real = (first > 0) & (second > 0) & ((first != second) | (between > 0))
+        codes.append(at[real] << 20 | first[real] << 11 | second[real] << 2 | between)
+    return np.sort(np.concatenate(codes))
 
 
 def media_columns(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = True) -> DataFrame:
@@ -88,7 +103,7 @@ def media_columns(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                 body = body.as_py()
                 stored = to_wav(pad(body))
                 payload = from_wav(stored)
-                codes = pairs(peaks(payload))
+                codes = pairs(*peaks(payload))
                 out["n_bytes"].append(len(body))
                 out["payload_bytes"].append(len(payload))
                 out["payload_sha256"].append(hashlib.sha256(payload).hexdigest())

@@ -1,6 +1,6 @@
 """Toxicity: linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Features say whether a text has an n-gram (n 3 to 5, over lower-cased text with white space as one
+Features say whether a text has an n-gram (n 3 to 6, over lower-cased text with white space as one
 space), hashed to a fixed number of bins. Each is scaled by the log ratio of its smoothed shares in
 toxic and other training texts; a logistic regression is fitted on the scaled features, and its
 intercept set where the balanced training error is least.
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BITS, SIZES = 18, (3, 4, 5)
+BITS, SIZES = 20, (3, 4, 5, 6)
 #: Labelled rows that a model is fitted on, at most.
 MAX_ROWS = 4000
 #: Bytes hashed at once, so that a long text needs bounded memory; pieces overlap by the longest n-gram less one.
@@ -66,8 +66,13 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.weight[bins].sum() + self.bias, -40, 40))))
 
 
-def fit(bins: list[np.ndarray], labels: np.ndarray, *, rounds: int = 60, penalty: float = 3e-4, smooth: float = 1.0) -> Model:
-    """Full-batch logistic regression with momentum on ratio-scaled features. One class only: its base rate."""
+def fit(
+    bins: list[np.ndarray], labels: np.ndarray, *, rounds: int = 800, penalty: float = 1e-4, smooth: float = 0.5, least_z: float = 3.5
+) -> Model:
+    """Full-batch logistic regression with momentum on ratio-scaled features. One class only: its base rate.
+
+    Bins whose log ratio is within ``least_z`` standard errors of zero weigh nothing; they are most, and noise.
+    """
     labels = np.asarray(labels, np.float64)
     if not len(labels) or labels.min() == labels.max():
         base = (labels.sum() + 0.5) / (len(labels) + 1)
@@ -78,21 +83,25 @@ def fit(bins: list[np.ndarray], labels: np.ndarray, *, rounds: int = 60, penalty
     yes = np.bincount(flat, labels[row], size) + smooth
     no = np.bincount(flat, 1 - labels[row], size) + smooth
     ratio = np.log(yes / (labels.sum() + 2 * smooth)) - np.log(no / ((1 - labels).sum() + 2 * smooth))
-    used = np.flatnonzero(np.bincount(flat, minlength=size))
+    telling = np.abs(ratio) >= least_z * np.sqrt(1 / yes + 1 / no)
+    telling &= np.bincount(flat, minlength=size) > 0
+    used = np.flatnonzero(telling)
     place = np.zeros(size, np.int64)
     place[used] = np.arange(len(used))
+    kept = telling[flat]
+    flat, row = flat[kept], row[kept]
     column, value = place[flat], ratio[flat]
     norm = np.sqrt(np.bincount(row, value**2, len(bins)).mean() + 1e-9)
     value = value / norm
+    step = 1.0 / (0.25 * max(np.bincount(row, value**2, len(bins)).max(), 1.0) + penalty)
     w, v, bias, pace = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     each = np.where(labels > 0, 0.5 / labels.sum(), 0.5 / (1 - labels).sum())
-    step = 1.0 / (0.25 * np.bincount(row, value**2, len(bins)).max() + penalty)
     for _ in range(rounds):
-        z = np.bincount(row, value * (w + 0.9 * v)[column], len(bins)) + bias
+        z = np.bincount(row, value * (w + 0.95 * v)[column], len(bins)) + bias
         error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels) * each
-        v = 0.9 * v - step * (np.bincount(column, value * error[row], len(used)) + penalty * w)
+        v = 0.95 * v - step * (np.bincount(column, value * error[row], len(used)) + penalty * w)
         w = w + v
-        pace = 0.9 * pace - step * error.sum()
+        pace = 0.95 * pace - step * error.sum()
         bias += pace
     z = np.bincount(row, value * w[column], len(bins))
     order = np.argsort(z, kind="stable")
