@@ -49,19 +49,16 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, *keep: str, size: int =
 
     A text of up to ``size`` tokens is one chunk, verbatim; an id that is null is called unknown.
     """
-    text, n = F.col(text_col), F.size("tokens")
-    cut = F.transform(
-        chunk_starts(n, size, overlap),
-        lambda at: F.when(n <= size, text).otherwise(F.array_join(F.slice(F.col("tokens"), at + 1, size), " ")),
-    )
     known = F.coalesce(F.col(id_col).cast("string"), F.lit("unknown"))
-    return (
-        docs.where(F.coalesce(text, F.lit("")) != "")
-        .withColumn("tokens", tokens(text))
-        .select(known.alias("id"), cut.alias("parts"), *keep)
-        .select("id", F.size("parts").alias("num_chunks"), F.posexplode("parts").alias("chunk_index", "text"), *keep)
-        .select("id", F.concat_ws("_c", "id", "chunk_index").alias("chunk_id"), "chunk_index", "num_chunks", "text", *keep)
+    split = docs.where(F.coalesce(F.col(text_col), F.lit("")) != "").select(
+        known.alias("id"), F.col(text_col).alias("whole"), tokens(F.col(text_col)).alias("tokens"), *keep
     )
+    # The starts go through explode and not through a lambda, in which the split would be made anew for each chunk.
+    n = F.size("tokens")
+    placed = split.select("*", F.posexplode_outer(chunk_starts(n, size, overlap)).alias("chunk_index", "at"))
+    last = F.when(n <= size, F.lit(1)).otherwise(F.ceil((n - size) / F.lit(size - overlap)) + 1).cast("int")
+    part = F.when(n <= size, F.col("whole")).otherwise(F.array_join(F.slice("tokens", F.col("at") + 1, F.lit(size)), " "))
+    return placed.select("id", F.concat_ws("_c", "id", "chunk_index").alias("chunk_id"), "chunk_index", last.alias("num_chunks"), part.alias("text"), *keep)
 
 
 def uuid5(name: Column, namespace: str = URL_NAMESPACE) -> Column:

@@ -26,8 +26,8 @@ class Entry:
     make: Callable[[World], DataFrame]
     sql: str | None  # what follows FROM
 
-    def query(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        got = self.make(World(spark, sf_dir))
+    def query(self, world: World) -> DataFrame:
+        got = self.make(world)
         return got.select(*(self._column(c) for c in self.columns.split()))
 
     def _column(self, spec: str):
@@ -273,11 +273,11 @@ expect("language_guess", "id guess", lambda w: _docs(w).withColumn("guess", text
 
 
 @entry("source_links", "id link",
-    """(SELECT id, CASE WHEN court = 'CH_BGer' THEN 'https://www.bger.ch/ext/eurospider/live/' || l || '/php/aza/http/index.php?lang=' || l || '&type=show_document&highlight_docid=aza%3A%2F%2F' || strftime(at, '%d-%m-%Y') || '-4D_' || id || '-'
-         || CASE WHEN year(at) // 100 * 100 + id::INT % 100 > year(at) THEN year(at) // 100 * 100 + id::INT % 100 - 100 ELSE year(at) // 100 * 100 + id::INT % 100 END
+    """(SELECT id, CASE WHEN court = 'CH_BGer' THEN 'https://www.bger.ch/ext/eurospider/live/' || l || '/php/aza/http/index.php?lang=' || l || '&type=show_document&highlight_docid=aza%3A%2F%2F' || strftime(dt, '%d-%m-%Y') || '-4D_' || id || '-'
+         || CASE WHEN year(dt) // 100 * 100 + id::INT % 100 > year(dt) THEN year(dt) // 100 * 100 + id::INT % 100 - 100 ELSE year(dt) // 100 * 100 + id::INT % 100 END
        WHEN court = 'CH_BGE' THEN 'https://www.bger.ch/ext/eurospider/live/' || l || '/php/clir/http/index.php?lang=' || l || '&type=show_document&highlight_docid=atf%3A%2F%2F' || id || '-IV-12%3A' || l
        WHEN court = 'law' THEN 'https://www.fedlex.admin.ch/' || l || '/search?text=SR%20' || id || '.110' WHEN court = 'none' THEN NULL ELSE 'https://entscheidsuche.ch/?text=A/' || id || '%20b' END AS link
-       FROM (SELECT d.id, make_timestamp(date_ms * 1000) AS at, CASE WHEN language IN ('de', 'fr', 'it') THEN language ELSE 'de' END AS l,
+       FROM (SELECT d.id, make_timestamp(date_ms * 1000) AS dt, CASE WHEN language IN ('de', 'fr', 'it') THEN language ELSE 'de' END AS l,
          CASE d.id::INT % 5 WHEN 0 THEN 'CH_BGer' WHEN 1 THEN 'CH_BGE' WHEN 2 THEN 'law' WHEN 3 THEN 'none' ELSE 'canton' END AS court FROM dates d JOIN corpus c ON c.id = d.id))""")
 def _links(w: World) -> DataFrame:
     n, id_ = F.col("id").cast("int") % 5, F.col("id")
@@ -369,7 +369,17 @@ def flagship(w: World) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: e.query for name, e in ENTRIES.items()}
+    """Queries by name; those of one call share what they have in common, for each application and folder."""
+    worlds: dict[tuple[str, str], World] = {}
+
+    def bound(e: Entry) -> Callable[[SparkSession, str], DataFrame]:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            key = (spark.sparkContext.applicationId, sf_dir)
+            return e.query(worlds.setdefault(key, World(spark, sf_dir)))
+
+        return run
+
+    return {name: bound(e) for name, e in ENTRIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -94,9 +94,9 @@ RELATIONS: dict[str, str] = {
     "far": """SELECT r.query_id, r.id, min(CASE WHEN r.id = t.id THEN 0 ELSE o.d END) AS out_d, min(CASE WHEN r.id = t.id THEN 0 ELSE a.d END) AS any_d
         FROM (SELECT DISTINCT query_id, id FROM results) r JOIN truth t USING (query_id)
         LEFT JOIN hops_out o ON o.target = t.id AND o.id = r.id LEFT JOIN hops_any a ON a.target = t.id AND a.id = r.id GROUP BY r.query_id, r.id""",
-    "nearness": """SELECT r.system, r.ranking, r.k, r.query_id, avg(coalesce(1.0 / (out_d + 1), 0)) AS nearness_score, count_if(out_d = 0) AS n_exact, count_if(out_d = 1) AS n_near_1,
-        count_if(out_d = 2) AS n_near_2, count_if(out_d IS NULL) AS n_far, avg(coalesce(1.0 / (any_d + 1), 0)) AS nearness_score_undirected,
-        count_if(any_d = 1) AS n_near_1_undirected, count_if(any_d = 2) AS n_near_2_undirected, count_if(any_d IS NULL) AS n_far_undirected
+    "nearness": """SELECT r.system, r.ranking, r.k, r.query_id, avg(coalesce(1.0 / (out_d + 1), 0)) AS nearness_score, count(*) FILTER (out_d = 0) AS n_exact, count(*) FILTER (out_d = 1) AS n_near_1,
+        count(*) FILTER (out_d = 2) AS n_near_2, count(*) FILTER (out_d IS NULL) AS n_far, avg(coalesce(1.0 / (any_d + 1), 0)) AS nearness_score_undirected,
+        count(*) FILTER (any_d = 1) AS n_near_1_undirected, count(*) FILTER (any_d = 2) AS n_near_2_undirected, count(*) FILTER (any_d IS NULL) AS n_far_undirected
         FROM results r LEFT JOIN far f ON f.query_id = r.query_id AND f.id = r.id GROUP BY ALL""",
     "per_query": "SELECT * FROM accuracy JOIN nearness USING (system, ranking, k, query_id)",
     "pool_metrics": """SELECT *, CASE WHEN gt_size > 0 THEN hits / gt_size::DOUBLE ELSE 0 END AS recall, hits / pool_size::DOUBLE AS precision,
