@@ -66,31 +66,28 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.weight[bins].sum() + self.bias, -40, 40))))
 
 
-def fit(
-    bins: list[np.ndarray], labels: np.ndarray, *, rounds: int = 800, penalty: float = 1e-4, smooth: float = 0.5, least_z: float = 3.5
-) -> Model:
-    """Full-batch logistic regression with momentum on ratio-scaled features. One class only: its base rate.
+def log_ratios(yes: np.ndarray, no: np.ndarray, n_yes: float, n_no: float, *, smooth: float = 0.5, least_z: float = 4.5) -> np.ndarray:
+    """Log-count ratio of each bin, from the numbers of toxic and other texts that have it.
 
-    Bins whose log ratio is within ``least_z`` standard errors of zero weigh nothing; they are most, and noise.
+    0 for bins that no text has and for those within ``least_z`` standard errors of 0: they are most, and noise.
     """
-    labels = np.asarray(labels, np.float64)
+    a, b = yes + smooth, no + smooth
+    ratio = np.log(a / (n_yes + 2 * smooth)) - np.log(b / (n_no + 2 * smooth))
+    return np.where((yes + no > 0) & (np.abs(ratio) >= least_z * np.sqrt(1 / a + 1 / b)), ratio, 0.0)
+
+
+def fit_scaled(bins: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, *, rounds: int = 400, penalty: float = 1e-4) -> Model:
+    """Full-batch logistic regression with momentum on bins scaled by their ratios; bins of ratio 0 are not in ``bins``.
+
+    One class only: its base rate.
+    """
+    labels, size = np.asarray(labels, np.float64), 1 << BITS
     if not len(labels) or labels.min() == labels.max():
         base = (labels.sum() + 0.5) / (len(labels) + 1)
-        return Model(np.zeros(1 << BITS, np.float32), float(np.log(base / (1 - base))))
-    counts = np.array([len(b) for b in bins])
-    flat, row = np.concatenate(bins), np.repeat(np.arange(len(bins)), counts)
-    size = 1 << BITS
-    yes = np.bincount(flat, labels[row], size) + smooth
-    no = np.bincount(flat, 1 - labels[row], size) + smooth
-    ratio = np.log(yes / (labels.sum() + 2 * smooth)) - np.log(no / ((1 - labels).sum() + 2 * smooth))
-    telling = np.abs(ratio) >= least_z * np.sqrt(1 / yes + 1 / no)
-    telling &= np.bincount(flat, minlength=size) > 0
-    used = np.flatnonzero(telling)
-    place = np.zeros(size, np.int64)
-    place[used] = np.arange(len(used))
-    kept = telling[flat]
-    flat, row = flat[kept], row[kept]
-    column, value = place[flat], ratio[flat]
+        return Model(np.zeros(size, np.float32), float(np.log(base / (1 - base))))
+    flat, row = np.concatenate(bins), np.repeat(np.arange(len(bins)), [len(b) for b in bins])
+    used, column = np.unique(flat, return_inverse=True)
+    value = ratio[flat]
     norm = np.sqrt(np.bincount(row, value**2, len(bins)).mean() + 1e-9)
     value = value / norm
     step = 1.0 / (0.25 * max(np.bincount(row, value**2, len(bins)).max(), 1.0) + penalty)
@@ -117,21 +114,44 @@ def fit(
 def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, fold: int = 5, held: int = 0, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on at most ``max_rows`` rows of ``labels.toxic`` whose fold isn't the held-out one.
 
-    Features are made on the executors; the driver gets their bins, bounded by the parameter.
+    The executors count texts by bin (a row a bin comes to the driver), then send of each text only the bins
+    whose ratio tells something.
     """
-    rows = common.labelled_rows(docs, labels, "toxic", fold, lambda x: x != held, max_rows, id_col=id_col, text_col=text_col)
+    rows = common.cut(common.labelled_rows(docs, labels, "toxic", fold, lambda x: x != held, max_rows, id_col=id_col, text_col=text_col))
+    size = 1 << BITS
 
-    def make():
+    def count():
         features = Featuriser()
-        return lambda batch: pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("label"), pa.array([features(b.as_py()) for b in batch.column("body")], pa.list_(pa.int32()))],
-            ["doc_id", "label", "bins"],
-        )
 
-    got = common.map_batches(rows, make, "doc_id long, label int, bins array<int>").toArrow().sort_by("doc_id")
+        def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
+            both = np.zeros((2, size), np.int64)
+            for body, label in zip(batch.column("body"), batch.column("label").to_pylist(), strict=True):
+                both[int(label > 0), features(body.as_py())] += 1
+            some = np.flatnonzero(both.any(axis=0))
+            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(both[1, some]), pa.array(both[0, some])], ["bin", "yes", "no"])
+
+        return apply
+
+    counted = common.map_batches(rows, count, "bin int, yes long, no long").groupBy("bin").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).toArrow()
+    yes, no = np.zeros(size), np.zeros(size)
+    yes[counted.column("bin").to_numpy()], no[counted.column("bin").to_numpy()] = counted.column("yes").to_numpy(), counted.column("no").to_numpy()
+    n_yes, n = rows.agg(F.count_if(F.col("label") > 0), F.count(F.lit(1))).first()
+    ratio = log_ratios(yes, no, n_yes, n - n_yes)
+    shared = docs.sparkSession.sparkContext.broadcast(ratio != 0)
+
+    def select():
+        features, telling = Featuriser(), shared.value
+
+        def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = [b[telling[b]] for b in (features(x.as_py()) for x in batch.column("body"))]
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "label", "bins"])
+
+        return apply
+
+    got = common.map_batches(rows, select, "doc_id long, label int, bins array<int>").toArrow().sort_by("doc_id")
     lists = got.column("bins").combine_chunks()
     ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-    return fit([flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], got.column("label").to_numpy())
+    return fit_scaled([flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], got.column("label").to_numpy() > 0, ratio)
 
 
 def score(docs: DataFrame, model: Model, *, fold: int = 5, held: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
