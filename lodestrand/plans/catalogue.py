@@ -20,6 +20,11 @@ from .oracles import with_relations
 from .world import STRATA, World
 
 
+#: Added before rounding down. A little over a half: means of few values often lie at a half, and engines that
+#: add in another order then fall on either side of it.
+HALF = 0.5001
+
+
 @dataclass(frozen=True)
 class Entry:
     columns: str
@@ -33,7 +38,7 @@ class Entry:
     def _column(self, spec: str):
         name, _, kind = spec.partition(":")
         one = F.col(f"`{name}`")
-        return {"": one, "i": one.cast("long"), "f": F.round(one.cast("double"), 6) + F.lit(0.0), "g": one.cast("double")}[kind].alias(name)
+        return {"": one, "i": one.cast("long"), "f": F.floor(one.cast("double") * F.lit(1e6) + F.lit(HALF)) / F.lit(1e6), "g": one.cast("double")}[kind].alias(name)
 
     def oracle(self) -> str | None:
         if self.sql is None:
@@ -41,7 +46,7 @@ class Entry:
         parts = []
         for spec in self.columns.split():
             name, _, kind = spec.partition(":")
-            parts.append({"": f'"{name}"', "i": f'"{name}"::BIGINT AS "{name}"', "f": f'round("{name}"::DOUBLE, 6) + 0.0::DOUBLE AS "{name}"', "g": f'"{name}"::DOUBLE AS "{name}"'}[kind])
+            parts.append({"": f'"{name}"', "i": f'"{name}"::BIGINT AS "{name}"', "f": f'floor("{name}"::DOUBLE * 1e6::DOUBLE + {HALF}::DOUBLE) / 1e6::DOUBLE AS "{name}"', "g": f'"{name}"::DOUBLE AS "{name}"'}[kind])
         return with_relations(f"SELECT {', '.join(parts)} FROM {self.sql}")
 
 
