@@ -137,6 +137,23 @@ def distances(edges_: DataFrame, targets: DataFrame, *, directed: bool = True) -
     return zero.unionByName(one).unionByName(two).groupBy("target", "id").agg(F.min("d").alias("d"))
 
 
+def distances_between(edges_: DataFrame, pairs: DataFrame, *, directed: bool = True) -> DataFrame:
+    """target, id, d: hops (0, 1 or 2) from ``id`` to ``target`` for the given pairs only; farther ones are absent.
+
+    Pairs meet their target in the middle: rows are those of the pairs times the neighbours of ``id``, not the
+    whole two-hop surroundings of much cited targets. Pairs that one hop settles don't take the second.
+    """
+    step = edges_.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct() if directed else both_ways(edges_)
+    asked = pairs.select("id", "target").distinct()
+    own = asked.where("id = target").select("target", "id", F.lit(0).alias("d"))
+    other = asked.where("id <> target").join(step.select(F.col("a").alias("id"), F.col("b").alias("target"), F.lit(1).alias("d")), ["id", "target"], "left")
+    far = other.where("d IS NULL").select("target", F.col("id").alias("a"))
+    middle = far.join(step, "a").select("target", F.col("a").alias("id"), F.col("b").alias("m"))
+    two = middle.join(step.select(F.col("a").alias("m"), F.col("b").alias("target")), ["m", "target"], "left_semi")
+    near = own.unionByName(other.where("d = 1").select("target", "id", "d"))
+    return near.unionByName(two.select("target", "id").distinct().withColumn("d", F.lit(2)))
+
+
 def induced(edges_: DataFrame, ids: DataFrame) -> DataFrame:
     """The edges with both ends in ``ids`` (id)."""
     own = ids.select("id").distinct()

@@ -47,6 +47,12 @@ def accuracy(results: DataFrame, truth: DataFrame, queries: DataFrame) -> DataFr
     )
 
 
+def wanted_distances(results: DataFrame, truth: DataFrame) -> DataFrame:
+    """id, target: the pairs whose distance nearness asks for, once each."""
+    asked = results.select("query_id", "id").distinct()
+    return asked.join(truth.select("query_id", F.col("id").alias("target")), "query_id").select("id", "target").distinct()
+
+
 def nearness(results: DataFrame, truth: DataFrame, directed: DataFrame, undirected: DataFrame) -> DataFrame:
     """Per list: nearness_score and its buckets, directed and undirected.
 

@@ -154,7 +154,9 @@ class World:
 
     @cached_property
     def nearness(self) -> DataFrame:
-        return metrics.nearness(self.results, self.truth, *self.distances)
+        pairs = keep(metrics.wanted_distances(self.results, self.truth))
+        out, any_ = (graph.distances_between(self.edges, pairs, directed=x) for x in (True, False))
+        return metrics.nearness(self.results, self.truth, out, any_)
 
     @cached_property
     def per_query(self) -> DataFrame:

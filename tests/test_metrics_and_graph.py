@@ -40,6 +40,10 @@ def test_nearness(spark):
     assert r.nearness_score == pytest.approx(0.458333, abs=1e-6) and (r.n_exact, r.n_near_1, r.n_near_2, r.n_far) == (1, 1, 1, 1)
     assert r.nearness_score_undirected == pytest.approx(0.583333, abs=1e-6)
     assert (r.n_near_1_undirected, r.n_near_2_undirected, r.n_far_undirected) == (2, 1, 0)
+    pairs = table(spark, [(x, "a") for x in "axywz"], "id string, target string")
+    for directed in (True, False):
+        whole = {(x.id, x.d) for x in graph.distances(edges, targets, directed=directed).collect()}
+        assert {(x.id, x.d) for x in graph.distances_between(edges, pairs, directed=directed).collect()} == whole
     gone = table(spark, [("q", "missing")], "query_id string, id string")
     nothing = graph.distances(edges.limit(0), gone.selectExpr("id AS target"))
     r = metrics.nearness(results(spark, ["missing", "x"], 2), gone, nothing, nothing).first()
