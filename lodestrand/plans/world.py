@@ -105,13 +105,19 @@ class World:
 
     @cached_property
     def queries(self) -> DataFrame:
-        """query_id, query_text, language, year, date_ms, vector of all ids with ground truth."""
+        """query_id, language, year, date_ms, vector of all ids with ground truth."""
         asked = self.truth.select(F.col("query_id").alias("id")).distinct()
         rows = self.corpus.join(asked, "id", "left_semi").join(self.dates, "id", "left")
         return keep(rows.select(
-            F.col("id").alias("query_id"), truncate_tokens(F.col("text")).alias("query_text"), "language", year_of_ms(F.col("date_ms")).alias("year"), "date_ms", "vector"
+            F.col("id").alias("query_id"), "language", year_of_ms(F.col("date_ms")).alias("year"), "date_ms", "vector"
         ))
 
+    @cached_property
+    def query_texts(self) -> DataFrame:
+        """query_id, query_text: only pair scores read texts."""
+        texts = self.corpus.select(F.col("id").alias("query_id"), truncate_tokens(F.col("text")).alias("query_text"))
+        return texts.join(self.queries.select("query_id"), "query_id", "left_semi")
+
     @cached_property
     def engine(self) -> retrieval.Corpus:
         texts = self.corpus.select("id", "text")
@@ -123,7 +129,7 @@ class World:
 
     @cached_property
     def scores(self) -> DataFrame:
-        return keep(retrieval.pair_scores(self.found.pools(), self.queries, self.engine.texts))
+        return keep(retrieval.pair_scores(self.found.pools(), self.query_texts, self.engine.texts))
 
     @cached_property
     def failed(self) -> DataFrame:
