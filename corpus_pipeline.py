@@ -26,8 +26,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of SimHash near-duplicates."""
-    return simhash.keep_one(docs)
+    """One row of each group of texts whose five-word shingles have a Jaccard similarity of 0.8 or more."""
+    return simhash.keep_one_similar(docs)
 
 
 def drop_benchmark_overlaps(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
