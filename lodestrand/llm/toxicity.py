@@ -66,56 +66,53 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.weight[bins].sum() + self.bias, -40, 40))))
 
 
-def log_ratios(yes: np.ndarray, no: np.ndarray, n_yes: float, n_no: float, *, smooth: float = 0.5, least_z: float = 4.5) -> np.ndarray:
-    """Log-count ratio of each bin, from the numbers of toxic and other texts that have it.
-
-    0 for bins that no text has and for those within ``least_z`` standard errors of 0: they are most, and noise.
-    """
-    a, b = yes + smooth, no + smooth
-    ratio = np.log(a / (n_yes + 2 * smooth)) - np.log(b / (n_no + 2 * smooth))
-    return np.where((yes + no > 0) & (np.abs(ratio) >= least_z * np.sqrt(1 / a + 1 / b)), ratio, 0.0)
+def log_ratios(yes: np.ndarray, no: np.ndarray, n_yes: float, n_no: float, *, smooth: float = 0.5) -> np.ndarray:
+    """Smoothed log-count ratio of each bin, from the numbers of toxic and other texts that have it; 0 where none has."""
+    ratio = np.log((yes + smooth) / (n_yes + 2 * smooth)) - np.log((no + smooth) / (n_no + 2 * smooth))
+    return np.where(yes + no > 0, ratio, 0.0)
 
 
-def fit_scaled(bins: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, *, rounds: int = 400, penalty: float = 1e-4) -> Model:
-    """Full-batch logistic regression with momentum on bins scaled by their ratios; bins of ratio 0 are not in ``bins``.
+def fit_scaled(bins: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, *, passes: int = 8, penalty: float = 1e-4, seed: int = 7) -> Model:
+    """Logistic regression, classes weighing the same, on bins scaled by their ratios: dual coordinate ascent.
 
-    One class only: its base rate.
+    A text at a time, so that next to the bins only a weight a bin is held. One class only, or no bin that
+    tells anything: the base rate.
     """
     labels, size = np.asarray(labels, np.float64), 1 << BITS
-    if not len(labels) or labels.min() == labels.max():
+    if not len(labels) or labels.min() == labels.max() or not any(ratio[b].any() for b in bins):
         base = (labels.sum() + 0.5) / (len(labels) + 1)
         return Model(np.zeros(size, np.float32), float(np.log(base / (1 - base))))
-    flat, row = np.concatenate(bins), np.repeat(np.arange(len(bins)), [len(b) for b in bins])
-    used, column = np.unique(flat, return_inverse=True)
-    value = ratio[flat]
-    norm = np.sqrt(np.bincount(row, value**2, len(bins)).mean() + 1e-9)
-    value = value / norm
-    step = 1.0 / (0.25 * max(np.bincount(row, value**2, len(bins)).max(), 1.0) + penalty)
-    w, v, bias, pace = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
-    each = np.where(labels > 0, 0.5 / labels.sum(), 0.5 / (1 - labels).sum())
-    for _ in range(rounds):
-        z = np.bincount(row, value * (w + 0.95 * v)[column], len(bins)) + bias
-        error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels) * each
-        v = 0.95 * v - step * (np.bincount(column, value * error[row], len(used)) + penalty * w)
-        w = w + v
-        pace = 0.95 * pace - step * error.sum()
-        bias += pace
-    z = np.bincount(row, value * w[column], len(bins))
+    square = np.array([np.square(ratio[b]).sum() for b in bins])
+    scaled = (ratio / np.sqrt(square.mean() + 1e-9)).astype(np.float32)
+    curve = (square / (square.mean() + 1e-9) + 1) / penalty
+    sign = np.where(labels > 0, 1.0, -1.0)
+    most = np.where(labels > 0, 0.5 / labels.sum(), 0.5 / (1 - labels).sum())
+    w, bias, dual, r = np.zeros(size), 0.0, np.zeros(len(bins)), np.random.default_rng(seed)
+    for _ in range(passes):
+        for i in r.permutation(len(bins)):
+            value = scaled[bins[i]]
+            margin = sign[i] * (value @ w[bins[i]] + bias)
+            low, high = 0.0, most[i]
+            for _ in range(25):  # halve towards the best dual value between 0 and the text's weight
+                x = (low + high) / 2
+                up = np.log((most[i] - x) / x) - margin - curve[i] * (x - dual[i]) > 0 if 0 < x < most[i] else x <= 0
+                low, high = (x, high) if up else (low, x)
+            move = ((low + high) / 2 - dual[i]) * sign[i] / penalty
+            dual[i] = (low + high) / 2
+            w[bins[i]] += move * value
+            bias += move
+    z = np.array([scaled[b] @ w[b] for b in bins])
     order = np.argsort(z, kind="stable")
     ranked = labels[order]
     missed, wrong = np.cumsum(ranked) / labels.sum(), 1 - np.cumsum(1 - ranked) / (1 - labels).sum()
     at = int((missed[:-1] + wrong[:-1]).argmin())  # 0.5 lies in the gap with the least balanced error
-    bias = -(z[order[at]] + z[order[at + 1]]) / 2
-    scale = np.zeros(size)
-    scale[used] = w * ratio[used] / norm
-    return Model(scale.astype(np.float32), float(bias))
+    return Model((w * scaled).astype(np.float32), float(-(z[order[at]] + z[order[at + 1]]) / 2))
 
 
 def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, fold: int = 5, held: int = 0, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on at most ``max_rows`` rows of ``labels.toxic`` whose fold isn't the held-out one.
 
-    The executors count texts by bin (a row a bin comes to the driver), then send of each text only the bins
-    whose ratio tells something.
+    The executors count texts by bin (a row a bin comes to the driver), then send the bins of each text.
     """
     rows = common.cut(common.labelled_rows(docs, labels, "toxic", fold, lambda x: x != held, max_rows, id_col=id_col, text_col=text_col))
     size = 1 << BITS
@@ -137,21 +134,18 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, fold:
     yes[counted.column("bin").to_numpy()], no[counted.column("bin").to_numpy()] = counted.column("yes").to_numpy(), counted.column("no").to_numpy()
     n_yes, n = rows.agg(F.count_if(F.col("label") > 0), F.count(F.lit(1))).first()
     ratio = log_ratios(yes, no, n_yes, n - n_yes)
-    shared = docs.sparkSession.sparkContext.broadcast(ratio != 0)
-
-    def select():
-        features, telling = Featuriser(), shared.value
-
-        def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [b[telling[b]] for b in (features(x.as_py()) for x in batch.column("body"))]
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "label", "bins"])
 
-        return apply
+    def send():
+        features = Featuriser()
+        return lambda batch: pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("label"), pa.array([features(x.as_py()) for x in batch.column("body")], pa.list_(pa.int32()))],
+            ["doc_id", "label", "bins"],
+        )
 
-    got = common.map_batches(rows, select, "doc_id long, label int, bins array<int>").toArrow().sort_by("doc_id")
-    lists = got.column("bins").combine_chunks()
-    ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-    return fit_scaled([flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], got.column("label").to_numpy() > 0, ratio)
+    got = common.map_batches(rows, send, "doc_id long, label int, bins array<int>").toArrow()
+    found = [x for part in got.column("bins").chunks for x in np.split(part.values.to_numpy(), part.offsets.to_numpy()[1:-1])] if len(got) else []
+    order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
+    return fit_scaled([found[i] for i in order], got.column("label").to_numpy()[order] > 0, ratio)
 
 
 def score(docs: DataFrame, model: Model, *, fold: int = 5, held: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

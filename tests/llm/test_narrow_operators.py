@@ -224,3 +224,20 @@ def test_classifiers_on_held_out_rows(spark, model, label, fold, held):
     assert model.score(frame(spark, TEXTS).limit(0), fitted).count() == 0
     nothing = model.train(docs, labels.limit(0))
     assert model.score(frame(spark, ["some text"]), nothing).first().score == pytest.approx(0.5)
+
+
+def test_purely_toxic_n_grams_weigh():
+    ratio = toxicity.log_ratios(np.array([5.0, 1, 0]), np.array([0.0, 0, 0]), 10, 58)
+    assert ratio[0] > ratio[1] > 0 == ratio[2]
+    nothing = toxicity.fit_scaled([np.zeros(0, np.int32)] * 4, np.array([1, 0, 0, 0]), np.zeros(1 << toxicity.BITS))
+    assert nothing.score(np.zeros(0, np.int32)) == pytest.approx(1.5 / 5)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_toxicity_learns_from_few_rows(spark, sf):
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    fitted = toxicity.train(docs, labels)
+    got = {r.doc_id: r for r in toxicity.score(docs, fitted).collect()}
+    assert np.count_nonzero(fitted.weight) > 10_000 and len({r.predicted for r in got.values()}) == 2
+    held = [(got[r.doc_id].predicted, r.toxic) for r in labels.collect() if got[r.doc_id].held_out]
+    assert sum(p == t for p, t in held) / len(held) > 0.75
