@@ -1,6 +1,7 @@
 """The catalogue against its SQL at the smallest scale, invariants of results, and the driver's contract."""
 
 import os
+import shutil
 import subprocess
 import sys
 from pathlib import Path
@@ -99,3 +100,12 @@ def test_entry(spark):
 def test_the_rest_works_without_the_optional_parts():
     code = "import sys; sys.modules['lodestrand.llm'] = None\nimport lodestrand.plans.catalogue, lodestrand.streaming.progress, lodestrand.sources.sinks, lodestrand.operators.views\nassert not any(m.startswith('lodestrand.llm.') for m in sys.modules)"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
+
+
+def test_entry_without_the_optional_parts(tmp_path):
+    """A copy without the training-data operators, with and without the pipeline's file, still registers and runs the rest."""
+    shutil.copytree(ROOT, tmp_path / "copy", ignore=shutil.ignore_patterns(".git", "__pycache__", "llm"))
+    code = "import __spark_entry__ as e; names = set(e.queries()); assert names and set(e.oracle_sql()) <= names and 'pipeline' not in names and not any(n.startswith('op') and n[2].isdigit() for n in names)"
+    for _ in range(2):
+        subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path / "copy", check=True, timeout=120, env={**os.environ, "PYTHONPATH": ""})
+        (tmp_path / "copy" / "corpus_pipeline.py").unlink(missing_ok=True)
