@@ -55,6 +55,33 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
+def typed(df: DataFrame, *columns: str) -> str:
+    """The columns' part of a schema string, with the types that they have in ``df``."""
+    kinds = dict(df.dtypes)
+    return ", ".join(f"`{c}` {kinds[c]}" for c in columns)
+
+
+def row_key(docs: DataFrame, id_col: str, text_col: str) -> list:
+    """Two 64-bit hashes, ``k1`` and ``k2``, of all of a row (but columns of maps): what a row is known by.
+
+    Rows that agree in both are taken for repeats of one row.
+    """
+    rest = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.name not in (id_col, text_col) and "map<" not in f.dataType.simpleString()]
+    parts = [F.col(id_col), F.lit(0), F.col(text_col), *(F.struct(c, F.lit(0)) for c in rest)]
+    return [F.xxhash64(*parts).alias("k1"), F.xxhash64(F.lit(1), *reversed(parts)).alias("k2")]
+
+
+def block_pairs(rows: DataFrame, member: str) -> DataFrame:
+    """``rows`` with ``low`` and ``high``, once for each two of the ``blocks`` of a group that hold the member's own.
+
+    Each two members of a group meet under some (low, high), which has about two blocks' worth of rows
+    however large the group is; ``own`` is the member's block.
+    """
+    own = F.pmod(F.xxhash64(member), F.col("blocks"))
+    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return dealt.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("other", "blocks")
+
+
 def ascii_lower(column):
     """A-Z to a-z, all else untouched (``lower`` would also change other scripts)."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -2,10 +2,12 @@
 
 A fingerprint is embedded by counting the set bits of each of its segments. The Manhattan distance of
 two such vectors is never above the Hamming distance of the fingerprints, so a range join in the grid
-of count vectors finds all links: with ``bits`` differences spread over BLOCKS groups of segments, some
-BLOCKS - bits groups have equal counts, and the cells of those groups are where partners meet. In a cell
-the Manhattan bound goes first, the exact Hamming distance last. Counts are kept in unary, so that the
-Manhattan distance of two vectors is the number of bits in which their codes differ.
+of count vectors finds all links: with ``bits`` differences spread over some groups of segments, all but
+``bits`` groups have equal counts, and the cells of those groups are where partners meet. In a cell the
+Manhattan bound goes first, the exact Hamming distance last. Counts are kept in unary, so that the
+Manhattan distance of two vectors is the number of bits in which their codes differ. The number of groups
+follows the number of fingerprints; a cell of many members is compared block by block, each pair of
+blocks a group of its own, so no task holds a cell.
 """
 
 from __future__ import annotations
@@ -22,27 +24,15 @@ from pyspark.sql import functions as F
 from . import common
 
 SEED, BITS = 42, 3
-#: Groups of segments in the first grid; members of a cell there that are compared with one another;
-#: groups in the second grid, whose segments are single bits, for fingerprints in larger cells. A cell
-#: of the second grid holds 2 ** (BITS * 64 / FINE_BLOCKS) fingerprints at most, by construction.
-BLOCKS, MAX_CELL, FINE_BLOCKS = 6, 256, 16
+#: Members of a cell that a mean fingerprint is compared with, at most, in one grid (more fingerprints: more groups of
+#: segments); members of a cell that make one block.
+COMPARED, BLOCK = 4096, 4096
 #: Shingles whose bits are counted at once.
 PIECE = 1 << 16
 
 
-def fingerprint(body: bytes, shingle: int = 3) -> int:
-    """64-bit SimHash, as a signed number, of the shingles (repeats included) of lower-cased words."""
-    words = body.lower().split()
-    if not words:
-        return 0
-    joined, seed, digest = b" ".join(words), SEED, xxhash.xxh64_intdigest
-    if len(words) < shingle:
-        hashes = np.array([digest(joined, seed)], np.uint64)
-    else:
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        end = np.cumsum(size + 1) - 1
-        start = (end - size)[: len(words) - shingle + 1].tolist()
-        hashes = np.array([digest(joined[a:b], seed) for a, b in zip(start, end[shingle - 1 :].tolist(), strict=True)], np.uint64)
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half the hashes have, as a signed number."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), PIECE):
         part = hashes[at : at + PIECE].view(np.uint8).reshape(-1, 8)
@@ -50,6 +40,25 @@ def fingerprint(body: bytes, shingle: int = 3) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.int64)[0])
 
 
+def shingle_hashes(body: bytes, shingle: int) -> np.ndarray:
+    """64-bit hashes of the shingles, repeats included, of lower-cased words; fewer words are one shingle, none have none."""
+    words = body.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined, seed, digest = b" ".join(words), SEED, xxhash.xxh64_intdigest
+    if len(words) <= shingle:
+        return np.array([digest(joined, seed)], np.uint64)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    end = np.cumsum(size + 1) - 1
+    start = (end - size)[: len(words) - shingle + 1].tolist()
+    return np.array([digest(joined[a:b], seed) for a, b in zip(start, end[shingle - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def fingerprint(body: bytes, shingle: int = 3) -> int:
+    """64-bit SimHash, as a signed number; zero for a text without words."""
+    return majority(shingle_hashes(body, shingle))
+
+
 def fingerprints(docs: DataFrame, *, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp of every row; a text without words (null, empty, white space) has fingerprint zero. Narrow."""
 
@@ -58,7 +67,8 @@ def fingerprints(docs: DataFrame, *, shingle: int = 3, id_col: str = "doc_id", t
             [batch.column("doc_id"), pa.array([fingerprint(b.as_py(), shingle) for b in batch.column("body")], pa.int64())], ["doc_id", "fp"]
         )
 
-    return common.map_batches(common.text_bytes(docs, id_col, text_col), make, "doc_id long, fp long")
+    rows = common.text_bytes(docs, id_col, text_col)
+    return common.map_batches(rows, make, f"{common.typed(rows, 'doc_id')}, fp long")
 
 
 def _signed(mask: int) -> int:
@@ -75,12 +85,22 @@ def embedded(fp: Column) -> Column:
     return low.bitwiseOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
 
 
-def grid_masks(blocks: int, width: int, bits: int = BITS) -> list[int]:
-    """A mask for every choice of ``blocks - bits`` of the groups of ``width``-bit segments."""
-    segments = 64 // width
-    edges = [i * segments // blocks * width for i in range(blocks + 1)]
+def groups_for(count: int, bits: int = BITS, compared: int = COMPARED) -> int:
+    """Groups of segments: at least twice ``bits``, and so many that ``count`` random fingerprints give a cell of ``compared``.
+
+    Two segments of random fingerprints have equal counts with a probability of 3/8.
+    """
+    for groups in range(max(2 * bits, 1), 33):
+        if count * 0.375 ** (32 * (groups - bits) // groups) <= compared:
+            break
+    return groups
+
+
+def grid_masks(groups: int, bits: int = BITS) -> list[int]:
+    """A mask for every choice of ``groups - bits`` of the groups of two-bit segments."""
+    edges = [i * 32 // groups * 2 for i in range(groups + 1)]
     group = [(1 << b) - (1 << a) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    return [_signed(sum(group[i] for i in chosen)) for chosen in combinations(range(blocks), blocks - bits)]
+    return [_signed(sum(group[i] for i in chosen)) for chosen in combinations(range(groups), groups - bits)]
 
 
 def _cells(nodes: DataFrame, code: Column, masks: list[int]) -> DataFrame:
@@ -122,29 +142,25 @@ def _linked_in_cell(bits: int):
     return run
 
 
-def links(nodes: DataFrame, *, bits: int = BITS, max_cell: int = MAX_CELL) -> DataFrame:
+def links(nodes: DataFrame, *, bits: int = BITS, block: int = BLOCK) -> DataFrame:
     """a, b: links between distinct fingerprints (``fp`` of ``nodes``, unique), enough to connect what is linked.
 
-    Cells are counted before their members are gathered. Pairs come from the counts alone. Cells of up to
-    ``max_cell`` are gathered; members of larger ones go to the second grid, which has no large cells.
+    Cells are counted before their members are gathered. Pairs come from the counts alone. The members of a
+    larger cell are dealt to its blocks (one, unless there are more than ``block``), and each two blocks,
+    and each with itself, are compared on their own.
     """
-    code = embedded(F.col("fp"))
-    cells = _cells(nodes, code, grid_masks(BLOCKS, 2, bits))
+    if not 0 <= bits <= 6:
+        raise ValueError("bits must be 0 to 6")
+    cells = _cells(nodes, embedded(F.col("fp")), grid_masks(groups_for(nodes.count(), bits), bits))
     counted = common.cut(
         cells.groupBy("grid", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
     )
     near = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= bits
     a, b = F.col("a"), F.col("b")
     pairs = counted.where("n = 2").where(near(embedded(a), embedded(b)) & near(a, b)).select("a", "b")
-    keys = ["grid", "cell"]
-    small = cells.join(counted.where((F.col("n") > 2) & (F.col("n") <= max_cell)).select(*keys), keys)
-    found = pairs.unionByName(small.groupBy(*keys).agg(F.collect_list("fp").alias("members")).select("members").mapInArrow(_linked_in_cell(bits), "a long, b long"))
-    if not counted.where(F.col("n") > max_cell).isEmpty():
-        crowd = cells.join(counted.where(F.col("n") > max_cell).select(*keys), keys).select("fp").distinct()
-        fine = _cells(crowd, F.col("fp"), grid_masks(FINE_BLOCKS, 1, bits))
-        members = fine.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.collect_list("fp").alias("members")).where("n > 1")
-        found = found.unionByName(members.select("members").mapInArrow(_linked_in_cell(bits), "a long, b long"))
-    return found.distinct()
+    more = counted.where("n > 2").select("grid", "cell", F.ceil(F.col("n") / block).alias("blocks"))
+    members = common.block_pairs(cells.join(more, ["grid", "cell"]), "fp").groupBy("grid", "cell", "low", "high")
+    return pairs.unionByName(members.agg(F.collect_list("fp").alias("members")).select("members").mapInArrow(_linked_in_cell(bits), "a long, b long")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -175,282 +191,22 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def near_duplicates(
-    docs: DataFrame, *, bits: int = BITS, shingle: int = 3, max_cell: int = MAX_CELL, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, bits: int = BITS, shingle: int = 3, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id of every row: the smallest id among all rows whose fingerprints it reaches by links.
 
     Rows with equal fingerprints, and so equal texts, are one node, which is counted before its shuffle;
     texts without words have fingerprint zero and link like others. Null ids are skipped where the
     smallest is sought; a group of null ids only has a null one. Empty tables give empty results; other
-    columns are not read.
+    columns are not read. Texts of any length are read whole.
     """
     rows = common.cut(fingerprints(docs, shingle=shingle, id_col=id_col, text_col=text_col))
-    return rows.join(component_of(rows, bits=bits, max_cell=max_cell), "fp").select("doc_id", "fp", "component_id")
+    return rows.join(component_of(rows, bits=bits, block=block), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, *, bits: int = BITS, shingle: int = 3, max_cell: int = MAX_CELL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group, all columns as they are: that with the smallest id (null last), then text hash.
-
-    Of repeated rows of that id and text one is kept, whichever. Texts are shuffled once, by a hash of id and
-    text; fingerprints and groups are worked out on narrow rows before.
-    """
-    key = F.xxhash64(F.col(id_col), F.lit(0), F.col(text_col))
-
-    def make():
-        return lambda batch: pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([fingerprint(b.as_py(), shingle) for b in batch.column("body")], pa.int64()), batch.column("row_key")],
-            ["doc_id", "fp", "row_key"],
-        )
-
-    rows = common.cut(common.map_batches(common.text_bytes(docs, id_col, text_col, key.alias("row_key")), make, "doc_id long, fp long, row_key long"))
-    grouped = rows.join(component_of(rows, bits=bits, max_cell=max_cell).select("fp", "node"), "fp")
-    first = F.min(F.struct(F.isnull("doc_id"), "doc_id", "row_key"))["row_key"]
-    winners = grouped.groupBy("node").agg(first.alias("row_key")).select("row_key")
-    held = docs.select(key.alias("row_key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    return held.join(winners.hint("shuffle_hash"), "row_key").dropDuplicates(["row_key"]).select("row.*")
-
-
-def component_of(rows: DataFrame, *, bits: int = BITS, max_cell: int = MAX_CELL) -> DataFrame:
+def component_of(rows: DataFrame, *, bits: int = BITS, block: int = BLOCK) -> DataFrame:
     """fp, component_id, node: for each distinct fp of ``rows`` (doc_id, fp), its group's smallest id and fp."""
     nodes = common.cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(nodes.select("fp"), bits=bits, max_cell=max_cell))
+    roots = components(links(nodes.select("fp"), bits=bits, block=block))
     rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("node"))
     smallest = rooted.groupBy("node").agg(F.min("least").alias("component_id"))
     return rooted.select("fp", "node").join(smallest, "node").select("fp", "component_id", "node")
-
-
-#: Near-duplicates by shingle sets, for the pipeline: words a shingle, least Jaccard similarity.
-WORDS, ALIKE = 5, (4, 5)
-#: Tokens that a candidate pair shares in its prefixes; members of a token that are paired all with all
-#: before components are known; texts (a tenth at most) in which common tokens are looked for, and from what count they are common.
-SHARED, MAX_GROUP, SAMPLE, COMMON = 8, 64, 20000, 5
-#: Bits of a set's sketch; two sets differ in at least as many tokens as their sketches in bits.
-SKETCH = 1024
-#: Rows of a partition that are paired at once; bits of the filter that texts pass before they are shuffled.
-ROWS, FILTER_BITS = 1 << 18, 26
-
-
-def shingle_set(body: bytes, shingle: int = WORDS) -> np.ndarray:
-    """Distinct 64-bit hashes, sorted, of the shingles of lower-cased words; a shorter text is one shingle."""
-    words = body.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return np.array([digest(joined, SEED)], np.uint64)
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    end = np.cumsum(size + 1) - 1
-    start = (end - size)[: len(words) - shingle + 1].tolist()
-    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(start, end[shingle - 1 :].tolist(), strict=True)], np.uint64))
-
-
-def needed(n):
-    """Tokens that a set of ``n`` shares at least with any set that is alike."""
-    return -(-n * ALIKE[0] // ALIKE[1])
-
-
-def prefix(found: np.ndarray, common: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """The rarest tokens of a set, so many that two sets that are alike share SHARED (or as many as must be) of them.
-
-    ``common`` (sorted, with ``count``) go last; any order that all sets follow is right, this one is fast.
-    """
-    least = needed(len(found))
-    size = len(found) - least + min(SHARED, least)
-    if len(common) and size < len(found):
-        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
-        found = found[np.argsort(np.where(common[at] == found, count[at], 0), kind="stable")]
-    return found[:size]
-
-
-def sketch(found: np.ndarray) -> bytes:
-    """Parity of the number of a set's tokens in each of SKETCH classes."""
-    return np.packbits(np.bincount(found.view(np.int64) & (SKETCH - 1), minlength=SKETCH).astype(np.uint8) & 1).tobytes()
-
-
-def _pairs(whole: bool):
-    """Task function over (token, n, node, root, sketch), sorted: pairs of members of a token that may be alike.
-
-    Sizes, groups and, where ``whole``, sketches must allow it. Unless ``whole``, members of more than MAX_GROUP are paired with themselves and, at one token in eight,
-    with the next in an order of the token's own; such a pair is checked whatever else it shares.
-    """
-
-    def paired(token, n):
-        first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-        size = np.diff(np.r_[first, len(token)])
-        start, of = np.repeat(first, size), np.repeat(size, size)
-        big, at = (of > MAX_GROUP) & (not whole), np.arange(len(token))
-        place, left, lag = at - start, at[~big], 1
-        while len(left := left[place[left] + lag < of[left]]):
-            yield left, left + lag
-            # sizes grow within a token: who is too small for this partner is for all later ones
-            left = left[n[left] * ALIKE[1] >= n[left + lag] * ALIKE[0]]
-            lag += 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
-
-        def out(parts):
-            token, n, node, root, lines = parts
-            for i, j in paired(token, n):
-                fit = (n[i] * ALIKE[1] >= n[j] * ALIKE[0]) & (root[i] != root[j])
-                for words in (slice(4), slice(None)) if whole else ():
-                    x, y = i[fit], j[fit]  # alike: (a + b) / 9 tokens or fewer are in one set only
-                    fit[fit] = np.bitwise_count(lines[x, words] ^ lines[y, words]).sum(axis=1, dtype=np.int64) * sum(ALIKE) <= (n[x] + n[y]) * (ALIKE[1] - ALIKE[0])
-                yield batch_of(node[i[fit]], node[j[fit]], np.minimum(needed(np.minimum(n[i[fit]], n[j[fit]])), SHARED))
-            if not whole:
-                first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-                size = np.diff(np.r_[first, len(token)])
-                crowd = np.flatnonzero(np.repeat(size > MAX_GROUP, size))
-                own = np.unique(node[crowd])
-                yield batch_of(own, own, np.zeros(len(own), np.int64))
-                mixed = token[crowd].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                some = mixed >> np.uint64(61) == 0
-                crowd, mixed = crowd[some], mixed[some]
-                crowd = crowd[np.lexsort(((node[crowd].view(np.uint64) ^ mixed) * np.uint64(0xBF58476D1CE4E5B9), token[crowd]))]
-                i, j = crowd[:-1], crowd[1:]
-                less, more = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-                fit = (token[i] == token[j]) & (root[i] != root[j]) & (less * ALIKE[1] >= more * ALIKE[0])
-                yield batch_of(node[i[fit]], node[j[fit]], np.ones(int(fit.sum()), np.int64))
-
-        def batch_of(x, y, need):
-            columns = np.minimum(x, y), np.maximum(x, y), need.astype(np.int32)
-            return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["a", "b", "need"])
-
-        def joined():
-            return [np.concatenate([h[k] for h in held]) for k in range(5)]
-
-        for batch in batches:
-            lines = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
-            held.append([*(batch.column(c).to_numpy() for c in ("token", "n", "node", "root")), lines])
-            rows += batch.num_rows
-            if rows >= ROWS and held[0][0][0] != held[-1][0][-1]:
-                parts = joined()
-                end = int(np.flatnonzero(parts[0] != parts[0][-1])[-1]) + 1
-                yield from out([p[:end] for p in parts])
-                held = [[p[end:] for p in parts]]
-                rows = len(held[0][0])
-        if held and rows:
-            yield from out(joined())
-
-    return run
-
-
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Task function over (a, b, sets of both): the pairs whose Jaccard similarity is high enough."""
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = len(x) + len(y) - len(np.union1d(x, y))
-            keep.append(both * ALIKE[1] >= (len(x) + len(y) - both) * ALIKE[0])
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def common_tokens(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Tokens that COMMON or more of about SAMPLE texts have, sorted, and their counts. They order prefixes, no more."""
-    share = min(0.1, SAMPLE / max(1, docs.count()))
-    some = docs.where(F.pmod(F.xxhash64(text_col), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-
-    def make():
-        return lambda batch: pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([shingle_set(b.as_py()) for b in batch.column("body")]).view(np.int64))], ["token"]
-        )
-
-    tokens = common.map_batches(common.text_bytes(some, text_col, text_col).select("body"), make, "token long")
-    got = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON).toArrow()
-    token, n = got.column("token").to_numpy().view(np.uint64), got.column("n").to_numpy()
-    order = np.argsort(token)
-    return token[order], n[order]
-
-
-def similar(docs: DataFrame, nodes: DataFrame, key: Column, text_col: str = "text") -> DataFrame:
-    """a, b: links, enough to connect all of ``nodes`` (node, n, rep, prefix, sketch) whose sets are alike.
-
-    Sets that are alike share tokens of their prefixes; pairs are made where tokens meet, and each is
-    checked with its whole sets. Where a token has many members, a few pairs of each member come first, and
-    all pairs that the links found so far leave unconnected last.
-    """
-
-    def spread():
-        def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            parts = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("prefix")]
-            size = [len(p) for p in parts]
-            at = pa.array(np.repeat(np.arange(len(parts)), size))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(parts)), *(batch.column(c).take(at) for c in ("n", "node", "root", "sketch"))], ["token", "n", "node", "root", "sketch"]
-            )
-
-        return apply
-
-    def sets():
-        return lambda batch: pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([shingle_set(b.as_py()).tobytes() for b in batch.column("body")], pa.binary())], ["node", "tokens"]
-        )
-
-    def texts_of(reps: DataFrame) -> DataFrame:
-        """node, text of ``reps`` (node, row_key): texts of other rows stop, but for a few, at a filter of fixed size."""
-        slot = F.pmod(F.xxhash64("row_key"), F.lit(1 << FILTER_BITS)).cast("int")
-        seen = np.zeros(1 << FILTER_BITS, bool)
-        seen[reps.select(slot.alias("slot")).distinct().toArrow().column("slot").to_numpy()] = True
-        shared = docs.sparkSession.sparkContext.broadcast(np.packbits(seen))
-
-        def passing():
-            bits = shared.value
-            apply = lambda at: (bits[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)
-            return lambda batch: batch.filter(pa.array(apply(batch.column("slot").to_numpy())))
-
-        rows = docs.select(key.alias("row_key"), F.col(text_col).alias("text")).withColumn("slot", slot)
-        some = common.map_batches(rows, passing, rows.schema)
-        return some.join(reps, "row_key").select("node", "text").dropDuplicates(["node"])
-
-    def checked(known: DataFrame, whole: bool) -> tuple[DataFrame, DataFrame]:
-        """Links, and the nodes that have a token of many members (a, as b)."""
-        tokens = common.map_batches(known.select("node", "n", "prefix", "root", "sketch"), spread, "token long, n long, node long, root long, sketch binary")
-        found = tokens.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(_pairs(whole), "a long, b long, need int")
-        met = common.cut(found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"), F.min("need").alias("need")).where("met >= need"))
-        pairs = met.where("a <> b").select("a", "b")
-        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        reps = common.cut(nodes.join(ends, "node").select("node", F.col("rep").alias("row_key")))
-        held = common.cut(common.map_batches(common.text_bytes(texts_of(reps), "node", "text"), sets, "node long, tokens binary"))
-        side = lambda x: held.select(F.col("node").alias(x), F.col("tokens").alias(f"set_{x}"))
-        links = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(_alike, "a long, b long")
-        return common.cut(links), met.where("a = b").select(F.col("a").alias("node"))
-
-    links, crowd = checked(nodes.withColumn("root", F.col("node")).withColumn("sketch", F.lit(b"")), False)
-    if not crowd.isEmpty():  # a pair that isn't found yet has a token of many members, and so have both its ends
-        roots = components(links).withColumnRenamed("root", "r")
-        known = nodes.join(crowd, "node").join(roots, "node", "left").withColumn("root", F.coalesce("r", "node"))
-        links = links.unionByName(checked(known, True)[0])
-    return links
-
-
-def keep_one_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group of texts linked by a Jaccard similarity of 0.8 or more, all columns as they are.
-
-    The similarity is that of the sets of five-word shingles, and no pair that has it is missed; texts
-    without words are one group. Which row stays, and how rows travel, is as in ``keep_one``.
-    """
-    key = F.xxhash64(F.col(id_col), F.lit(0), F.col(text_col))
-    shared = docs.sparkSession.sparkContext.broadcast(common_tokens(docs, text_col))
-
-    def make():
-        def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [shingle_set(b.as_py()) for b in batch.column("body")]
-            node = [xxhash.xxh64_intdigest(f.tobytes(), SEED) for f in found]
-            return pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("row_key"), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array([len(f) for f in found], pa.int64()),
-                 pa.array([prefix(f, *shared.value).tobytes() for f in found], pa.binary()), pa.array([sketch(f) for f in found], pa.binary())],
-                ["doc_id", "row_key", "node", "n", "prefix", "sketch"],
-            )
-
-        return apply
-
-    rows = common.map_batches(common.text_bytes(docs, id_col, text_col, key.alias("row_key")), make, "doc_id long, row_key long, node long, n long, prefix binary, sketch binary")
-    first = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "row_key")).alias("first")
-    nodes = common.cut(rows.groupBy("node").agg(first, F.min("row_key").alias("rep"), F.min("n").alias("n"), F.min("prefix").alias("prefix"), F.min("sketch").alias("sketch")))
-    roots = components(similar(docs, nodes.drop("first"), key, text_col))
-    grouped = nodes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first"))
-    winners = grouped.select(F.col("first.row_key").alias("row_key"))
-    held = docs.select(key.alias("row_key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    return held.join(winners.hint("shuffle_hash"), "row_key").dropDuplicates(["row_key"]).select("row.*")

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from test_decontamination import brute as overlaps
-from test_simhash import slow_components, slow_fingerprint
+from test_near_texts import slow_similar
 
 import corpus_pipeline
 from lodestrand.llm import mixing, quality, secrets
@@ -44,7 +44,7 @@ def test_stages_against_brute_force(spark, world):
     assert 0.6 * len(docs) < len(kept) < len(docs)
 
     fake = {i: d for i, d in enumerate(kept)}
-    group = slow_components([(i, slow_fingerprint(d["text"])) for i, d in fake.items()])
+    group = dict(enumerate(slow_similar([d["text"] for d in kept])))
     first = {}
     for i, g in group.items():
         d = fake[i]

@@ -4,7 +4,6 @@ import numpy as np
 import pytest
 import xxhash
 
-import corpus_pipeline
 from lodestrand.llm import simhash as sh
 
 
@@ -41,8 +40,8 @@ def test_fingerprint(text):
     assert sh.fingerprint((text or "").encode()) == slow_fingerprint(text)
 
 
-@pytest.mark.parametrize("max_cell", [256, 4])
-def test_components_against_brute_force(spark, max_cell):
+@pytest.mark.parametrize("block", [4096, 4])
+def test_components_against_brute_force(spark, block):
     r = random.Random(11)
     fps = [r.getrandbits(64) for _ in range(150)]
     for _ in range(250):  # chains and dense clusters
@@ -52,10 +51,29 @@ def test_components_against_brute_force(spark, max_cell):
     signed = [f - 2**64 if f >= 2**63 else f for f in fps]
     pairs = [(1000 - i, f) for i, f in enumerate(signed)]
     df = spark.createDataFrame(pairs, "doc_id long, fp long").repartition(3)
-    got = {x.doc_id: x.component_id for x in df.join(sh.component_of(df, max_cell=max_cell), "fp").collect()}
+    got = {x.doc_id: x.component_id for x in df.join(sh.component_of(df, block=block), "fp").collect()}
     assert got == slow_components(pairs)
 
 
+@pytest.mark.parametrize("compared", [4096, 1e-6, 1e-11])
+def test_finer_grids_lose_no_link(spark, compared, monkeypatch):
+    """The grid that more fingerprints would have finds the same links."""
+    groups = sh.groups_for(400, compared=compared)
+    monkeypatch.setattr(sh, "groups_for", lambda *_: groups)
+    assert (groups > 6) == (compared < 1)
+    r = random.Random(3)
+    fps = [r.getrandbits(64) for _ in range(100)]
+    fps += [f ^ sum(1 << b for b in r.sample(range(64), r.randint(1, 4))) for f in fps for _ in range(3)]
+    pairs = [(i, f - 2**64 if f >= 2**63 else f) for i, f in enumerate(fps)]
+    df = spark.createDataFrame(pairs, "doc_id long, fp long")
+    assert {x.doc_id: x.component_id for x in df.join(sh.component_of(df), "fp").collect()} == slow_components(pairs)
+
+
+def test_ids_of_any_type(spark):
+    df = spark.createDataFrame([("b", "x y z"), ("a", "X y z"), (None, "other")], "doc_id string, text string")
+    assert sorted((x.doc_id or "", x.component_id) for x in sh.near_duplicates(df).collect()) == [("", None), ("a", "a"), ("b", "a")]
+
+
 def test_rows(spark):
     rows = [(5, "the same words here", 1), (3, "The same  words here", 2), (None, "the same words here", 3), (9, None, 4), (8, "", 5), (5, "the same words here", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, fp int")
@@ -68,61 +86,3 @@ def test_a_long_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 999)], "a long, b long")
     got = {x.node: x.root for x in sh.components(edges).collect()}
     assert got == {**dict.fromkeys(range(301), 0), 999: 999, 1000: 999}
-
-
-def slow_set(text, n=5):
-    words = (text or "").encode().lower().split()
-    return frozenset(b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))) if words else frozenset()
-
-
-def slow_similar(texts):
-    """Index of each text's group, by brute force over all pairs with five-word Jaccard similarity of 0.8 or more."""
-    found = [slow_set(t) for t in texts]
-    group = list(range(len(texts)))
-    for i, x in enumerate(found):
-        for j, y in enumerate(found[:i]):
-            if group[i] != group[j] and 5 * len(x & y) >= 4 * len(x | y):
-                a, b = sorted((group[i], group[j]))
-                group = [a if g == b else g for g in group]
-    return group
-
-
-def edited_texts():
-    """Unlike texts with a passage that all share, copies of them with words changed, a crowd around one text, odd ones."""
-    r = random.Random(5)
-    word = lambda: "".join(r.choices("abcdefgh", k=6))
-    passage = [word() for _ in range(12)]
-    texts = [None, "", " \n", "one", "One", "a b c d e", "a b c d e f", "x " * 50]
-    for i in range(60):
-        words = [word() for _ in range(r.randint(5, 300))]
-        words[2:2] = passage
-        for _ in range(40 if i == 0 else 3):
-            copy = list(words)
-            for _ in range(r.randint(0, max(1, len(words) // 35))):
-                copy[r.randrange(len(copy))] = word()
-            texts.append(" ".join(copy))
-    return texts
-
-
-@pytest.mark.parametrize("max_group", [64, 4])
-def test_similar_against_brute_force(spark, monkeypatch, max_group):
-    monkeypatch.setattr(sh, "MAX_GROUP", max_group)
-    monkeypatch.setattr(sh, "COMMON", 1000 if max_group == 4 else 5)
-    texts = edited_texts()
-    group = slow_similar(texts)
-    df = spark.createDataFrame([(1000 - i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, at int").repartition(3)
-    got = sh.keep_one_similar(df)
-    assert got.columns == df.columns
-    last = {g: i for i, g in enumerate(group)}  # ids fall as places rise
-    assert sorted(x.at for x in got.collect()) == sorted(last.values())
-    assert sh.keep_one_similar(df.limit(0)).count() == 0
-
-
-def test_the_stage_links_edited_copies(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    rows = docs.collect()
-    least = {}
-    for r, g in zip(rows, slow_similar([r.text for r in rows])):
-        least[g] = min(least.get(g, r.doc_id), r.doc_id)
-    got = corpus_pipeline.drop_near_duplicates(spark, docs, "/root/testdata/sf0.01")
-    assert sorted(x.doc_id for x in got.collect()) == sorted(least.values())
