@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrand.llm import decontamination, mixing, quality, secrets, simhash
+from lodestrand.llm import decontamination, mixing, near_texts, quality, secrets
 from lodestrand.llm.common import table
 
 #: No SQL: two stages are learned models.
@@ -27,7 +27,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of texts whose five-word shingles have a Jaccard similarity of 0.8 or more."""
-    return simhash.keep_one_similar(docs)
+    return near_texts.keep_one_similar(docs)
 
 
 def drop_benchmark_overlaps(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
