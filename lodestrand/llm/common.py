@@ -88,14 +88,14 @@ def ascii_lower(column):
 
 
 def labelled_rows(
-    docs: DataFrame, labels: DataFrame, label: str, fold: int, fold_is, max_rows: int, *, id_col: str = "doc_id",
+    docs: DataFrame, labels: DataFrame, label: str, fold: int, fold_is, max_rows: int, max_bytes: int, *, id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """At most ``max_rows`` labelled rows (doc_id, body, label) of the training folds.
+    """At most ``max_rows`` labelled rows (doc_id, body, label) of the training folds, with ``max_bytes`` of text at most.
 
-    The ids are the ``max_rows`` smallest by a hash, so the sample is the same at every run. They are
-    bounded by the parameter and therefore broadcast; no text is shuffled but that of the sample. An id
-    that has several labels gets the largest, one that has several texts the smallest.
+    The ids are those with the smallest hashes, so the sample is the same at every run. They are bounded by
+    the parameter and therefore broadcast; no text is shuffled but that of the sample. An id that has several
+    labels gets the largest, one that has several texts the smallest. The result is materialised.
     """
     ids = (
         labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull())
@@ -106,4 +106,13 @@ def labelled_rows(
         .limit(max_rows)
     )
     bodies = text_bytes(docs, id_col, text_col).join(F.broadcast(ids), "doc_id")
-    return bodies.groupBy("doc_id").agg(F.min("body").alias("body"), F.max("label").alias("label"))
+    rows = cut(bodies.groupBy("doc_id").agg(F.min("body").alias("body"), F.max("label").alias("label")))
+    left, last = max_bytes, None
+    for h, doc_id, size in rows.select(F.xxhash64("doc_id").alias("h"), "doc_id", F.octet_length("body")).orderBy("h", "doc_id").collect():  # max_rows at most
+        left -= size
+        if left < 0:
+            break
+        last = h
+    if left >= 0:
+        return rows
+    return rows.where(F.xxhash64("doc_id") <= F.lit(last)) if last is not None else rows.limit(0)

@@ -1,18 +1,18 @@
-"""Near-duplicates by similarity of shingle sets: SimHash proposes most links, an exact search proves that none is missing.
+"""Near-duplicates by similarity of shingle sets: fingerprints and min-hashes propose links, whole sets decide.
 
 Two texts are linked if the Jaccard similarity of their sets of five-word shingles is 0.8 or more. Every
-link is decided on the whole sets. What is compared comes from two passes:
+link is decided on the whole sets. What is compared comes from lists of texts:
 
 1. The SimHash operator links fingerprints of the shingle sets. Such texts, and neighbours in the lists of
-   texts that share a rare shingle, are compared if their sketches allow it; then each text with the one of
-   each other group in its lists that has the nearest sketch. This joins large groups at a cost in
-   proportion to their members.
-2. Texts that are alike share one of their few rarest shingles, whichever order of rareness all texts
-   follow. Where texts of different groups still share one, all such pairs that a bound by sketches lets
-   through are compared. Whoever has the same group already needs no comparison, so little is left here.
+   texts that agree in a band of min-hashes, are compared if their sketches allow it; then each text with
+   the one of each other group in its lists that has the nearest sketch. This joins large groups at a cost
+   in proportion to their members.
+2. All pairs of different groups that share a list, and whose sketches allow it, are compared. Whoever has
+   the same group already needs no comparison, so little is left here; no list and no group is cut off.
 
 A fingerprint alone can't do: texts with a similarity of 0.8 differ in 10 of its 64 bits on average, and no
-grid of cells finds 16 differing bits without comparing nearly all with all.
+grid of cells finds 16 differing bits without comparing nearly all with all. Of pairs that are just alike,
+all BANDS bands miss 0.672 ** 40, one in eight million, and fewer of those that are more alike.
 """
 
 from __future__ import annotations
@@ -29,15 +29,16 @@ from . import common, simhash
 
 #: Words a shingle; least Jaccard similarity, as a fraction.
 WORDS, ALIKE = 5, (4, 5)
-#: Texts (a tenth at most) in which common shingles are looked for, from what count they are common, and how many are
-#: kept. They order the shingles of each text, which matters for speed only.
-SAMPLE, COMMON, MOST_COMMON = 20_000, 5, 1 << 20
+#: Bands of min-hashes, and min-hashes of a band.
+BANDS, ROWS_OF_BAND = 40, 5
 #: Bits of a set's sketch: two sets differ in at least as many shingles as their sketches in bits.
 SKETCH = 512
 #: Texts compared with a text in the first pass, at most; members of a list that make one block in the second.
 PROPOSED, BLOCK = 2, 4096
-#: Rows of a partition that are paired at once; shingles of texts that a task keeps at hand.
-ROWS, AT_HAND = 1 << 18, 1 << 20
+#: Rows of a partition that are paired at once; shingles of texts that a task keeps at hand; shingles hashed at once.
+ROWS, AT_HAND, SET_AT_ONCE = 1 << 18, 1 << 20, 1 << 12
+#: Of the numbers that min-hashes multiply with and add.
+SEED_OF_BANDS = 5
 
 
 def shingle_set(body: bytes, shingle: int = WORDS) -> np.ndarray:
@@ -45,21 +46,22 @@ def shingle_set(body: bytes, shingle: int = WORDS) -> np.ndarray:
     return np.unique(simhash.shingle_hashes(body, shingle))
 
 
-def needed(n):
-    """Shingles that a set of ``n`` shares at least with any set that is alike."""
-    return -(-n * ALIKE[0] // ALIKE[1])
+_R = np.random.default_rng(SEED_OF_BANDS)
+_TIMES, _PLUS = (_R.integers(0, 1 << 64, BANDS * ROWS_OF_BAND, np.uint64) for _ in range(2))
+_TIMES |= np.uint64(1)
+_FOLD = _R.integers(0, 1 << 64, ROWS_OF_BAND, np.uint64) | np.uint64(1)
 
 
-def rarest(found: np.ndarray, common_: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """The rarest shingles of a set, so many that two sets that are alike share one of them.
-
-    ``common_`` (sorted, with ``count``) go last; any order that all sets follow is right, this one is fast.
-    """
-    size = len(found) - needed(len(found)) + 1
-    if len(common_) and size < len(found):
-        at = np.minimum(np.searchsorted(common_, found), len(common_) - 1)
-        found = found[np.argsort(np.where(common_[at] == found, count[at], 0), kind="stable")]
-    return found[:size]
+def bands(found: np.ndarray) -> np.ndarray:
+    """A hash of the min-hashes of each band; the empty set has none."""
+    if not len(found):
+        return np.zeros(0, np.int64)
+    least = np.full(len(_TIMES), ~np.uint64(0))
+    for at in range(0, len(found), SET_AT_ONCE):
+        mixed = found[at : at + SET_AT_ONCE, None] * _TIMES + _PLUS
+        np.minimum(least, mixed.min(axis=0), out=least)
+    key = ((least ^ least >> np.uint64(31)).reshape(BANDS, ROWS_OF_BAND) * _FOLD).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _PLUS[0]
+    return (key ^ key >> np.uint64(29)).view(np.int64)
 
 
 def sketch(found: np.ndarray) -> bytes:
@@ -67,24 +69,6 @@ def sketch(found: np.ndarray) -> bytes:
     return np.packbits(np.bincount(found.view(np.int64) & (SKETCH - 1), minlength=SKETCH).astype(np.uint8) & 1).tobytes()
 
 
-def common_shingles(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that COMMON or more of about SAMPLE texts have, sorted, and their counts: MOST_COMMON at most."""
-    share = min(0.1, SAMPLE / max(1, docs.count()))
-    some = docs.where(F.pmod(F.xxhash64(text_col), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-
-    def make():
-        return lambda batch: pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([shingle_set(b.as_py()) for b in batch.column("body")]).view(np.int64))], ["token"]
-        )
-
-    tokens = common.map_batches(common.text_bytes(some, text_col, text_col).select("body"), make, "token long")
-    counted = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
-    got = counted.orderBy(F.desc("n"), "token").limit(MOST_COMMON).toArrow()
-    token, n = got.column("token").to_numpy().view(np.uint64), got.column("n").to_numpy()
-    order = np.argsort(token)
-    return token[order], n[order]
-
-
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Task function over (token, n, node), sorted: members of tokens of two or more, each with the next two there.
 
@@ -238,8 +222,8 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def shingled(docs: DataFrame, shared, id_col: str, text_col: str) -> DataFrame:
-    """A row a row: doc_id, k1 and k2 (what the row is known by), and of its set s1 and s2 (a 128-bit hash), fp, n, rarest, sketch."""
+def shingled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """A row a row: doc_id, k1 and k2 (what the row is known by), and of its set s1 and s2 (a 128-bit hash), fp, n, bands, sketch."""
 
     def make():
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -248,21 +232,21 @@ def shingled(docs: DataFrame, shared, id_col: str, text_col: str) -> DataFrame:
             columns = {
                 **{c: batch.column(c) for c in ("doc_id", "k1", "k2")}, "s1": pa.array(digest[:, 0]), "s2": pa.array(digest[:, 1]),
                 "fp": pa.array([simhash.majority(f) for f in found], pa.int64()), "n": pa.array([len(f) for f in found], pa.int64()),
-                "rarest": pa.array([rarest(f, *shared.value).view(np.int64) for f in found], pa.list_(pa.int64())), "sketch": pa.array([sketch(f) for f in found], pa.binary()),
+                "bands": pa.array([bands(f) for f in found], pa.list_(pa.int64())), "sketch": pa.array([sketch(f) for f in found], pa.binary()),
             }
             return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
         return apply
 
     rows = common.text_bytes(docs, id_col, text_col, *common.row_key(docs, id_col, text_col))
-    return common.map_batches(rows, make, f"{common.typed(rows, 'doc_id')}, k1 long, k2 long, s1 long, s2 long, fp long, n long, rarest array<long>, sketch binary")
+    return common.map_batches(rows, make, f"{common.typed(rows, 'doc_id')}, k1 long, k2 long, s1 long, s2 long, fp long, n long, bands array<long>, sketch binary")
 
 
 def _beside(members: DataFrame) -> DataFrame:
     """a, b: pairs that stand side by side in lists, those with the most lists first, PROPOSED for each node."""
     beside = members.select(F.col("node").alias("a"), F.explode(F.array("next1", "next2")).alias("b")).where("b IS NOT NULL")
     met = beside.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"))
-    best = Window.partitionBy("b").orderBy(F.desc("met"), "a")  # bounded by twice the rarest shingles of a node
+    best = Window.partitionBy("b").orderBy(F.desc("met"), "a")  # bounded by twice the bands of a node
     return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= PROPOSED).select("a", "b")
 
 
@@ -277,18 +261,21 @@ def _near_fingerprints(nodes: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """nodes (node, first: no_id, doc_id, k1, k2 of the first row of each distinct set) and roots (node, root) of those that have links."""
-    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text_col))
     first = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "k1", "k2")).alias("first")
     one = lambda *columns: [F.first(c).alias(c) for c in columns]  # noqa: E731  (equal in all rows of a set)
-    sets = shingled(docs, shared, id_col, text_col).groupBy("s1", "s2").agg(first, *one("fp", "n", "rarest", "sketch"))
+    sets = shingled(docs, id_col, text_col).groupBy("s1", "s2").agg(first, *one("fp", "n", "bands", "sketch"))
     nodes = common.cut(sets.drop("s1", "s2")).withColumn("node", F.monotonically_increasing_id())  # stable: read from the checkpoint
+    tokens = nodes.select(F.explode("bands").alias("token"), "n", "node").repartitionByRange("token", "n", "node").sortWithinPartitions("token", "n", "node")
+    # a long list lies in several partitions here: neighbours need no more
+    members = common.cut(tokens.mapInArrow(_neighbours, "token long, n long, node long, next1 long, next2 long"))
+    proposed = common.cut(_beside(members).unionByName(_near_fingerprints(nodes)).distinct())
+    ends = proposed.select(F.col("a").alias("node")).unionByName(proposed.select(F.col("b").alias("node"))).unionByName(members.select("node")).distinct()
+    rows = common.text_bytes(docs, id_col, text_col, *common.row_key(docs, id_col, text_col)).drop("doc_id")
+    wanted = nodes.join(ends, "node").select("node", "first.k1", "first.k2")
+    texts = common.cut(rows.join(wanted, ["k1", "k2"]).select("node", "body").dropDuplicates(["node"]))
 
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are alike."""
-        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        wanted = nodes.join(ends, "node").select("node", "first.k1", "first.k2")
-        rows = common.text_bytes(docs, id_col, text_col, *common.row_key(docs, id_col, text_col)).drop("doc_id")
-        texts = rows.join(wanted, ["k1", "k2"]).select("node", "body").dropDuplicates(["node"])
         side = lambda x: texts.select(F.col("node").alias(x), F.col("body").alias(f"text_{x}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
         return common.cut(both.mapInArrow(_alike, "a long, b long"))
@@ -306,10 +293,7 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
         dealt = common.block_pairs(rest, "node").select("token", "low", "high", "own", "n", "node", "root", "sketch")
         return dealt.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high", "n", "node").mapInArrow(_unlike_groups(nearest), "a long, b long").distinct()
 
-    # a long list lies in several partitions here: neighbours need no more
-    tokens = nodes.select(F.explode("rarest").alias("token"), "n", "node").repartitionByRange("token", "n", "node").sortWithinPartitions("token", "n", "node")
-    members = common.cut(tokens.mapInArrow(_neighbours, "token long, n long, node long, next1 long, next2 long"))
-    tested = common.cut(allowed(_beside(members).unionByName(_near_fingerprints(nodes)).distinct()))
+    tested = common.cut(allowed(proposed))
     roots = common.cut(simhash.components(linked(tested)))
     for nearest in (True, False):
         pairs = common.cut(across(roots, nearest).join(tested, ["a", "b"], "left_anti"))
@@ -321,8 +305,7 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
 def keep_one_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of texts linked by a Jaccard similarity of 0.8 or more, all columns as they are.
 
-    The similarity is that of the sets of five-word shingles, and no pair that has it is missed. The row
-    with the smallest id stays (null last), at a tie the one with the smallest hash of the row; of rows that
+    The similarity is that of the sets of five-word shingles, worked out on the whole sets. The row with the smallest id stays (null last), at a tie the one with the smallest hash of the row; of rows that
     are alike in all columns one stays. Texts without words (null, empty, white space) are one group. Texts
     of any length are read whole; an empty table gives an empty result. Whole texts are shuffled to be
     compared, if they are, and once at the end, by a hash of the row.

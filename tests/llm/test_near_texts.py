@@ -45,7 +45,6 @@ def edited_texts():
 @pytest.mark.parametrize("block", [4096, 4])
 def test_similar_against_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(nt, "BLOCK", block)
-    monkeypatch.setattr(nt, "COMMON", 1000 if block == 4 else 5)
     texts = edited_texts()
     group = slow_similar(texts)
     df = spark.createDataFrame([(1000 - i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, at int").repartition(3)
