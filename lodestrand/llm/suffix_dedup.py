@@ -7,12 +7,16 @@ suffixes at which such a string may start are sorted:
    tie). Equal windows have equal anchors at equal places, so windows whose anchor is unique in the corpus
    are done. Neighbouring windows with one anchor form a stretch; stretches are a few hundred bytes and
    about two for each hundred bytes of text, and only their hashes are shuffled.
-2. Equal stretches are counted before anything else; they need one place in the sort.
+2. Equal stretches are counted before anything else; they need one place in the sort. Stretches are dealt
+   by ranges of (anchor, hash), so an anchor that a third of all texts have is spread over tasks.
 3. Where an anchor has stretches that differ, one of each is fetched with its bytes and all suffixes that
    start its windows are sorted: multikey quicksort on eight-byte characters to SHALLOW bytes, then blind
    tries for the groups that are still together. Neighbours in that order that share ``length`` bytes are
    the repeated windows.
-4. Windows that repeat make removed runs.
+4. An anchor with very many stretches that differ is split first: STEPS neighbouring windows have all but
+   a few of their bytes in common, and that common string takes the anchor's place in 2 and 3, then each
+   window's own. Equal windows have equal strings, so the sort finds the same in smaller groups.
+5. Windows that repeat make removed runs.
 """
 
 from __future__ import annotations
@@ -28,12 +32,12 @@ from pyspark.sql import functions as F
 from . import common
 
 GRAM, SHALLOW = 64, 24
-#: Bytes hashed at once (any number; it only bounds memory); stretches that a task combines before it
+#: Bytes hashed at once (2 ** 23 at most, for places have 24 bits there; it only bounds memory); stretches that a task combines before it
 #: sends them; bytes sorted at once.
 PIECE, COMBINE, CHUNK = 1 << 20, 600_000, 8 << 20
-#: Distinct stretches of one anchor that one task sorts; the windows of a larger group are counted by a
-#: 128-bit hash each, which spreads them over all tasks.
-MAX_GROUP = 30_000
+#: Distinct stretches of one anchor that are sorted together; a larger group is split, by strings that so many
+#: neighbouring windows share, one step after the other.
+MAX_GROUP, STEPS = 1_000, (8, 1)
 
 _ONE, _TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -49,21 +53,29 @@ def _words(buffer: bytes) -> np.ndarray:
 
 
 class Hashes:
-    """Hashes of all strings of 8, GRAM and ``length`` bytes in a buffer."""
+    """Hashes of all strings of GRAM bytes in a buffer, and of longer ones."""
 
-    def __init__(self, buffer: bytes, length: int, seed: int = 1):
-        self.length = length
-        h = self.eight = _mix(_words(buffer), np.full(1, seed * 7919, np.uint64))
+    def __init__(self, buffer: bytes, seed: int = 1):
+        h = _mix(_words(buffer), np.full(1, seed * 7919, np.uint64))
         for n in (8, 16, 32):
             h = _mix(h[:-n], h[n:])
         self.gram = h
 
-    def window(self, at: np.ndarray) -> np.ndarray:
-        whole, rest = divmod(self.length, GRAM)
+    def of(self, at: np.ndarray, length: int) -> np.ndarray:
+        """Hashes of the strings of ``length`` bytes, GRAM at least, that start at ``at``."""
+        whole, rest = divmod(length, GRAM)
         h = self.gram[at]
         for i in range(1, whole):
             h = _mix(h, self.gram[at + i * GRAM])
-        return _mix(h, self.gram[at + self.length - GRAM]) if rest else h
+        return _mix(h, self.gram[at + length - GRAM]) if rest else h
+
+    def names(self, first: np.ndarray, last: np.ndarray, length: int) -> np.ndarray:
+        """Hashes of stretches by their first and last windows."""
+        return _mix(_mix(self.of(first, length), self.of(last, length)), (last - first).astype(np.uint64))
+
+
+#: The bits of a gram's hash that its place takes when the smallest is sought.
+_LOW = np.uint64((1 << 24) - 1)
 
 
 def stretches(buffer: bytes, first: np.ndarray, last: np.ndarray, length: int):
@@ -72,19 +84,17 @@ def stretches(buffer: bytes, first: np.ndarray, last: np.ndarray, length: int):
     total = int(counts.sum())
     if not total:
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
-    h, wide, n_windows = Hashes(buffer, length), length - GRAM + 1, len(buffer) - length + 1
-    low = np.uint64((1 << 24) - 1)
-    value = (h.gram & ~low) | np.arange(len(h.gram), dtype=np.uint64)
+    h, wide, n_windows = Hashes(buffer), length - GRAM + 1, len(buffer) - length + 1
+    value = (h.gram & ~_LOW) | np.arange(len(h.gram), dtype=np.uint64)
     value = np.concatenate([value, np.full(-len(value) % wide, ~np.uint64(0))]).reshape(-1, wide)
     ahead = np.minimum.accumulate(value, axis=1).ravel()
     back = np.minimum.accumulate(value[:, ::-1], axis=1)[:, ::-1].ravel()
-    best = (np.minimum(back[:n_windows], ahead[wide - 1 : wide - 1 + n_windows]) & low).astype(np.int64)
+    best = (np.minimum(back[:n_windows], ahead[wide - 1 : wide - 1 + n_windows]) & _LOW).astype(np.int64)
     at = np.repeat(first - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(total)
     anchor = best[at]
     new = np.flatnonzero((anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)) + 1
     start, end = at[np.concatenate([[0], new])], at[np.concatenate([new - 1, [total - 1]])]
-    name = _mix(_mix(h.window(start), h.window(end)), (end - start).astype(np.uint64))
-    return start, end - start + 1, h.gram[anchor[np.concatenate([[0], new])]], name
+    return start, end - start + 1, h.gram[anchor[np.concatenate([[0], new])]], h.names(start, end, length)
 
 
 def _pieces(bodies: list[bytes], length: int):
@@ -186,145 +196,215 @@ def _packed(start, n_windows, many):
 
 def _runs(tid: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(tid, place) of the runs that these windows make; a run stays below 2 ** 18 windows or so."""
-    by = np.lexsort((start, tid))
+    by = np.lexsort((start, *tid.T))
     tid, start, end = tid[by], start[by], (start + n)[by]
-    new = np.concatenate([[True], (tid[1:] != tid[:-1]) | (start[1:] > end[:-1]) | (start[1:] >> 18 != start[:-1] >> 18)]) if len(tid) else np.zeros(0, bool)
+    if not len(tid):
+        return tid, _packed(start, n, 0)
+    new = np.concatenate([[True], (tid[1:] != tid[:-1]).any(axis=1) | (start[1:] > end[:-1]) | (start[1:] >> 18 != start[:-1] >> 18)])
     first = np.flatnonzero(new)
-    return tid[first], _packed(start[first], np.maximum.reduceat(end, first) - start[first] if len(first) else first, 0)
+    return tid[first], _packed(start[first], np.maximum.reduceat(end, first) - start[first], 0)
 
 
-def _find(length: int):
-    """Task function over (tid, body): one row a stretch, combined by name over up to COMBINE stretches.
+#: Columns of a stretch, or of a run of windows that repeat (``mark``), which has no anchor and is dealt by text.
+STRETCH = "mark boolean, key long, name long, tid long, tid2 long, place long"
 
-    A name that is there several times sends one row, marked so, and the runs of all its windows as rows of
-    their own (``mark``), which have no key to meet at and are dealt by text.
+
+class _Combiner:
+    """Stretches of a task, combined by anchor and name over up to COMBINE of them.
+
+    A name that is there several times sends one row, marked so, and the runs of all its windows.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n_held = [], 0
-
-        def flush() -> pa.RecordBatch:
-            start, n, key, name, tid = (np.concatenate(x) for x in zip(*held, strict=True))
-            by = np.lexsort((name, key))
-            start, n, key, name, tid = start[by], n[by], key[by].view(np.int64), name[by].view(np.int64), tid[by]
-            new = np.concatenate([[True], (key[1:] != key[:-1]) | (name[1:] != name[:-1])])
-            many = ~(new & np.concatenate([new[1:], [True]]))
-            near, place = _runs(tid[many], start[many], n[many])
-            out = (
-                np.concatenate([np.zeros(new.sum(), bool), np.ones(len(near), bool)]),
-                np.concatenate([key[new], near]),
-                np.concatenate([name[new], np.zeros(len(near), np.int64)]),
-                np.concatenate([tid[new], near]),
-                np.concatenate([_packed(start, n, many)[new], place]),
-            )
-            return pa.RecordBatch.from_arrays(list(map(pa.array, out)), ["mark", "key", "name", "tid", "place"])
+    def __init__(self):
+        self.held, self.n = [], 0
+
+    def add(self, start, n, key, name, tid, known):
+        """``tid`` has a row of two numbers each; ``known`` says whether the stretch is known to repeat."""
+        self.held.append((start, n, key.view(np.int64), name.view(np.int64), tid, known))
+        self.n += len(start)
+
+    def batches(self, least: int = 1) -> Iterator[pa.RecordBatch]:
+        if self.n < max(least, 1):
+            return
+        start, n, key, name, tid, known = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        self.held, self.n = [], 0
+        by = np.lexsort((name, key))
+        start, n, key, name, tid, known = start[by], n[by], key[by], name[by], tid[by], known[by]
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (name[1:] != name[:-1])])
+        many = ~(new & np.concatenate([new[1:], [True]]))
+        near, place = _runs(tid[many & ~known], start[many & ~known], n[many & ~known])
+        some = np.maximum.reduceat(many | known, np.flatnonzero(new))
+        tid = np.concatenate([tid[new], near])
+        out = (
+            np.concatenate([np.zeros(new.sum(), bool), np.ones(len(near), bool)]),
+            np.concatenate([key[new], near[:, 0]]),
+            np.concatenate([name[new], near[:, 1]]),
+            tid[:, 0].copy(),
+            tid[:, 1].copy(),
+            np.concatenate([_packed(start, n, 0)[new] | some, place]),
+        )
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, out)), ["mark", "key", "name", "tid", "tid2", "place"])
+
+
+def _ids(batch: pa.RecordBatch) -> np.ndarray:
+    return np.stack([batch.column("tid").to_numpy(), batch.column("tid2").to_numpy()], axis=1)
 
+
+def _find(length: int):
+    """Task function over (tid, tid2, body): the stretches, combined."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _Combiner()
         for batch in batches:
-            tids = batch.column("tid").to_numpy()
+            tids = _ids(batch)
             for buffer, first, last, owner, shift in _pieces(batch.column("body").to_pylist(), length):
                 start, n, key, name = stretches(buffer, first, last, length)
                 text = np.searchsorted(first, start, side="right") - 1
-                held.append((start + shift[text], n, key, name, tids[owner[text]]))
-                n_held += len(start)
-                if n_held >= COMBINE:
-                    yield flush()
-                    held, n_held = [], 0
-        if n_held:
-            yield flush()
+                found.add(start + shift[text], n, key, name, tids[owner[text]], np.zeros(len(start), bool))
+                yield from found.batches(COMBINE)
+        yield from found.batches()
 
     return run
 
 
 def _judge(max_group: int):
-    """Task function over (mark, key, name, tid, place), sorted in that order: what becomes of each stretch.
+    """Task function over stretches, sorted by mark, key and name: what becomes of each, as (key, tid, tid2, place, kind).
 
-    kind 1: its windows repeat; 2: to be sorted; 3: to be counted by window. Unique keys vanish.
+    kind 1: its windows repeat; 2: to be sorted; 3: to be split; 0: 2, 3 or nothing, as its key may have
+    more names in other partitions. Of a name, one row is sorted or split. Unique keys vanish.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
-        huge = None  # the key whose group is being passed through
+        opened: set = set()  # keys that this partition may not have whole, or that are passed on in parts
 
-        def judged(key, name, tid, place) -> pa.RecordBatch | None:
-            nonlocal huge
+        def judged(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            key, name, tid, tid2, place = columns
             if not len(key):
-                return None
+                return
             new_key = np.concatenate([[True], key[1:] != key[:-1]])
-            new = np.concatenate([[True], new_key[1:] | (name[1:] != name[:-1])])
+            new = new_key | np.concatenate([[True], name[1:] != name[:-1]])
             of_key, of_name = np.cumsum(new_key) - 1, np.cumsum(new) - 1
-            names, rows = np.bincount(of_key[new]), np.bincount(of_name)
-            some = np.maximum.reduceat(place & 1, np.flatnonzero(new)) > 0
-            repeats = (rows[of_name] > 1) | some[of_name]
-            large = (names[of_key] > max_group) | (key == huge if huge is not None else False)
-            mixed = (names[of_key] > 1) | large
-            out = []
-            for kind, take in ((1, repeats & ((place & 1) == 0)), (2, mixed & ~large & new), (3, large & new)):
-                out.append((tid[take], (place | repeats)[take], key[take], np.full(take.sum(), kind, np.int32)))
-            if large[-1]:
-                huge = key[-1]
-            tid, place, key, kind = (np.concatenate(x) for x in zip(*out, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (tid, place, key, kind)], ["tid", "place", "key", "kind"])
+            names, rows = np.bincount(of_key[new])[of_key], np.bincount(of_name)[of_name]
+            known = place & 1
+            repeats = (rows > 1) | (np.maximum.reduceat(known, np.flatnonzero(new)) > 0)[of_name]
+            kind = np.where(np.isin(key, list(opened)), 0, np.where(names <= max_group, 2, 3))
+            once = new & ((names > 1) | (kind == 0))
+            again = repeats & (known == 0)
+            out = [np.concatenate([c[again], c[once]]) for c in (key, tid, tid2, place | repeats)]
+            kinds = np.concatenate([np.ones(again.sum(), np.int32), kind[once].astype(np.int32)])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, out), pa.array(kinds)], ["key", "tid", "tid2", "place", "kind"])
 
         for batch in batches:
             mark = batch.column("mark").to_numpy(zero_copy_only=False)
+            now = [c.to_numpy() for c in batch.columns[1:]]
             if mark.any():
-                tid, place = (batch.column(c).to_numpy()[mark] for c in ("tid", "place"))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (tid, place, tid, np.ones(len(tid), np.int32))], ["tid", "place", "key", "kind"])
-            now = [c.to_numpy()[~mark] for c in batch.columns[1:]]
-            if mark.all():
+                key, _, tid, tid2, place = (c[mark] for c in now)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (key, tid, tid2, place)), pa.array(np.ones(len(key), np.int32))], ["key", "tid", "tid2", "place", "kind"])
+            now = [c[~mark] for c in now]
+            if not len(now[0]):
                 continue
-            if rest is not None:
+            if rest is None:
+                opened.add(int(now[0][0]))
+            else:
                 now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
             key, name = now[0], now[1]
             last = int(np.searchsorted(key, key[-1]))
-            if len(key) - last > 2 * max_group:  # too many to hold: pass on all but the last name
+            if len(key) - last > 2 * COMBINE:  # too many to hold: pass on all but the last name
+                opened.add(int(key[-1]))
                 before = np.flatnonzero(name != name[-1])
                 last = int(before[-1]) + 1 if len(before) else last
-                huge = key[-1] if last and key[last - 1] == key[-1] else huge
-            if (done := judged(*(x[:last] for x in now))) is not None:
-                yield done
+            yield from judged([x[:last] for x in now])
+            opened &= {int(key[-1])}
             rest = [x[last:] for x in now]
-        if rest is not None and (done := judged(*rest)) is not None:
-            yield done
+        if rest is not None:
+            opened.add(int(rest[0][-1]))
+            yield from judged(rest)
 
     return run
 
 
-def _cut_out(length: int, windows: bool):
-    """Task function over (tid, body, wanted): the bytes of the wanted stretches, or a hash of each of their windows."""
+def _each_text(batches: Iterator[pa.RecordBatch]):
+    """(tid, tid2, body, [(key, place)]) of every text of a task once."""
+    seen: set = set()
+    for batch in batches:
+        for tid, tid2, body, wanted in zip(*(batch.column(c) for c in ("tid", "tid2", "body", "wanted")), strict=True):
+            known = tid.as_py(), tid2.as_py()
+            if known not in seen:
+                seen.add(known)
+                yield *known, body.as_py(), [(x["key"], x["place"]) for x in wanted.as_py()]
+
+
+def _cut_out(length: int):
+    """Task function over (tid, tid2, body, wanted): the bytes of the wanted stretches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [])
-            for tid, body, wanted in zip(*(batch.column(c).to_pylist() for c in ("tid", "body", "wanted")), strict=True):
-                if tid in seen:
-                    continue
-                seen.add(tid)
-                for one in wanted:
-                    place = one["place"]
-                    start, n = place >> 20, place >> 1 & 0x7FFFF
-                    part = body[start : start + n + length - 1]
-                    if windows:
-                        at = np.arange(n)
-                        out[0].extend(Hashes(part, length, 1).window(at).view(np.int64).tolist())
-                        out[1].extend(Hashes(part, length, 2).window(at).view(np.int64).tolist())
-                        out[2].extend([tid] * n)
-                        out[3].extend(_packed(start + at, np.ones(n, np.int64), place & 1).tolist())
-                    else:
-                        for column, value in zip(out, (one["key"], tid, place, part), strict=True):
-                            column.append(value)
-            kinds = [pa.int64()] * 3 + [pa.int64() if windows else pa.binary()]
-            names = ["hash", "hash2", "tid", "place"] if windows else ["key", "tid", "place", "part"]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names)
+        out, size = ([], [], [], [], []), 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:4]), pa.array(out[4], pa.binary())], ["key", "tid", "tid2", "place", "part"])
+
+        for tid, tid2, body, wanted in _each_text(batches):
+            for key, place in wanted:
+                start, n = place >> 20, place >> 1 & 0x7FFFF
+                part = body[start : start + n + length - 1]
+                for column, value in zip(out, (key, tid, tid2, place, part), strict=True):
+                    column.append(value)
+                size += len(part)
+            if size >= CHUNK:
+                yield batch()
+                out, size = ([], [], [], [], []), 0
+        if out[0]:
+            yield batch()
+
+    return run
+
+
+def _split(length: int, step: int):
+    """Task function over (tid, tid2, body, wanted): the wanted stretches as shorter ones, with what their windows share as the anchor.
+
+    An anchor's windows are dealt by where it lies in them, ``step`` neighbouring places to a part. All
+    windows of a part share the bytes from the start of the last to the end of the first of those places.
+    """
+
+    def parts_of(stretch: list[tuple]) -> tuple:
+        tid, tid2, start, n, known = (np.array(x) for x in list(zip(*stretch, strict=True))[:5])
+        bodies = [x[5] for x in stretch]
+        base = np.cumsum([0, *map(len, bodies)])[:-1]
+        buffer = b"".join(bodies)
+        hashes, second = Hashes(buffer), Hashes(buffer, 2)
+        # the anchor is the smallest-hashed of the grams that all windows of the stretch have
+        anchor = np.array([b + k - 1 + int((hashes.gram[b + k - 1 : b + length - GRAM + 1] & ~_LOW).argmin()) for b, k in zip(base, n, strict=True)])
+        owner = np.repeat(np.arange(len(n)), n)
+        at = base[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+        part = (anchor[owner] - at) // step
+        new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (part[1:] != part[:-1])])
+        first, last, of = at[new], at[np.concatenate([new[1:], [True]])], owner[new]
+        key = hashes.of(anchor[of] - part[new] * step, length - step + 1)
+        return start[of] + first - base[of], last - first + 1, key, second.names(first, last, length), np.stack([tid, tid2], axis=1)[of], known[of]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held, size = _Combiner(), [], 0
+        for tid, tid2, body, wanted in _each_text(batches):
+            for _, place in wanted:
+                start, n = place >> 20, place >> 1 & 0x7FFFF
+                held.append((tid, tid2, start, n, bool(place & 1), body[start : start + n + length - 1]))
+                size += n + length - 1
+                if size >= PIECE:
+                    found.add(*parts_of(held))
+                    held, size = [], 0
+                    yield from found.batches(COMBINE)
+        if held:
+            found.add(*parts_of(held))
+        yield from found.batches()
 
     return run
 
 
 def _sort_windows(length: int):
-    """Task function over (key, tid, place, part), sorted by key: runs of windows that repeat, for stretches not known to."""
+    """Task function over (key, tid, tid2, place, part), sorted by key: runs of windows that repeat, for stretches not known to."""
 
-    def sorted_out(tids, places, parts) -> pa.RecordBatch:
+    def sorted_out(tids, tids2, places, parts) -> pa.RecordBatch:
         starts_of = np.cumsum([0, *map(len, parts)])[:-1]
         place = np.array(places, np.int64)
         n = place >> 1 & 0x7FFFF
@@ -340,20 +420,21 @@ def _sort_windows(length: int):
         else:
             first = last = at
         found = _packed((place >> 20)[owner[first]] + inner[first], last - first + 1, 0)
-        return pa.RecordBatch.from_arrays([pa.array(np.array(tids, np.int64)[owner[first]]), pa.array(found)], ["tid", "place"])
+        ids = [pa.array(np.array(x, np.int64)[owner[first]]) for x in (tids, tids2)]
+        return pa.RecordBatch.from_arrays([*ids, pa.array(found)], ["tid", "tid2", "place"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size, last = [], 0, None
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if size >= CHUNK and row[0] != last:
-                    yield sorted_out(*zip(*((t, p, b) for _, t, p, b in rows), strict=True))
+                    yield sorted_out(*zip(*(r[1:] for r in rows), strict=True))
                     rows, size = [], 0
                 rows.append(row)
-                size += len(row[3])
+                size += len(row[4])
                 last = row[0]
         if rows:
-            yield sorted_out(*zip(*((t, p, b) for _, t, p, b in rows), strict=True))
+            yield sorted_out(*zip(*(r[1:] for r in rows), strict=True))
 
     return run
 
@@ -394,47 +475,48 @@ def remove_repeats(
     """doc_id, n_bytes, spans (removed runs, array<struct<start, end>> in bytes), kept_sha256, kept (binary).
 
     ``length`` is 128 to 8192. A null text is empty; texts shorter than ``length`` stay whole; of texts that
-    are repeated rows, all copies are removed (each is repeated elsewhere); strings never cross rows. Ids may be null or repeated; an
-    empty table gives an empty result; other columns are not read. A text is known by its 64-bit hash
-    while it is worked on, a stretch by two.
+    are repeated rows, all copies are removed (each is repeated elsewhere); strings never cross rows. A text
+    of any length is worked on whole, in pieces. Ids are of any type and may be null or repeated; an empty
+    table gives an empty result; other columns are not read. Texts and stretches are known by 128-bit
+    hashes while they are worked on; which windows of stretches that differ are equal, the sort says.
 
     Shuffled are: hashes of stretches (about 2 rows for 100 bytes), combined in each task first, so that a
     copied text or line costs a row a task; the texts once, by hash (used twice); the bytes of stretches
-    whose anchor has differing ones. An anchor with more than ``max_group`` of those is spread over tasks by
-    window. What is found between steps goes to the shared checkpoint folder.
+    whose anchor has differing ones. An anchor with more than ``max_group`` of those is split by longer
+    strings. What is found between steps goes to the shared checkpoint folder.
     """
     if not 2 * GRAM <= length <= 8192:
         raise ValueError("length must be 128 to 8192")
-    texts = common.text_bytes(docs, id_col, text_col).withColumn("tid", F.xxhash64("body"))
-    scanned = texts.select("tid", "body").where(F.octet_length("body") >= length)
-    judged = common.cut(
-        scanned.mapInArrow(_find(length), "mark boolean, key long, name long, tid long, place long")
-        .repartition("key")
-        .sortWithinPartitions("mark", "key", "name")
-        .mapInArrow(_judge(max_group), "tid long, place long, key long, kind int")
-    )
-
-    def fetched(kind: int, windows: bool, schema: str) -> DataFrame:
-        wanted = judged.where(F.col("kind") == kind).groupBy("tid").agg(F.collect_set(F.struct("key", "place")).alias("wanted"))
-        # doc_id goes along so that both uses of the texts read the same shuffle
-        joined = texts.join(wanted.hint("shuffle_hash"), "tid").select("doc_id", "tid", "body", "wanted")
-        return joined.mapInArrow(_cut_out(length, windows), schema)
-
-    by_sort = (
-        fetched(2, False, "key long, tid long, place long, part binary")
-        .repartition("key")
-        .sortWithinPartitions("key")
-        .mapInArrow(_sort_windows(length), "tid long, place long")
-    )
-    marks = judged.where("kind = 1").select("tid", "place").unionByName(by_sort)
-    if not judged.where("kind = 3").isEmpty():
-        each = fetched(3, True, "hash long, hash2 long, tid long, place long")
-        many = each.groupBy("hash", "hash2").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("place").bitwiseAND(1)).alias("some"))
-        found = each.join(many.where("n > 1 OR some = 1").select("hash", "hash2"), ["hash", "hash2"])
-        marks = marks.unionByName(found.select("tid", "place"))
+    texts = common.text_bytes(docs, id_col, text_col).withColumn("tid", F.xxhash64("body")).withColumn("tid2", F.xxhash64(F.lit(1), "body"))
+    found = texts.select("tid", "tid2", "body").where(F.octet_length("body") >= length).mapInArrow(_find(length), STRETCH)
+    ids, marks = ["tid", "tid2"], None
+
+    def fetched(rows: DataFrame) -> DataFrame:
+        wanted = rows.groupBy(*ids).agg(F.collect_set(F.struct("key", "place")).alias("wanted"))
+        # doc_id goes along so that all uses of the texts read the same shuffle
+        return texts.join(wanted.hint("shuffle_hash"), ids).select("doc_id", *ids, "body", "wanted")
+
+    for step in (*STEPS, None):
+        dealt = found.repartitionByRange("key", "name").sortWithinPartitions("mark", "key", "name")
+        judged = common.cut(dealt.mapInArrow(_judge(max_group if step else 1 << 62), "key long, tid long, tid2 long, place long, kind int"))
+        names = judged.where("kind = 0").groupBy("key").agg(F.count(F.lit(1)).alias("names")).where("names > 1")
+        parted = judged.where("kind = 0").drop("kind").join(names, "key").withColumn("kind", F.when(F.col("names") <= (max_group if step else 1 << 62), 2).otherwise(3))
+        whole = judged.where("kind > 1").unionByName(parted.drop("names"))
+        by_sort = (
+            fetched(whole.where("kind = 2"))
+            .mapInArrow(_cut_out(length), "key long, tid long, tid2 long, place long, part binary")
+            .repartition("key")
+            .sortWithinPartitions("key")
+            .mapInArrow(_sort_windows(length), "tid long, tid2 long, place long")
+        )
+        more = judged.where("kind = 1").select(*ids, "place").unionByName(by_sort)
+        marks = more if marks is None else marks.unionByName(more)
+        if step is None or whole.where("kind = 3").isEmpty():
+            break
+        found = fetched(whole.where("kind = 3")).mapInArrow(_split(length, step), STRETCH)
     clean = F.shiftleft(F.shiftright("place", 1), 1)
-    places = marks.groupBy("tid").agg(F.collect_set(clean).alias("places"))
-    joined = texts.join(places.hint("shuffle_hash"), "tid", "left").select("doc_id", "body", "places")
+    places = marks.groupBy(*ids).agg(F.collect_set(clean).alias("places"))
+    joined = texts.join(places.hint("shuffle_hash"), ids, "left").select("doc_id", *ids, "body", "places")
     return joined.mapInArrow(
-        _remove(length, keep_text), "doc_id long, n_bytes long, spans array<struct<start long, end long>>, kept_sha256 string, kept binary"
+        _remove(length, keep_text), f"{common.typed(texts, 'doc_id')}, n_bytes long, spans array<struct<start long, end long>>, kept_sha256 string, kept binary"
     )

@@ -49,8 +49,9 @@ def test_sort_is_the_order_of_prefixes(limit):
     assert equal.tolist() == [False] + [a == b for a, b in zip(got[:-1], got[1:])]
 
 
-@pytest.mark.parametrize("max_group", [sd.MAX_GROUP, 1])
-def test_against_brute_force(spark, max_group, monkeypatch):
+@pytest.mark.parametrize(("max_group", "combine"), [(sd.MAX_GROUP, sd.COMBINE), (1, sd.COMBINE), (3, 7)])
+def test_against_brute_force(spark, max_group, combine, monkeypatch):
+    monkeypatch.setattr(sd, "COMBINE", combine)
     docs = corpus()
     rows = [(i, t, "clash") for i, t in enumerate(docs)]
     df = spark.createDataFrame(rows, "doc_id long, text string, tid string").repartition(3)
@@ -62,6 +63,19 @@ def test_against_brute_force(spark, max_group, monkeypatch):
     assert len(got) == len(docs)
 
 
+def test_a_crowd_around_one_passage(spark):
+    """Many texts with one passage and other words about it: its anchors are split, nothing is lost."""
+    r = random.Random(9)
+    prose = lambda n: "".join(r.choices("abcdefgh  ", k=n))
+    passage = prose(330)
+    docs = [prose(r.randint(0, 90)) + passage[r.randint(0, 3) :] + prose(r.randint(0, 90)) for _ in range(150)]
+    want = brute([d.encode() for d in docs])
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(docs)], "doc_id string, text string").repartition(4)
+    for max_group in (1000, 20):
+        for row in sd.remove_repeats(df, max_group=max_group).collect():
+            assert (row.n_bytes, sum(s.end - s.start for s in row.spans), len(row.spans), row.kept_sha256) == want[int(row.doc_id)]
+
+
 def test_empty_table_and_null_ids(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert sd.remove_repeats(empty).count() == 0
