@@ -1,6 +1,7 @@
 import random
 from itertools import combinations
 
+import pytest
 import regex
 
 from lodestrand.llm import decontamination as dc
@@ -17,12 +18,12 @@ def brute(docs, items, overlap=13, need=11):
         d = words(text)
         for item, passage in items:
             b = words(passage)
-            if len(b) < 5 or not d:
+            if not b or not d:
                 continue
             wide = min(overlap, len(b))
             least = len(b) if len(b) < overlap else need
             shared = set(d) & set(b)
-            if len(shared) < 3:
+            if len(shared) < min(3, len(set(b))):
                 continue
             for shift in range(-len(b), len(d)):
                 same = [0 <= i + shift < len(d) and d[i + shift] == b[i] for i in range(len(b))]
@@ -42,12 +43,23 @@ def test_masks_see_every_overlap():
         assert any(all(at + o in same for o in m) for m in dc.MASKS for at in range(13 - max(m)))
 
 
+def test_masks_that_miss_an_overlap_are_refused(spark):
+    assert dc.covers(dc.MASKS, 13, 11) and not dc.covers(dc.MASKS, 13, 10) and not dc.covers(dc.MASKS[:1], 13, 11)
+    df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    with pytest.raises(ValueError):
+        dc.contaminated(df, bench, similarity=0.7)
+    one = dc.contaminated(df, bench, overlap=4, similarity=0.75, masks=((0, 1), (0, 2), (0, 3))).collect()
+    assert [tuple(r) for r in one] == [(1, 1, 2, 0)]
+
+
 def made_up(seed=3):
     r = random.Random(seed)
     vocabulary = ["the", "of", "a", *("".join(r.choices("abcdefgé", k=4)) for _ in range(200))]
     prose = lambda n: r.choices(vocabulary, k=n)
-    items = [(i, prose(n)) for i, n in enumerate([3, 5, 6, 12, 13, 14, 20, 40, 60, 60])]
-    items.append((10, items[9][1]))
+    items = [(i, prose(n)) for i, n in enumerate([1, 2, 3, 4, 5, 6, 12, 13, 14, 20, 40, 60, 60])]
+    items[0] = (0, ["zebra"])
+    items.append((13, items[12][1]))
     docs = [(i, " ".join(prose(r.randint(0, 80)))) for i in range(30)]
     for i in range(30, 120):
         _, passage = r.choice(items)
@@ -57,7 +69,7 @@ def made_up(seed=3):
         a = r.randint(0, len(cut) // 2)
         text = " ".join([*prose(r.randint(0, 20)), *cut[a:], *prose(r.randint(0, 20))])
         docs.append((i, text.upper().replace(" ", ", ") if i % 5 == 0 else text))
-    docs += [(200, None), (201, ""), (202, " ,. "), (203, "the " * 300)]
+    docs += [(199, " ".join([*prose(20_000), *items[8][1], *prose(20_000)])), (200, None), (201, ""), (202, " ,. "), (203, "the " * 300)]
     return docs, [(i, " ".join(w)) for i, w in items] + [(20, None), (21, "")]
 
 
@@ -67,8 +79,8 @@ def test_against_brute_force(spark):
     bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, seed int")
     want = brute(docs, items)
     assert len(want) > 40
-    for limit in (dc.MAX_SEEDS, 100):
-        got = {tuple(r) for r in dc.contaminated(df, bench, max_seeds=limit).collect()}
+    for limit in (dc.MAX_BYTES, 60_000):
+        got = {tuple(r) for r in dc.contaminated(df, bench, max_bytes=limit).collect()}
         assert got == want
     clean = {r.doc_id for r in dc.keep_clean(df, bench).collect()}
     assert clean == {i for i, _ in docs} - {d for d, *_ in want}
