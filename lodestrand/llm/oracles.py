@@ -9,7 +9,9 @@ def op2_sql(source: str = "documents") -> str:
     """Mixing: fill sources in order of cap over weight, then systematic sampling along one line a source."""
     return rf"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size FROM {source}
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size,
+         md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS h
+  FROM {source}
 ), totals AS (
   SELECT source, sum(size)::BIGINT AS source_size,
          (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1)::INT AS sid
@@ -32,12 +34,10 @@ WITH sized AS (
          ('0x' || substr(md5('mix:offset:' || sid), 1, 5))::INT / 1048576.0::DOUBLE AS shift
   FROM capped, level
 ), placed AS (
-  SELECT d.doc_id, d.size, p.*, CASE WHEN source_size = 0 THEN 0 ELSE target / source_size END AS rate,
+  SELECT d.doc_id, d.size, d.h, p.*, CASE WHEN source_size = 0 THEN 0 ELSE target / source_size END AS rate,
          row_number() OVER (
            PARTITION BY p.sid
-           ORDER BY len(bin(size)) * 4 + substr(rpad(bin(size), 3, '0'), 2, 2)::INT,
-                    substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 2), size,
-                    md5('mix:' || coalesce(doc_id::VARCHAR, '')), doc_id NULLS FIRST
+           ORDER BY len(bin(size)) * 4 + substr(rpad(bin(size), 3, '0'), 2, 2)::INT, h
          )::DOUBLE AS place
   FROM sized d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source
 ), copied AS (
@@ -98,10 +98,18 @@ WITH doc_words AS (
   SELECT doc_id, item_id, shift, wide, s,
          list_sum([CASE WHEN dw[s + shift + j] = bw[s + j] THEN 1 ELSE 0 END for j in range(0, wide)]) AS equal
   FROM laid, unnest(range(greatest(1, 1 - shift), least(n, n_doc - shift) - wide + 2)) AS t(s)
+), doc_places AS (
+  SELECT doc_id, w, i, w[i] AS word FROM doc_words, unnest(range(1, len(w) + 1)) AS t(i)
+), short_items AS (
+  SELECT item_id, w, w[1] AS word FROM item_words WHERE len(w) BETWEEN 1 AND 4
+), hits AS (
+  SELECT doc_id, item_id, equal, s + shift - 1 AS place FROM counted WHERE equal >= CASE WHEN wide < 13 THEN wide ELSE 11 END
+  UNION ALL
+  SELECT d.doc_id, b.item_id, len(b.w), d.i - 1
+  FROM doc_places d JOIN short_items b USING (word) WHERE d.w[d.i : d.i + len(b.w) - 1] = b.w
 )
-SELECT doc_id, item_id, max(equal)::BIGINT AS equal_words, min(s + shift - 1)::BIGINT AS first_word
-FROM counted WHERE equal >= CASE WHEN wide < 13 THEN wide ELSE 11 END
-GROUP BY doc_id, item_id
+SELECT doc_id, item_id, max(equal)::BIGINT AS equal_words, min(place)::BIGINT AS first_word
+FROM hits GROUP BY doc_id, item_id
 """
 
 
