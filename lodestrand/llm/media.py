@@ -120,8 +120,9 @@ def media_columns(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
         return apply
 
+    rows = common.text_bytes(docs, id_col, text_col)
     schema = (
-        "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long,"
+        f"{common.typed(rows, 'doc_id')}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long,"
         " media_sha256 string, feature string, fingerprints array<long>, media binary"
     )
-    return common.map_batches(common.text_bytes(docs, id_col, text_col), make, schema)
+    return common.map_batches(rows, make, schema)

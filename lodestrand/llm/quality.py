@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from . import common
 
 BITS = 20
-#: Labelled rows that a model is fitted on, at most.
-MAX_ROWS = 4000
+#: Labelled rows that a model is fitted on, and bytes of their texts, at most.
+MAX_ROWS, MAX_BYTES = 4000, 16 << 20
 #: Tokens kept in a task's memo, and tokens hashed at once.
 MEMO_TOKENS, PIECE = 400_000, 1 << 20
 
@@ -93,13 +93,16 @@ def fit(rows, *, passes: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: flo
     return Model(weight.astype(np.float32), float(-zb / ((beta + nb**0.5) / alpha)))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, fold: int = 4, held: int = 2, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on at most ``max_rows`` rows of ``labels.quality`` whose fold isn't the held-out one.
+def train(
+    docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, fold: int = 4, held: int = 2, id_col: str = "doc_id", text_col: str = "text"
+) -> Model:
+    """Fit on at most ``max_rows`` rows and ``max_bytes`` of text of ``labels.quality`` whose fold isn't the held-out one.
 
-    Features are made on the executors; the driver gets the sample's bins, bounded by the parameter, and
-    runs the updates in the order of doc_id.
+    Features are made on the executors; the driver gets the sample's bins (two for each token at most),
+    bounded by the parameters, and runs the updates in the order of doc_id. Rows without a label, null ids
+    and labels without a text are left out.
     """
-    rows = common.labelled_rows(docs, labels, "quality", fold, lambda x: x != held, max_rows, id_col=id_col, text_col=text_col)
+    rows = common.labelled_rows(docs, labels, "quality", fold, lambda x: x != held, max_rows, max_bytes, id_col=id_col, text_col=text_col)
 
     def make():
         features = Featuriser()
@@ -113,7 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, fold:
 
         return apply
 
-    got = common.map_batches(rows, make, "doc_id long, label int, bins array<int>, shares array<float>").toArrow().sort_by("doc_id")
+    got = common.map_batches(rows, make, f"{common.typed(rows, 'doc_id')}, label int, bins array<int>, shares array<float>").toArrow().sort_by("doc_id")
     bins, shares = got.column("bins").combine_chunks(), got.column("shares").combine_chunks()
     ends, flat, share = bins.offsets.to_numpy(), bins.values.to_numpy(), shares.values.to_numpy().astype(np.float64)
     return fit([(flat[a:b], share[a:b], y) for a, b, y in zip(ends[:-1], ends[1:], got.column("label").to_pylist(), strict=True)])
@@ -122,8 +125,8 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, fold:
 def score(docs: DataFrame, model: Model, *, fold: int = 4, held: int = 2, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted of every row's whole text.
 
-    The text alone decides the score. Null and empty texts get the score of a text without tokens; equal
-    texts equal scores; a null id counts as an empty one for held_out; an empty table gives an empty
+    The text alone decides the score. Null and empty texts get the score of a text without tokens; a text of
+    any length is read whole; equal texts get equal scores; repeated rows are kept; a null id counts as an empty one for held_out; an empty table gives an empty
     result; other columns are not read. The model (fixed size) is broadcast. Narrow: no shuffle.
     """
     scored = _with_score(text_rows := common.text_bytes(docs, id_col, text_col), model, text_rows.columns[:1])
@@ -141,11 +144,15 @@ def _with_score(rows: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             [*keep, "score"],
         )
 
-    return common.map_batches(rows, make, ", ".join([*(f"{c} {dict(rows.dtypes)[c]}" for c in keep), "score double"]))
+    return common.map_batches(rows, make, f"{common.typed(rows, *keep)}, score double")
 
 
 def keep_good(docs: DataFrame, model: Model, *, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose score is ``threshold`` or more."""
+    """The rows of ``docs``, all columns as they are, whose score is ``threshold`` or more.
+
+    Null and empty texts have the score of a text without tokens; repeated rows stay or go together; ids are
+    not read; an empty table gives an empty result; a text of any length is scored whole. Narrow: no shuffle.
+    """
     shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
     at = names.index(text_col)
 

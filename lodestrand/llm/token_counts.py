@@ -97,8 +97,8 @@ def token_counts(
 ) -> DataFrame:
     """doc_id, n_bytes, n_words, n_tokens of every row's whole text.
 
-    Words are runs of anything but ASCII white space. A null or empty text has 0 of each; repeated rows
-    are counted each for itself; an empty table gives an empty result; other columns of ``docs`` are not
+    Words are runs of anything but ASCII white space. A null or empty text has 0 of each; a text or word of
+    any length is counted whole; ids are of any type and may be null; repeated rows are counted each for itself; an empty table gives an empty result; other columns of ``docs`` are not
     read. The compiled vocabulary is broadcast: its size is that of the vocabulary file, whatever the
     corpus. Narrow: no shuffle.
     """
@@ -135,6 +135,5 @@ def token_counts(
 
         return apply
 
-    return common.map_batches(
-        common.text_bytes(docs, id_col, text_col), make, "doc_id long, n_bytes long, n_words long, n_tokens long"
-    )
+    rows = common.text_bytes(docs, id_col, text_col)
+    return common.map_batches(rows, make, f"{common.typed(rows, 'doc_id')}, n_bytes long, n_words long, n_tokens long")

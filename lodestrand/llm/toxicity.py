@@ -1,7 +1,7 @@
 """Toxicity: linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Features say whether a text has an n-gram (n 3 to 6, over lower-cased text with white space as one
-space), hashed to a fixed number of bins. Each is scaled by the log ratio of its smoothed shares in
+Features say whether a text has an n-gram (n 3 to 6 code points of the lower-cased text, white space as
+one space), hashed to a fixed number of bins. Each is scaled by the log ratio of its smoothed shares in
 toxic and other training texts; a logistic regression is fitted on the scaled features, and its
 intercept set where the balanced training error is least.
 """
@@ -18,22 +18,22 @@ from pyspark.sql import functions as F
 from . import common
 
 BITS, SIZES = 20, (3, 4, 5, 6)
-#: Labelled rows that a model is fitted on, at most.
-MAX_ROWS = 4000
-#: Bytes hashed at once, so that a long text needs bounded memory; pieces overlap by the longest n-gram less one.
+#: Labelled rows that a model is fitted on, and bytes of their texts, at most.
+MAX_ROWS, MAX_BYTES = 4000, 16 << 20
+#: Code points hashed at once, so that a long text needs bounded memory; pieces overlap by the longest n-gram less one.
 PIECE = 1 << 22
 
 
 def _bins(text: np.ndarray) -> np.ndarray:
-    """Bins of all n-grams in a byte array."""
+    """Bins of all n-grams of an array of code points."""
     wide, found = text.astype(np.uint64), []
-    packed = wide
+    rolled = wide
     for n in range(2, max(SIZES) + 1):
         if len(wide) < n:
             break
-        packed = packed[:-1] | wide[n - 1 :] << np.uint64(8 * (n - 1))
+        rolled = rolled[:-1] * np.uint64(0xD6E8FEB86659FD93) + wide[n - 1 :]
         if n in SIZES:
-            mixed = (packed ^ np.uint64(n << 56)) * np.uint64(0x9E3779B97F4A7C15)
+            mixed = (rolled ^ rolled >> np.uint64(32) ^ np.uint64(n << 56)) * np.uint64(0x9E3779B97F4A7C15)
             found.append((mixed >> np.uint64(64 - BITS)).astype(np.int32))
     return np.concatenate(found) if found else np.zeros(0, np.int32)
 
@@ -50,7 +50,8 @@ class Featuriser:
         return bins[self.seen[bins] == order]
 
     def __call__(self, body: bytes) -> np.ndarray:
-        text = np.frombuffer(b" " + b" ".join(body.lower().split()) + b" ", np.uint8)
+        plain = " ".join(body.decode("utf-8", "replace").lower().split())
+        text = np.frombuffer(f" {plain} ".encode("utf-32-le"), np.uint32)
         step, parts = PIECE - max(SIZES) + 1, []
         for start in range(0, max(1, len(text) - max(SIZES) + 1), step):
             parts.append(self._distinct(_bins(text[start : start + PIECE])))
@@ -72,7 +73,7 @@ def log_ratios(yes: np.ndarray, no: np.ndarray, n_yes: float, n_no: float, *, sm
     return np.where(yes + no > 0, ratio, 0.0)
 
 
-def fit_scaled(bins: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, *, passes: int = 8, penalty: float = 1e-4, seed: int = 7) -> Model:
+def fit_scaled(bins: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, *, passes: int = 8, penalty: float = 1e-5, seed: int = 7) -> Model:
     """Logistic regression, classes weighing the same, on bins scaled by their ratios: dual coordinate ascent.
 
     A text at a time, so that next to the bins only a weight a bin is held. One class only, or no bin that
@@ -109,12 +110,16 @@ def fit_scaled(bins: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, *,
     return Model((w * scaled).astype(np.float32), float(-(z[order[at]] + z[order[at + 1]]) / 2))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, fold: int = 5, held: int = 0, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on at most ``max_rows`` rows of ``labels.toxic`` whose fold isn't the held-out one.
+def train(
+    docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, fold: int = 5, held: int = 0, id_col: str = "doc_id", text_col: str = "text"
+) -> Model:
+    """Fit on at most ``max_rows`` rows and ``max_bytes`` of text of ``labels.toxic`` whose fold isn't the held-out one.
 
-    The executors count texts by bin (a row a bin comes to the driver), then send the bins of each text.
+    The executors count texts by bin (a row a bin comes to the driver), then send the bins of each text:
+    both bounded by the parameters. Rows without a label, null ids and labels without a text are left out;
+    no rows at all: the base rate.
     """
-    rows = common.cut(common.labelled_rows(docs, labels, "toxic", fold, lambda x: x != held, max_rows, id_col=id_col, text_col=text_col))
+    rows = common.labelled_rows(docs, labels, "toxic", fold, lambda x: x != held, max_rows, max_bytes, id_col=id_col, text_col=text_col)
     size = 1 << BITS
 
     def count():
@@ -142,17 +147,16 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, fold:
             ["doc_id", "label", "bins"],
         )
 
-    got = common.map_batches(rows, send, "doc_id long, label int, bins array<int>").toArrow()
-    found = [x for part in got.column("bins").chunks for x in np.split(part.values.to_numpy(), part.offsets.to_numpy()[1:-1])] if len(got) else []
-    order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
-    return fit_scaled([found[i] for i in order], got.column("label").to_numpy()[order] > 0, ratio)
+    got = common.map_batches(rows, send, f"{common.typed(rows, 'doc_id')}, label int, bins array<int>").toArrow().sort_by("doc_id")
+    found = [bins.values.to_numpy() for bins in got.column("bins")]
+    return fit_scaled(found, got.column("label").to_numpy() > 0, ratio)
 
 
 def score(docs: DataFrame, model: Model, *, fold: int = 5, held: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted of every row's whole text.
 
-    The text alone decides the score. Null and empty texts get the score of a text without n-grams; equal
-    texts equal scores; a null id counts as an empty one for held_out; an empty table gives an empty
+    The text alone decides the score. Null and empty texts get the score of a text without n-grams; a text
+    of any length is read whole, PIECE code points at a time; equal texts get equal scores; repeated rows are kept; a null id counts as an empty one for held_out; an empty table gives an empty
     result; other columns are not read. The model (fixed size) is broadcast. Narrow: no shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -164,6 +168,7 @@ def score(docs: DataFrame, model: Model, *, fold: int = 5, held: int = 0, id_col
             ["doc_id", "score"],
         )
 
-    scored = common.map_batches(common.text_bytes(docs, id_col, text_col), make, "doc_id long, score double")
+    rows = common.text_bytes(docs, id_col, text_col)
+    scored = common.map_batches(rows, make, f"{common.typed(rows, 'doc_id')}, score double")
     part = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % fold
     return scored.select("doc_id", (part == held).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

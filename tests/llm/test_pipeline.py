@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 from datetime import date
 
+import plain
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -10,7 +11,7 @@ from test_decontamination import brute as overlaps
 from test_near_texts import slow_similar
 
 import corpus_pipeline
-from lodestrand.llm import mixing, quality, secrets
+from lodestrand.llm import quality, secrets
 
 SF = "/root/testdata/sf0.001"
 
@@ -79,7 +80,7 @@ def test_stages_against_brute_force(spark, world):
     totals = defaultdict(int)
     for source, n in size.values():
         totals[source] += n
-    target = {s: t for s, _, t in mixing.target_words(list(totals.items()))}
+    target = {s: t for s, _, t in plain.target_words(list(totals.items()))}
     copies = defaultdict(list)
     for r in mixed.collect():
         copies[r.row_key].append(r.copy_number_)
