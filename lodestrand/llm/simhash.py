@@ -27,8 +27,8 @@ SEED, BITS = 42, 3
 #: Members of a cell that a mean fingerprint is compared with, at most, in one grid (more fingerprints: more groups of
 #: segments); members of a cell that make one block.
 COMPARED, BLOCK = 4096, 4096
-#: Shingles whose bits are counted at once.
-PIECE = 1 << 16
+#: Shingles whose bits are counted at once; edges that a task contracts, about.
+PIECE, LOCAL = 1 << 16, 1 << 18
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -163,11 +163,36 @@ def links(nodes: DataFrame, *, bits: int = BITS, block: int = BLOCK) -> DataFram
     return pairs.unionByName(members.agg(F.collect_list("fp").alias("members")).select("members").mapInArrow(_linked_in_cell(bits), "a long, b long")).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root: the smallest node that each node of ``edges`` (a, b) is connected with.
-
-    Large-star and small-star steps by turns, a checkpoint after each pair, until nothing changes. Every
-    step is a grouped minimum and a join, so neither links nor nodes come to the driver.
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task function over (a, b): each node of the task's edges with the smallest that it is connected with there, itself aside."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        path = []
+        while (y := above.get(x, x)) != x:
+            path.append(x)
+            x = y
+        for y in path:
+            above[y] = x
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            a, b = top(a), top(b)
+            if a != b:
+                above[max(a, b)] = min(a, b)
+    for at in range(0, len(nodes := list(above)), PIECE):
+        some = nodes[at : at + PIECE]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([top(x) for x in some], pa.int64())], ["a", "b"])
+
+
+def components(edges: DataFrame, *, local: int = LOCAL) -> DataFrame:
+    """node, root: the smallest node that each node of ``edges`` (a, b: numbers) is connected with.
+
+    First every task contracts about ``local`` edges to a forest; there are as many tasks as the edges need,
+    and if one will do, that is all. Then large-star and small-star steps by turns, a checkpoint after each
+    pair, until nothing changes. Every step is a grouped minimum and a join, so neither links nor nodes come
+    to the driver.
     """
 
     def large(e: DataFrame) -> DataFrame:
@@ -181,12 +206,18 @@ def components(edges: DataFrame) -> DataFrame:
         up = down.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         return up.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
-    mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))"), F.expr("bit_xor(xxhash64(b, a, 1))")).first())
-    now = common.cut(small(edges.where("a <> b")))
-    before, state = None, mark(now)
-    while state != before:
-        now = common.cut(small(large(now)))
-        before, state = state, mark(now)
+    def marked(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))"), F.expr("bit_xor(xxhash64(b, a, 1))")).first())
+
+    given = common.cut(edges.where("a <> b").select("a", "b"))
+    tasks = max(1, -(-given.count() // local))
+    now = common.cut(given.coalesce(tasks).mapInArrow(_forest, "a long, b long"))
+    if tasks > 1:
+        now = common.cut(small(now))
+        before, state = None, marked(now)
+        while state != before:
+            now = common.cut(small(large(now)))
+            before, state = state, marked(now)
     roots = now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
     return roots.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 

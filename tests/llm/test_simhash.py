@@ -82,7 +82,11 @@ def test_rows(spark):
     assert sh.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_a_long_chain_is_one_component(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 999)], "a long, b long")
-    got = {x.node: x.root for x in sh.components(edges).collect()}
+@pytest.mark.parametrize("local", [sh.LOCAL, 50, 1])
+def test_a_long_chain_is_one_component(spark, local):
+    r = random.Random(local)
+    pairs = [(i, i + 1) for i in range(300)] + [(1000, 999)]
+    r.shuffle(pairs)
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(7)
+    got = {x.node: x.root for x in sh.components(edges, local=local).collect()}
     assert got == {**dict.fromkeys(range(301), 0), 999: 999, 1000: 999}
