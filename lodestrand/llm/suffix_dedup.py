@@ -37,7 +37,10 @@ GRAM, SHALLOW = 64, 24
 PIECE, COMBINE, CHUNK = 1 << 20, 600_000, 8 << 20
 #: Distinct stretches of one anchor that are sorted together; a larger group is split, by strings that so many
 #: neighbouring windows share, one step after the other.
-MAX_GROUP, STEPS = 1_000, (8, 1)
+MAX_GROUP, STEPS = 2_000, (8, 1)
+#: Copies of one text that are worked on together, or a ten-thousandth of all rows if that is more; more are dealt out.
+#: Stretches whose texts are sought by broadcast, at most; more are joined.
+COPIES, SOUGHT = 1_000, 50_000
 
 _ONE, _TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -206,7 +209,7 @@ def _runs(tid: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray
 
 
 #: Columns of a stretch, or of a run of windows that repeat (``mark``), which has no anchor and is dealt by text.
-STRETCH = "mark boolean, key long, name long, tid long, tid2 long, place long"
+STRETCH = "mark boolean, key long, name long, tid long, tid2 long, place long, part binary"
 
 
 class _Combiner:
@@ -216,18 +219,20 @@ class _Combiner:
     """
 
     def __init__(self):
-        self.held, self.n = [], 0
+        self.held, self.parts, self.n = [], [], 0
 
-    def add(self, start, n, key, name, tid, known):
-        """``tid`` has a row of two numbers each; ``known`` says whether the stretch is known to repeat."""
+    def add(self, start, n, key, name, tid, known, parts: pa.Array | None = None):
+        """``tid`` has a row of two numbers each; ``known`` says whether the stretch is known to repeat; ``parts`` may have its bytes."""
         self.held.append((start, n, key.view(np.int64), name.view(np.int64), tid, known))
+        self.parts.append(pa.nulls(len(start), pa.binary()) if parts is None else parts)
         self.n += len(start)
 
     def batches(self, least: int = 1) -> Iterator[pa.RecordBatch]:
         if self.n < max(least, 1):
             return
         start, n, key, name, tid, known = (np.concatenate(x) for x in zip(*self.held, strict=True))
-        self.held, self.n = [], 0
+        parts = pa.concat_arrays(self.parts)
+        self.held, self.parts, self.n = [], [], 0
         by = np.lexsort((name, key))
         start, n, key, name, tid, known = start[by], n[by], key[by], name[by], tid[by], known[by]
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (name[1:] != name[:-1])])
@@ -243,7 +248,8 @@ class _Combiner:
             tid[:, 1].copy(),
             np.concatenate([_packed(start, n, 0)[new] | some, place]),
         )
-        yield pa.RecordBatch.from_arrays(list(map(pa.array, out)), ["mark", "key", "name", "tid", "tid2", "place"])
+        first = pa.concat_arrays([parts.take(pa.array(by[new])), pa.nulls(len(near), pa.binary())])
+        yield pa.RecordBatch.from_arrays([*map(pa.array, out), first], ["mark", "key", "name", "tid", "tid2", "place", "part"])
 
 
 def _ids(batch: pa.RecordBatch) -> np.ndarray:
@@ -267,18 +273,23 @@ def _find(length: int):
     return run
 
 
+#: What becomes of a stretch; ``part`` has its bytes, once they have been fetched.
+JUDGED = "key long, tid long, tid2 long, place long, part binary, kind int"
+
+
 def _judge(max_group: int):
-    """Task function over stretches, sorted by mark, key and name: what becomes of each, as (key, tid, tid2, place, kind).
+    """Task function over stretches, sorted by mark, key and name: what becomes of each.
 
     kind 1: its windows repeat; 2: to be sorted; 3: to be split; 0: 2, 3 or nothing, as its key may have
     more names in other partitions. Of a name, one row is sorted or split. Unique keys vanish.
     """
+    names_out = ["key", "tid", "tid2", "place", "part", "kind"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] | None = None
+        rest: tuple | None = None
         opened: set = set()  # keys that this partition may not have whole, or that are passed on in parts
 
-        def judged(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        def judged(columns: list[np.ndarray], parts: pa.Array) -> Iterator[pa.RecordBatch]:
             key, name, tid, tid2, place = columns
             if not len(key):
                 return
@@ -289,37 +300,37 @@ def _judge(max_group: int):
             known = place & 1
             repeats = (rows > 1) | (np.maximum.reduceat(known, np.flatnonzero(new)) > 0)[of_name]
             kind = np.where(np.isin(key, list(opened)), 0, np.where(names <= max_group, 2, 3))
-            once = new & ((names > 1) | (kind == 0))
-            again = repeats & (known == 0)
-            out = [np.concatenate([c[again], c[once]]) for c in (key, tid, tid2, place | repeats)]
-            kinds = np.concatenate([np.ones(again.sum(), np.int32), kind[once].astype(np.int32)])
-            yield pa.RecordBatch.from_arrays([*map(pa.array, out), pa.array(kinds)], ["key", "tid", "tid2", "place", "kind"])
+            again, once = np.flatnonzero(repeats & (known == 0)), np.flatnonzero(new & ((names > 1) | (kind == 0)))
+            at = np.concatenate([again, once])
+            kinds = np.concatenate([np.ones(len(again), np.int32), kind[once].astype(np.int32)])
+            held = pa.concat_arrays([pa.nulls(len(again), pa.binary()), parts.take(pa.array(once))])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[at]) for c in (key, tid, tid2, place | repeats)), held, pa.array(kinds)], names_out)
 
         for batch in batches:
             mark = batch.column("mark").to_numpy(zero_copy_only=False)
-            now = [c.to_numpy() for c in batch.columns[1:]]
+            now, parts = [batch.column(c).to_numpy() for c in ("key", "name", "tid", "tid2", "place")], batch.column("part")
             if mark.any():
                 key, _, tid, tid2, place = (c[mark] for c in now)
-                yield pa.RecordBatch.from_arrays([*map(pa.array, (key, tid, tid2, place)), pa.array(np.ones(len(key), np.int32))], ["key", "tid", "tid2", "place", "kind"])
-            now = [c[~mark] for c in now]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (key, tid, tid2, place)), pa.nulls(len(key), pa.binary()), pa.array(np.ones(len(key), np.int32))], names_out)
+            now, parts = [c[~mark] for c in now], parts.filter(pa.array(~mark))
             if not len(now[0]):
                 continue
             if rest is None:
                 opened.add(int(now[0][0]))
             else:
-                now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
+                now, parts = [np.concatenate(x) for x in zip(rest[0], now, strict=True)], pa.concat_arrays([rest[1], parts])
             key, name = now[0], now[1]
             last = int(np.searchsorted(key, key[-1]))
             if len(key) - last > 2 * COMBINE:  # too many to hold: pass on all but the last name
                 opened.add(int(key[-1]))
                 before = np.flatnonzero(name != name[-1])
                 last = int(before[-1]) + 1 if len(before) else last
-            yield from judged([x[:last] for x in now])
+            yield from judged([x[:last] for x in now], parts[:last])
             opened &= {int(key[-1])}
-            rest = [x[last:] for x in now]
+            rest = [x[last:] for x in now], parts[last:]
         if rest is not None:
-            opened.add(int(rest[0][-1]))
-            yield from judged(rest)
+            opened.add(int(rest[0][0][-1]))
+            yield from judged(*rest)
 
     return run
 
@@ -361,7 +372,7 @@ def _cut_out(length: int):
 
 
 def _split(length: int, step: int):
-    """Task function over (tid, tid2, body, wanted): the wanted stretches as shorter ones, with what their windows share as the anchor.
+    """Task function over (key, tid, tid2, place, part): the stretches as shorter ones, with what their windows share as the anchor.
 
     An anchor's windows are dealt by where it lies in them, ``step`` neighbouring places to a part. All
     windows of a part share the bytes from the start of the last to the end of the first of those places.
@@ -381,19 +392,20 @@ def _split(length: int, step: int):
         new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (part[1:] != part[:-1])])
         first, last, of = at[new], at[np.concatenate([new[1:], [True]])], owner[new]
         key = hashes.of(anchor[of] - part[new] * step, length - step + 1)
-        return start[of] + first - base[of], last - first + 1, key, second.names(first, last, length), np.stack([tid, tid2], axis=1)[of], known[of]
+        cut = [buffer[x : y + length] for x, y in zip(first.tolist(), last.tolist(), strict=True)]
+        names = second.names(first, last, length)
+        return start[of] + first - base[of], last - first + 1, key, names, np.stack([tid, tid2], axis=1)[of], known[of], pa.array(cut, pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, held, size = _Combiner(), [], 0
-        for tid, tid2, body, wanted in _each_text(batches):
-            for _, place in wanted:
-                start, n = place >> 20, place >> 1 & 0x7FFFF
-                held.append((tid, tid2, start, n, bool(place & 1), body[start : start + n + length - 1]))
-                size += n + length - 1
+        for batch in batches:
+            for tid, tid2, place, part in zip(*(batch.column(c).to_pylist() for c in ("tid", "tid2", "place", "part")), strict=True):
+                held.append((tid, tid2, place >> 20, place >> 1 & 0x7FFFF, bool(place & 1), part))
+                size += len(part)
                 if size >= PIECE:
                     found.add(*parts_of(held))
                     held, size = [], 0
-                    yield from found.batches(COMBINE)
+                    yield from found.batches(COMBINE // 16)
         if held:
             found.add(*parts_of(held))
         yield from found.batches()
@@ -483,40 +495,57 @@ def remove_repeats(
     Shuffled are: hashes of stretches (about 2 rows for 100 bytes), combined in each task first, so that a
     copied text or line costs a row a task; the texts once, by hash (used twice); the bytes of stretches
     whose anchor has differing ones. An anchor with more than ``max_group`` of those is split by longer
-    strings. What is found between steps goes to the shared checkpoint folder.
+    strings, and a text with very many copies has them in several tasks. What is found between steps goes to
+    the shared checkpoint folder.
     """
     if not 2 * GRAM <= length <= 8192:
         raise ValueError("length must be 128 to 8192")
-    texts = common.text_bytes(docs, id_col, text_col).withColumn("tid", F.xxhash64("body")).withColumn("tid2", F.xxhash64(F.lit(1), "body"))
-    found = texts.select("tid", "tid2", "body").where(F.octet_length("body") >= length).mapInArrow(_find(length), STRETCH)
-    ids, marks = ["tid", "tid2"], None
+    plain = common.text_bytes(docs, id_col, text_col).withColumn("tid", F.xxhash64("body")).withColumn("tid2", F.xxhash64(F.lit(1), "body"))
+    found = plain.select("tid", "tid2", "body").where(F.octet_length("body") >= length).mapInArrow(_find(length), STRETCH)
+    ids, marks, most = ["tid", "tid2"], None, max(COPIES, docs.count() // 10_000)
+    # texts with more copies than ``most``, 10,000 texts at most, have a salt, so that their copies are dealt out
+    counted = plain.groupBy(*ids).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+    crowds = common.cut(counted.select(*ids, F.ceil(F.col("n") / most).alias("salts")))
+    salt = F.coalesce(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("salts")), F.lit(0)).alias("salt")
+    texts = plain.join(F.broadcast(crowds), ids, "left").select("doc_id", *ids, "body", salt)
+    part = "key long, tid long, tid2 long, place long, part binary"
 
     def fetched(rows: DataFrame) -> DataFrame:
-        wanted = rows.groupBy(*ids).agg(F.collect_set(F.struct("key", "place")).alias("wanted"))
+        """``rows`` with the bytes of the stretches."""
+        wanted = rows.groupBy(*ids).agg(F.collect_set(F.struct("key", "place")).alias("wanted")).withColumn("salt", F.lit(0).cast("long"))
         # doc_id goes along so that all uses of the texts read the same shuffle
-        return texts.join(wanted.hint("shuffle_hash"), ids).select("doc_id", *ids, "body", "wanted")
+        return texts.join(wanted.hint("shuffle_hash"), [*ids, "salt"]).select("doc_id", *ids, "salt", "body", "wanted").mapInArrow(_cut_out(length), part)
+
+    def fetched_few(rows: DataFrame) -> DataFrame:
+        """The same of a few stretches: their texts are sought where they are."""
+        if rows.count() > SOUGHT:
+            return fetched(rows)
+        wanted = rows.groupBy(*ids).agg(F.collect_set(F.struct("key", "place")).alias("wanted"))
+        return plain.join(F.broadcast(wanted), ids).select(*ids, "body", "wanted").mapInArrow(_cut_out(length), part).dropDuplicates(["key", *ids, "place"])
 
-    for step in (*STEPS, None):
+    for level, step in enumerate((*STEPS, None)):
+        least = max_group if step else 1 << 62
         dealt = found.repartitionByRange("key", "name").sortWithinPartitions("mark", "key", "name")
-        judged = common.cut(dealt.mapInArrow(_judge(max_group if step else 1 << 62), "key long, tid long, tid2 long, place long, kind int"))
+        judged = common.cut(dealt.mapInArrow(_judge(least), JUDGED))
         names = judged.where("kind = 0").groupBy("key").agg(F.count(F.lit(1)).alias("names")).where("names > 1")
-        parted = judged.where("kind = 0").drop("kind").join(names, "key").withColumn("kind", F.when(F.col("names") <= (max_group if step else 1 << 62), 2).otherwise(3))
+        parted = judged.where("kind = 0").drop("kind").join(names, "key").withColumn("kind", F.when(F.col("names") <= least, 2).otherwise(3))
         whole = judged.where("kind > 1").unionByName(parted.drop("names"))
+        to_sort, to_split = (whole.where(F.col("kind") == k).drop("kind") for k in (2, 3))
         by_sort = (
-            fetched(whole.where("kind = 2"))
-            .mapInArrow(_cut_out(length), "key long, tid long, tid2 long, place long, part binary")
+            (to_sort if level else fetched(to_sort.drop("part")))
             .repartition("key")
             .sortWithinPartitions("key")
             .mapInArrow(_sort_windows(length), "tid long, tid2 long, place long")
         )
         more = judged.where("kind = 1").select(*ids, "place").unionByName(by_sort)
         marks = more if marks is None else marks.unionByName(more)
-        if step is None or whole.where("kind = 3").isEmpty():
+        if step is None or to_split.isEmpty():
             break
-        found = fetched(whole.where("kind = 3")).mapInArrow(_split(length, step), STRETCH)
+        found = common.cut(to_split if level else fetched_few(to_split.drop("part"))).mapInArrow(_split(length, step), STRETCH)
     clean = F.shiftleft(F.shiftright("place", 1), 1)
-    places = marks.groupBy(*ids).agg(F.collect_set(clean).alias("places"))
-    joined = texts.join(places.hint("shuffle_hash"), ids, "left").select("doc_id", *ids, "body", "places")
+    places = marks.groupBy(*ids).agg(F.collect_set(clean).alias("places")).join(F.broadcast(crowds), ids, "left")
+    places = places.select(*ids, "places", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    joined = texts.join(places.hint("shuffle_hash"), [*ids, "salt"], "left").select("doc_id", *ids, "salt", "body", "places")
     return joined.mapInArrow(
-        _remove(length, keep_text), f"{common.typed(texts, 'doc_id')}, n_bytes long, spans array<struct<start long, end long>>, kept_sha256 string, kept binary"
+        _remove(length, keep_text), f"{common.typed(plain, 'doc_id')}, n_bytes long, spans array<struct<start long, end long>>, kept_sha256 string, kept binary"
     )

@@ -63,15 +63,18 @@ def test_against_brute_force(spark, max_group, combine, monkeypatch):
     assert len(got) == len(docs)
 
 
-def test_a_crowd_around_one_passage(spark):
+def test_a_crowd_around_one_passage(spark, monkeypatch):
     """Many texts with one passage and other words about it: its anchors are split, nothing is lost."""
     r = random.Random(9)
     prose = lambda n: "".join(r.choices("abcdefgh  ", k=n))
     passage = prose(330)
     docs = [prose(r.randint(0, 90)) + passage[r.randint(0, 3) :] + prose(r.randint(0, 90)) for _ in range(150)]
+    docs += docs[:1] * 30
     want = brute([d.encode() for d in docs])
     df = spark.createDataFrame([(str(i), t) for i, t in enumerate(docs)], "doc_id string, text string").repartition(4)
-    for max_group in (1000, 20):
+    monkeypatch.setattr(sd, "COPIES", 5)
+    for max_group, sought in ((1000, 10), (20, 10), (20, 10_000)):
+        monkeypatch.setattr(sd, "SOUGHT", sought)
         for row in sd.remove_repeats(df, max_group=max_group).collect():
             assert (row.n_bytes, sum(s.end - s.start for s in row.spans), len(row.spans), row.kept_sha256) == want[int(row.doc_id)]
 
