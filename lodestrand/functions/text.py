@@ -19,9 +19,42 @@ STOP_WORDS = {
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 
 
+#: A string, number or constant in a list literal, and a whole list of them.
+_ITEM = r"""(?:'(?:[^'\\]++|\\.)*+'|"(?:[^"\\]++|\\.)*+"|None|True|False|[+-]?\d+(?:\.\d+)?)"""
+_LIST = rf"(?s)^\s*+\[\s*+(?:{_ITEM}\s*+(?:,\s*+{_ITEM}\s*+)*+(?:,\s*+)?)?+\]\s*+$"
+#: What a letter behind a backslash stands for.
+_ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f", "v": "\x0b", "a": "\x07", "0": "\0", "\n": ""}
+
+
+def is_list(raw: Column) -> Column:
+    """Whether a text is a list literal of strings, numbers and constants; null is none."""
+    return F.coalesce(raw.rlike(_LIST), F.lit(False))
+
+
+def _unescaped(body: Column) -> Column:
+    """A string literal's text: escapes of one letter, of two (x) and of four (u) hexadecimal digits."""
+
+    def one(piece: Column) -> Column:
+        kind, code = F.substring(piece, 2, 1), F.substr(piece, F.lit(3))
+        plain = kind
+        for letter, meaning in _ESCAPES.items():
+            plain = F.when(kind == letter, F.lit(meaning)).otherwise(plain)
+        coded = F.decode(F.unhex(F.lpad(code, 4, "0")), "UTF-16BE")
+        return F.when(~F.startswith(piece, F.lit("\\")), piece).when(F.length(piece) > 2, coded).otherwise(plain)
+
+    pieces = F.regexp_extract_all(body, F.lit(r"(?s)(\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\.|[^\\]++)"), F.lit(1))
+    return F.when(F.contains(body, F.lit("\\")), F.array_join(F.transform(pieces, one), "")).otherwise(body)
+
+
 def parse_list(raw: Column) -> Column:
-    """Strings of a list literal; anything else (null, empty, malformed, no list) is an empty list."""
-    return F.coalesce(F.from_json(raw, "array<string>"), F.array().cast("array<string>"))
+    """Elements of a list literal as strings, None as null; anything else (null, empty, malformed, no list) is an empty list."""
+
+    def one(item: Column) -> Column:
+        quoted_ = F.substring(item, 1, 1).isin("'", '"')
+        return F.when(quoted_, _unescaped(F.substr(item, F.lit(2), F.length(item) - 2))).when(item != "None", item)
+
+    items = F.transform(F.regexp_extract_all(raw, F.lit(f"(?s)({_ITEM})"), F.lit(1)), one)
+    return F.when(is_list(raw), items).otherwise(F.array().cast("array<string>"))
 
 
 def tokens(text: Column) -> Column:
@@ -100,10 +133,15 @@ def quoted(text: Column, keep_slash: bool = False) -> Column:
     return F.replace(out, F.lit("%2F"), F.lit("/")) if keep_slash else out
 
 
+#: Public addresses of rulings, laws and searches, and how a collected ruling is cited.
+COURT_SITE, LAW_SITE, SEARCH_SITE = "https://www.bger.ch/ext/eurospider/live/", "https://www.fedlex.admin.ch/", "https://entscheidsuche.ch/?text="
+BOOK_CITATION = r"^BGE[\s_]+(\d+)[\s_]+([IVX]+[ab]?)[\s_]+(\d+)$"
+
+
 def source_link(file_number: Column, date_ms: Column, court: Column, source: Column, lang: Column) -> Column:
     """Best public address of a ruling or law, null without a file number."""
     tongue = F.when(lang.isin("de", "fr", "it"), lang).otherwise("de")
-    base = F.concat(F.lit("https://www.bger.ch/ext/eurospider/live/"), tongue)
+    base = F.concat(F.lit(COURT_SITE), tongue)
     when = F.timestamp_millis(F.when(date_ms != 0, date_ms))
     chamber = F.regexp_extract(file_number, r"(?s)^(.+)/[^/]*$", 1)
     short = F.regexp_extract(file_number, r"(?s)/([^/]*)$", 1)
@@ -111,16 +149,15 @@ def source_link(file_number: Column, date_ms: Column, court: Column, source: Col
     full = F.lpad(F.when(guess > F.year(when), guess - 100).otherwise(guess).cast("string"), 4, "0")
     year = F.when(F.length(short) == 2, full).otherwise(short)
     case = F.concat(F.lit("aza://"), F.date_format(when, "dd-MM-yyyy"), F.lit("-"), F.replace(chamber, F.lit("."), F.lit("-")), F.lit("-"), year)
-    book = r"^BGE[\s_]+(\d+)[\s_]+([IVX]+[ab]?)[\s_]+(\d+)$"
-    part = [F.regexp_extract(F.trim(file_number), book, i) for i in (1, 2, 3)]
+    part = [F.regexp_extract(F.trim(file_number), BOOK_CITATION, i) for i in (1, 2, 3)]
     volume = F.concat(F.lit("atf://"), F.concat_ws("-", *part), F.lit(":"), tongue)
     page = lambda kind, doc: F.concat(base, F.lit(f"/php/{kind}/http/index.php?lang="), tongue, F.lit("&type=show_document&highlight_docid="), quoted(doc))
     there = F.coalesce(file_number, F.lit("")) != ""
     return (
         F.when(there & (court == "CH_BGer") & when.isNotNull() & (chamber != "") & short.rlike(r"^\d+$"), page("aza", case))
-        .when(there & (court == "CH_BGE") & F.trim(file_number).rlike(book), page("clir", volume))
-        .when(there & (source == "swiss_legislation_chunked"), F.concat(F.lit("https://www.fedlex.admin.ch/"), tongue, F.lit("/search?text="), quoted(file_number, True)))
-        .when(there, F.concat(F.lit("https://entscheidsuche.ch/?text="), quoted(file_number, True)))
+        .when(there & (court == "CH_BGE") & F.trim(file_number).rlike(BOOK_CITATION), page("clir", volume))
+        .when(there & (source == "swiss_legislation_chunked"), F.concat(F.lit(LAW_SITE), tongue, F.lit("/search?text="), quoted(file_number, True)))
+        .when(there, F.concat(F.lit(SEARCH_SITE), quoted(file_number, True)))
     )
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import parse_list
+from ..functions.text import is_list, parse_list
 
 CASE, LAW = "case_to_case", "case_to_law"
 
@@ -45,13 +45,19 @@ def nodes(rows: DataFrame, cited: DataFrame) -> DataFrame:
 
 
 def build_counts(rows: DataFrame, cited: DataFrame) -> DataFrame:
-    """rows, case and law citations that count (before repeated pairs are merged), and those skipped."""
-    ok = (F.col("dst") != F.col("src")) & (F.col("dst") != "")
+    """rows, case and law citations that count (before repeated pairs are merged), those skipped, and list fields that are none."""
+    ok = F.coalesce((F.col("dst") != F.col("src")) & (F.col("dst") != ""), F.lit(False))
+    odd = lambda c: F.count_if((F.coalesce(c, F.lit("")) != "") & ~is_list(F.col(c)))
     return cited.agg(
         F.count_if(ok & (F.col("type") == CASE)).alias("case_edges"),
         F.count_if(ok & (F.col("type") == LAW)).alias("law_edges"),
         F.count_if(~ok).alias("skipped"),
-    ).crossJoin(rows.agg(F.count(F.lit(1)).alias("rows")))
+    ).crossJoin(rows.agg(F.count(F.lit(1)).alias("rows"), (odd("cited_rulings") + odd("laws")).alias("rejected")))
+
+
+def source_counts(nodes_: DataFrame) -> DataFrame:
+    """source, n: nodes of each role."""
+    return nodes_.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
 def in_degree(edges_: DataFrame) -> DataFrame:
@@ -125,33 +131,26 @@ class Expansion:
         return {"raw": raw, "post_temporal": timely, "post_cap": self.capped(timely, cap)}
 
 
-def distances(edges_: DataFrame, targets: DataFrame, *, directed: bool = True) -> DataFrame:
-    """target, id, d: hops (0, 1 or 2) from ``id`` along edges to each of ``targets`` (target); the least of them.
-
-    Worked out once for all distinct targets, however many result lists are scored with it.
-    """
-    step = edges_.select(F.col("dst").alias("a"), F.col("src").alias("b")).distinct() if directed else both_ways(edges_)
-    zero = targets.select("target").distinct().select("target", F.col("target").alias("id"), F.lit(0).alias("d"))
-    one = zero.select("target", F.col("id").alias("a")).join(step, "a").select("target", F.col("b").alias("id"), F.lit(1).alias("d"))
-    two = one.select("target", F.col("id").alias("a")).join(step, "a").select("target", F.col("b").alias("id"), F.lit(2).alias("d"))
-    return zero.unionByName(one).unionByName(two).groupBy("target", "id").agg(F.min("d").alias("d"))
-
-
 def distances_between(edges_: DataFrame, pairs: DataFrame, *, directed: bool = True) -> DataFrame:
     """target, id, d: hops (0, 1 or 2) from ``id`` to ``target`` for the given pairs only; farther ones are absent.
 
-    Pairs meet their target in the middle: rows are those of the pairs times the neighbours of ``id``, not the
-    whole two-hop surroundings of much cited targets. Pairs that one hop settles don't take the second.
+    Pairs that one hop settles don't take the second. The others meet in the middle, and each starts from
+    the end that has fewer neighbours: rows are those of the pairs times the lesser degree, so a much cited
+    target, or an id that cites very much, isn't expanded but where both ends are such.
     """
     step = edges_.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct() if directed else both_ways(edges_)
+    back = step.select(F.col("b").alias("a"), F.col("a").alias("b"))
     asked = pairs.select("id", "target").distinct()
     own = asked.where("id = target").select("target", "id", F.lit(0).alias("d"))
     other = asked.where("id <> target").join(step.select(F.col("a").alias("id"), F.col("b").alias("target"), F.lit(1).alias("d")), ["id", "target"], "left")
-    far = other.where("d IS NULL").select("target", F.col("id").alias("a"))
-    middle = far.join(step, "a").select("target", F.col("a").alias("id"), F.col("b").alias("m"))
-    two = middle.join(step.select(F.col("a").alias("m"), F.col("b").alias("target")), ["m", "target"], "left_semi")
+    count = lambda df, end, n: df.groupBy(F.col("a").alias(end)).agg(F.count(F.lit(1)).alias(n))
+    far = other.where("d IS NULL").select("id", "target").join(count(step, "id", "ahead"), "id").join(count(back, "target", "behind"), "target")
     near = own.unionByName(other.where("d = 1").select("target", "id", "d"))
-    return near.unionByName(two.select("target", "id").distinct().withColumn("d", F.lit(2)))
+    for from_, to, way, rule in (("id", "target", step, "ahead <= behind"), ("target", "id", back, "ahead > behind")):
+        middle = far.where(rule).select(F.col(from_).alias("a"), F.col(to).alias("end")).join(way, "a").select(F.col("a").alias("start"), "end", F.col("b").alias("m"))
+        two = middle.join(way.select(F.col("a").alias("m"), F.col("b").alias("end")), ["m", "end"], "left_semi").select("start", "end").distinct()
+        near = near.unionByName(two.select(F.col("end" if from_ == "id" else "start").alias("target"), F.col("start" if from_ == "id" else "end").alias("id"), F.lit(2).alias("d")))
+    return near
 
 
 def induced(edges_: DataFrame, ids: DataFrame) -> DataFrame:

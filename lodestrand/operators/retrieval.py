@@ -31,6 +31,7 @@ class Settings:
     cap_2hop: int = 800
     frontier: int = 40
     overfetch: int = 24
+    overfetch_undated: int = 8
     chunks_each: int = 64
     systems: tuple[str, ...] = DEFAULT_SYSTEMS
 
@@ -87,7 +88,7 @@ class Retrieval:
     @property
     def smart(self) -> DataFrame:
         c, s = self.corpus, self.settings
-        return self._once("smart", lambda: keep(vectors.smart_seeds(self.asked, c.points, c.degree, s.seeds, overfetch=s.overfetch)))
+        return self._once("smart", lambda: keep(vectors.smart_seeds(self.asked, c.points, c.degree, s.seeds, overfetch=s.overfetch, undated=s.overfetch_undated)))
 
     def stages(self, system: str) -> dict[str, DataFrame]:
         """raw, post_temporal, post_cap of an expanding system, each (query_id, id)."""

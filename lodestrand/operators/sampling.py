@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,14 +116,19 @@ def language_slice(queries: DataFrame, total: int, order: str = "pos", languages
     return queries.where(F.col("language").isin(*languages)).withColumn("_n", place).where(F.col("_n") <= each).drop("_n")
 
 
-def query_stats(queries: DataFrame, truth: DataFrame, valid: DataFrame, languages=LANGUAGES) -> DataFrame:
-    """language, n, share, mean_cases, year_min, year_max (unknown years aside), n_verified: all truth valid, and some there."""
+def query_stats(queries: DataFrame, truth: DataFrame, valid: DataFrame, languages=LANGUAGES, laws: DataFrame | None = None) -> DataFrame:
+    """language, n, share, mean_cases, mean_laws, year_min, year_max (unknown years aside), n_verified: all truth valid, and some there.
+
+    ``laws`` is (query_id, id) of cited laws; without it their mean is 0.
+    """
     bad = truth.join(valid, "id", "left_anti").select("query_id").distinct().withColumn("bad", F.lit(1))
-    size = truth.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_gt"))
-    rows = queries.join(size, "query_id", "left").join(bad, "query_id", "left")
+    count = lambda rows, name: rows.groupBy("query_id").agg(F.count(F.lit(1)).alias(name))
+    rows = queries.join(count(truth, "n_gt"), "query_id", "left").join(bad, "query_id", "left")
+    rows = rows.join(count(laws, "n_laws"), "query_id", "left") if laws is not None else rows.withColumn("n_laws", F.lit(0))
     year = F.when(F.col("year") > 0, F.col("year"))
     by = rows.groupBy("language").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.coalesce("n_gt", F.lit(0))).alias("mean_cases"), F.min(year).alias("year_min"), F.max(year).alias("year_max"),
+        F.count(F.lit(1)).alias("n"), F.avg(F.coalesce("n_gt", F.lit(0))).alias("mean_cases"), F.avg(F.coalesce("n_laws", F.lit(0))).alias("mean_laws"),
+        F.min(year).alias("year_min"), F.max(year).alias("year_max"),
         F.count_if((F.coalesce("n_gt", F.lit(0)) > 0) & F.col("bad").isNull()).alias("n_verified"),
     )
     return by.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
@@ -131,16 +138,23 @@ def largest_stratified(counts: dict[str, int], languages=LANGUAGES) -> int:
     return min((counts.get(x, 0) for x in languages), default=0) * len(languages)
 
 
-def normalise_run(limit: int, skip_sample: bool, there: dict[str, int], pool: dict[str, int], languages=LANGUAGES) -> tuple[int, int, bool]:
-    """(query limit, queries a language, whether sampling is skipped) for a requested run.
+@dataclass(frozen=True)
+class RunPlan:
+    """What a run asks for: queries in all, queries to sample in each language, and whether those at hand will do."""
+
+    queries: int
+    sample_each: int
+    reuse: bool
+
+
+def run_plan(wanted: int, *, available: dict[str, int], at_hand: dict[str, int], may_reuse: bool, languages=LANGUAGES) -> RunPlan:
+    """A run's size: the same number of queries in every language, as many as wanted but no more than are available in each.
 
-    The limit becomes a multiple of the languages and no more than the pool allows; if it is more than the
-    queries at hand allow, sampling can't be skipped.
+    Queries at hand are used again if that is allowed and every language has enough of them; else all are sampled anew.
     """
-    n = len(languages)
-    limit = min(max(0, int(limit or 0)) // n * n, largest_stratified(pool, languages))
-    skipped = skip_sample and limit <= largest_stratified(there, languages)
-    return limit, 0 if skipped else limit // n, skipped
+    each = min([max(0, int(wanted or 0)) // len(languages), *(available.get(x, 0) for x in languages)])
+    reuse = may_reuse and all(at_hand.get(x, 0) >= each for x in languages)
+    return RunPlan(each * len(languages), 0 if reuse else each, reuse)
 
 
 def truth_breakdown(sample: DataFrame, cases: DataFrame, valid: DataFrame, meta: DataFrame) -> DataFrame:

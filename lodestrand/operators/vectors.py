@@ -1,9 +1,10 @@
-"""Exact vector search and the expansions built on it.
+"""Vector search, exact or by cells, and the expansions built on it.
 
 ``points`` has id, chunk_index, vector and date_ms (may be null). A search keeps the best rows of each
-Arrow batch by one matrix product and merges them by a window, so what is shuffled is ``depth`` rows a
-query and batch, not the product of queries and points. Queries come in blocks of a bounded number,
-each broadcast to one pass over the points. Scores are rounded to nine places before they are compared,
+batch of points by one matrix product and merges them by a window, so what is shuffled is ``depth`` rows a
+query and batch, not the product of queries and points. Up to BLOCK queries are broadcast to one pass over
+the points; more are joined with them in blocks of both, which bounds what a task holds. A CellIndex
+looks at the points of the nearest cells only. Scores are rounded to nine places before they are compared,
 and ids break ties, so results don't depend on partitioning.
 """
 
@@ -12,14 +13,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import ranked_first, undated_or_before
 
-#: Queries that are broadcast at once.
-BLOCK = 4096
+#: Queries that are broadcast, or joined with a block of points, at once, and points of such a block.
+BLOCK, POINTS = 4096, 16_384
+#: Points that the centres of cells are fitted on, at most.
+SAMPLE = 20_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -45,67 +49,146 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def nearest(queries: DataFrame, points: DataFrame, *, block: int = BLOCK) -> DataFrame:
-    """query_id, id, chunk_index, score: each query's best ``depth`` points by cosine.
+    """query_id, id, chunk_index, score: each query's best ``depth`` points by cosine, exactly.
 
     ``queries`` has query_id, vector, depth, before (null: no date rule; else points need a smaller, known
-    date) and skip (an id that is left out, or null).
+    date) and skip (an id that is left out, or null). A point without a vector is never found, a query
+    without one finds nothing.
     """
-    total = queries.count()
-    blocks, out = max(1, -(-total // block)), None
-    for i in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else queries
-        found = _search(part.select("query_id", "vector", "depth", "before", "skip").toArrow(), points)
-        out = found if out is None else out.unionByName(found)
-    return ranked_first(out, F.col("depth"), F.desc("score"), F.asc("id"), F.asc("chunk_index")).drop("depth")
-
-
-def _search(block: pa.Table, points: DataFrame) -> DataFrame:
-    names = np.array(block.column("query_id").to_pylist(), object)
-    depth = np.array(block.column("depth").to_pylist(), np.int64)
-    before = np.array([2**62 if x is None else x for x in block.column("before").to_pylist()], np.int64)
-    dated = np.array([x is not None for x in block.column("before").to_pylist()], bool)
-    skip = block.column("skip").to_pylist()
-    shared = points.sparkSession.sparkContext.broadcast((names, _unit(_matrix(block.column("vector"))), depth, before, dated, skip))
+    asked = queries.where("vector IS NOT NULL").select("query_id", "vector", "depth", "before", "skip")
+    rows = _plain(points)
+    if asked.count() <= block:
+        found = _broadcast_search(asked.toArrow(), rows)
+    else:
+        found = _joined_search(asked.withColumn("cell", F.lit(0)), rows.withColumn("cell", F.lit(0)), block)
+    return ranked_first(found, F.col("depth"), F.desc("score"), F.asc("id"), F.asc("chunk_index")).drop("depth")
+
+
+def _plain(points: DataFrame) -> DataFrame:
+    return points.where("vector IS NOT NULL").select(F.col("id").cast("string").alias("id"), F.col("chunk_index").cast("int").alias("chunk_index"), "vector", "date_ms")
+
+
+FOUND = "query_id string, id string, chunk_index int, score double, depth int"
+
+
+class _Asked:
+    """A block of queries as arrays."""
+
+    def __init__(self, names, vectors: np.ndarray, depth, before, skip):
+        self.names, self.vectors, self.skip = np.array(names, object), _unit(vectors), list(skip)
+        self.depth, self.dated = np.array(depth, np.int64), np.array([x is not None for x in before], bool)
+        self.before = np.array([2**62 if x is None else int(x) for x in before], np.int64)
+
+    def best(self, ids: list, known: np.ndarray, when: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(query, point, score) of the best ``depth`` of these points for each query, ties included."""
+        place: dict = {}
+        for i, x in enumerate(ids):
+            place.setdefault(x, []).append(i)
+        mine, out = _unit(vectors), []
+        for at in range(0, len(self.names), 256):
+            some = slice(at, at + 256)
+            score = np.round(self.vectors[some] @ mine.T, 9)
+            score[self.dated[some, None] & (~known[None, :] | (when[None, :] >= self.before[some, None]))] = -np.inf
+            for i, row in enumerate(score):
+                for j in place.get(self.skip[at + i], ()) if self.skip[at + i] is not None else ():
+                    row[j] = -np.inf
+                keep = min(int(self.depth[at + i]), len(row))
+                least = np.partition(row, len(row) - keep)[len(row) - keep] if keep else np.inf
+                found = np.flatnonzero((row >= least) & (row > -np.inf))
+                out.append((np.full(len(found), at + i), found, row[found]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _broadcast_search(block: pa.Table, points: DataFrame) -> DataFrame:
+    columns = [block.column(c).to_pylist() for c in ("query_id", "depth", "before", "skip")]
+    asked = _Asked(columns[0], _matrix(block.column("vector")), *columns[1:]) if block.num_rows else None
+    shared = points.sparkSession.sparkContext.broadcast(asked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, vectors, depth, before, dated, skip = shared.value
-        for batch in batches:
-            if not batch.num_rows or not len(names):
+        asked = shared.value
+        for batch in batches if asked is not None else ():
+            if not batch.num_rows:
                 continue
-            ids = batch.column("id").to_pylist()
-            place = {}
-            for i, x in enumerate(ids):
-                place.setdefault(x, []).append(i)
             dates = batch.column("date_ms")
-            known = np.array(dates.is_valid())
-            when = dates.fill_null(0).to_numpy(zero_copy_only=False)
-            mine = _unit(_matrix(batch.column("vector")))
-            for at in range(0, len(names), 256):
-                some = slice(at, at + 256)
-                score = np.round(vectors[some] @ mine.T, 9)
-                barred = dated[some, None] & (~known[None, :] | (when[None, :] >= before[some, None]))
-                score[barred] = -np.inf
-                q, p, s = [], [], []
-                for i, row in enumerate(score):
-                    for j in place.get(skip[at + i], ()) if skip[at + i] is not None else ():
-                        row[j] = -np.inf
-                    keep = min(int(depth[at + i]), len(row))
-                    least = np.partition(row, len(row) - keep)[len(row) - keep] if keep else np.inf
-                    best = np.flatnonzero((row >= least) & (row > -np.inf))
-                    q.append(np.full(len(best), at + i))
-                    p.append(best)
-                    s.append(row[best])
-                q, p, s = (np.concatenate(x) for x in (q, p, s))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(names[q].tolist(), pa.string()), batch.column("id").take(pa.array(p)),
-                        batch.column("chunk_index").take(pa.array(p)), pa.array(s), pa.array(depth[q].astype(np.int32)),
-                    ],
-                    ["query_id", "id", "chunk_index", "score", "depth"],
-                )
-
-    rows = points.select(F.col("id").cast("string").alias("id"), F.col("chunk_index").cast("int").alias("chunk_index"), "vector", "date_ms")
-    return rows.mapInArrow(run, "query_id string, id string, chunk_index int, score double, depth int")
+            q, p, s = asked.best(batch.column("id").to_pylist(), np.array(dates.is_valid()), dates.fill_null(0).to_numpy(zero_copy_only=False), _matrix(batch.column("vector")))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(asked.names[q].tolist(), pa.string()), batch.column("id").take(pa.array(p)), batch.column("chunk_index").take(pa.array(p)), pa.array(s), pa.array(asked.depth[q].astype(np.int32))],
+                ["query_id", "id", "chunk_index", "score", "depth"],
+            )
+
+    return points.mapInArrow(run, FOUND)
+
+
+def _joined_search(queries: DataFrame, points: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Search of both sides by ``cell``: the blocks of a cell's queries meet the blocks of its points, each two in one task."""
+    blocks = lambda df, size, n: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / size).alias(n))
+    sizes = blocks(queries, block, "q").join(blocks(points, POINTS, "p"), "cell")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    mine = queries.join(sizes, "cell").withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("q"))).withColumn("pb", every("p"))
+    theirs = points.join(sizes, "cell").withColumn("pb", F.pmod(F.xxhash64("id", "chunk_index"), F.col("p"))).withColumn("qb", every("q"))
+    keys = ["cell", "qb", "pb"]
+
+    def search(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(p):
+            return pd.DataFrame([], columns=["query_id", "id", "chunk_index", "score", "depth"])
+        none = lambda column: [None if pd.isna(x) else x for x in column]
+        asked = _Asked(q["query_id"], np.stack(q["vector"].to_list()).astype(np.float64), q["depth"], none(q["before"]), none(q["skip"]))
+        dates = p["date_ms"]
+        i, j, s = asked.best(p["id"].to_list(), dates.notna().to_numpy(), dates.fillna(0).to_numpy().astype(np.int64), np.stack(p["vector"].to_list()).astype(np.float64))
+        return pd.DataFrame({"query_id": asked.names[i], "id": p["id"].to_numpy()[j], "chunk_index": p["chunk_index"].to_numpy()[j], "score": s, "depth": asked.depth[i]})
+
+    left = mine.select(*keys, "query_id", "vector", F.col("depth").cast("int").alias("depth"), F.col("before").cast("long").alias("before"), F.col("skip").cast("string").alias("skip"))
+    right = theirs.select(*keys, "id", "chunk_index", "vector", F.col("date_ms").cast("long").alias("date_ms"))
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, FOUND)
+
+
+class CellIndex:
+    """Cells around centres: a search looks at the points of the ``probes`` cells nearest to a query.
+
+    The centres are fitted on a bounded sample of the points (by a hash of their ids), all points are dealt
+    to them. With as many probes as cells the search is exact; with fewer, some neighbours may be missed, and
+    ``recall`` measures how many.
+    """
+
+    def __init__(self, points: DataFrame, cells: int, *, sample: int = SAMPLE, rounds: int = 10, seed: int = 7):
+        self.points, rows = _plain(points), _plain(points)
+        share = min(1.0, sample / max(1, rows.count()))
+        some = rows.where(F.pmod(F.xxhash64("id", "chunk_index"), F.lit(1_000_000)) < int(share * 1_000_000)).select("id", "chunk_index", "vector").orderBy("id", "chunk_index").limit(sample)
+        vectors = _unit(_matrix(some.toArrow().column("vector")))
+        r = np.random.default_rng(seed)
+        centres = vectors[r.choice(len(vectors), min(cells, len(vectors)), replace=False)] if len(vectors) else np.zeros((0, 1))
+        for _ in range(rounds):
+            own = (vectors @ centres.T).argmax(axis=1) if len(centres) else np.zeros(0, int)
+            centres = _unit(np.stack([vectors[own == i].sum(axis=0) if (own == i).any() else centres[i] for i in range(len(centres))])) if len(centres) else centres
+        self.centres = centres
+
+    def _dealt(self, rows: DataFrame, probes: int) -> DataFrame:
+        """``rows`` once for each of the ``probes`` cells nearest to their vector."""
+        shared = rows.sparkSession.sparkContext.broadcast(self.centres)
+        names = rows.columns
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows and len(shared.value):
+                    near = np.argsort(-(_unit(_matrix(batch.column("vector"))) @ shared.value.T), axis=1, kind="stable")[:, :probes]
+                    at = pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1]))
+                    yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns), pa.array(near.ravel().astype(np.int32))], [*names, "cell"])
+
+        kinds = dict(rows.dtypes)
+        return rows.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in names) + ", cell int")
+
+    def nearest(self, queries: DataFrame, probes: int) -> DataFrame:
+        """As ``nearest``, among the points of each query's ``probes`` nearest cells."""
+        asked = queries.where("vector IS NOT NULL").select("query_id", "vector", "depth", "before", "skip")
+        found = _joined_search(self._dealt(asked, probes), self._dealt(self.points, 1))
+        return ranked_first(found, F.col("depth"), F.desc("score"), F.asc("id"), F.asc("chunk_index")).drop("depth")
+
+    def recall(self, queries: DataFrame, probes: int) -> DataFrame:
+        """One row: n_queries and the mean share of each query's exact neighbours that ``probes`` cells show."""
+        exact, keys = nearest(queries, self.points), ["query_id", "id", "chunk_index"]
+        hit = exact.select(*keys).join(self.nearest(queries, probes).select(*keys, F.lit(1).alias("hit")), keys, "left")
+        each = hit.groupBy("query_id").agg((F.count("hit") / F.count(F.lit(1))).alias("share"))
+        return each.agg(F.count(F.lit(1)).alias("n_queries"), F.avg("share").alias("recall"))
 
 
 def best_chunk(found: DataFrame) -> DataFrame:
@@ -124,9 +207,13 @@ def seeds(queries: DataFrame, points: DataFrame, n: int, *, chunks_each: int) ->
     return found.withColumn("seed_rank", place).where(F.col("seed_rank") <= n)
 
 
-def smart_seeds(queries: DataFrame, points: DataFrame, degree: DataFrame, n: int, *, overfetch: int) -> DataFrame:
-    """Like seeds, but of the nearest n * overfetch chunks those decisions that are cited most; the score stays the cosine."""
-    found = best_chunk(nearest(queries.withColumn("depth", F.lit(n * overfetch)), points)).join(degree, "id", "left")
+def smart_seeds(queries: DataFrame, points: DataFrame, degree: DataFrame, n: int, *, overfetch: int, undated: int = 8) -> DataFrame:
+    """Like seeds, but of the nearest chunks those decisions that are cited most; the score stays the cosine.
+
+    Looked at are n * overfetch chunks, for queries without a date n * undated.
+    """
+    depth = F.when(F.col("before").isNull(), n * undated).otherwise(n * overfetch)
+    found = best_chunk(nearest(queries.withColumn("depth", depth), points)).join(degree, "id", "left")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.coalesce("in_degree", F.lit(0)).desc(), F.desc("score"), "id"))
     return found.select("query_id", "id", "score", place.alias("seed_rank")).where(F.col("seed_rank") <= n)
 

@@ -47,9 +47,8 @@ def matrix(rows: DataFrame, ks) -> DataFrame:
 
 
 def heat_map(both: DataFrame, metric: str) -> DataFrame:
-    """system, ranking, k and a metric's mean for each language and over all; ``both`` is both_summaries."""
-    languages = ["all", "de", "en", "es", "fr", "it"]
-    return both.groupBy(*CONFIG).pivot("language", languages).agg(F.first(f"mean_{metric}"))
+    """system, ranking, k and a metric's mean for each language that there is and over all; ``both`` is both_summaries."""
+    return both.groupBy(*CONFIG).pivot("language").agg(F.first(f"mean_{metric}"))
 
 
 def long_heat_map(both: DataFrame, metrics) -> DataFrame:
@@ -69,6 +68,8 @@ def drill_ranked(per_query: DataFrame, ranking: str, k: int, systems, queries: D
     """query_id, language, year, n_ground_truth and, for each system, a struct of its metrics at (ranking, k)."""
     if ranking not in RANKINGS:
         raise ValueError(f"no such ranking: {ranking}")
+    if int(k) < 1:
+        raise ValueError(f"no such cut-off: {k}")
     rows = per_query.where((F.col("ranking") == ranking) & (F.col("k") == k))
     rows = rows.where(F.col("language") == language) if language != "all" else rows
     rows = rows.join(queries.select("query_id"), "query_id", "left_semi") if queries is not None else rows
@@ -116,6 +117,19 @@ def lists(results: DataFrame) -> DataFrame:
     return results.groupBy(*CONFIG, "query_id").agg(F.transform(ordered, lambda x: x["id"]).alias("retrieved"))
 
 
+def pool_of(pools: DataFrame, system: str) -> DataFrame:
+    """query_id, pool, n_seeds: a system's candidates for each query, seeds first in their order, then the others by id."""
+    order = F.array_sort(F.collect_list(F.struct((~F.col("is_seed")).alias("grown"), "seed_rank", "id")))
+    return pools.where(F.col("system") == system).groupBy("query_id").agg(F.transform(order, lambda x: x["id"]).alias("pool"), F.count_if("is_seed").alias("n_seeds"))
+
+
+def comparison(summary: DataFrame, k: int | None = None) -> DataFrame:
+    """Rows of a comparison table: by recall, best first; of one cut-off by system and ranking."""
+    rows = summary.where(F.col("k") == k) if k is not None else summary
+    order = [F.asc("system"), F.asc("ranking")]
+    return rows.orderBy(*(order if k is not None else [F.desc("mean_recall"), *order, F.asc("k")]))
+
+
 def truth_ranks(truth: DataFrame, results: DataFrame, known: DataFrame) -> DataFrame:
     """query_id, id, indexed (metadata there), system, ranking, k, rank: where each list has each cited case.
 

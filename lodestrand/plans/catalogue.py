@@ -6,6 +6,7 @@ a double rounded to six places, ``name:g`` as a double that is rounded already.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import graph, metrics, retrieval, sampling, vectors, views
 from ..sources import readers, sinks
+from ..sources.checkpoints import shared_folder
 from ..streaming import progress
 from .oracles import with_relations
 from .world import STRATA, World
@@ -68,8 +70,9 @@ def expect(name: str, columns: str, make: Callable[[World], DataFrame], sql: str
 # Graph ----------------------------------------------------------------------------------------------
 expect("graph_nodes", "id source", lambda w: w.nodes, "nodes")
 expect("graph_edges_dedup", "src dst type", lambda w: w.edges, "edges")
-expect("graph_build_counts", "rows:i case_edges:i law_edges:i skipped:i", lambda w: graph.build_counts(w.source_rows, w.cited),
-    "(SELECT (SELECT count(DISTINCT l_orderkey) FROM lines) AS rows, count_if(src <> dst AND dst <> '' AND type = 'case_to_case') AS case_edges, count_if(src <> dst AND dst <> '' AND type = 'case_to_law') AS law_edges, count_if(src = dst OR dst = '') AS skipped FROM cited)")
+expect("graph_build_counts", "rows:i case_edges:i law_edges:i skipped:i rejected:i", lambda w: graph.build_counts(w.source_rows, w.cited),
+    "(SELECT (SELECT count(DISTINCT l_orderkey) FROM lines) AS rows, count_if(src <> dst AND dst <> '' AND type = 'case_to_case') AS case_edges, count_if(src <> dst AND dst <> '' AND type = 'case_to_law') AS law_edges, count_if(src = dst OR dst = '') AS skipped, 0 AS rejected FROM cited)")
+expect("graph_source_counts", "source n:i", lambda w: graph.source_counts(w.nodes), "(SELECT source, count(*) AS n FROM nodes GROUP BY source)")
 expect("in_degree", "id in_degree:i", lambda w: w.degree, "degree")
 expect("out_degree", "id out_degree:i", lambda w: graph.out_degree(w.edges), "(SELECT src AS id, count(*) AS out_degree FROM edges GROUP BY src)")
 expect("graph_stats", "n_nodes:i n_edges:i mean_in_degree:f mean_out_degree:f", lambda w: graph.stats(w.nodes, w.edges),
@@ -80,8 +83,9 @@ for _hop, _c in (("graph_1hop", "g1"), ("graph_2hop", "g2")):
     expect(f"{_hop}_timely", "query_id id", lambda w, h=_hop: w.found.stages(h)["post_temporal"], f"{_c}_timely")
     expect(f"{_hop}_pool", "query_id id", lambda w, h=_hop: w.found.stages(h)["post_cap"], f"{_c}_cap")
 expect("induced_edges", "src dst type", lambda w: graph.induced(w.edges, w.truth.select(F.col("id"))), "(SELECT * FROM edges WHERE src IN (SELECT id FROM truth) AND dst IN (SELECT id FROM truth))")
-expect("bfs_directed_2", "target id d:i", lambda w: w.distances[0], "hops_out")
-expect("bfs_undirected_2", "target id d:i", lambda w: w.distances[1], "hops_any")
+for _name, _directed, _hops in (("bfs_directed_2", True, "hops_out"), ("bfs_undirected_2", False, "hops_any")):
+    expect(_name, "target id d:i", lambda w, x=_directed: graph.distances_between(w.edges, w.seed_targets, directed=x),
+        f"(SELECT * FROM {_hops} WHERE (id, target) IN (SELECT (s.id, t.id) FROM seeds s JOIN truth t USING (query_id)))")
 expect("top_cited_nodes", "id place:i", lambda w: graph.top_cited(w.edges, 30, 5, 60)[0], "top_nodes")
 expect("top_cited_subgraph", "src dst type", lambda w: graph.top_cited(w.edges, 30, 5, 60)[1],
     """(SELECT DISTINCT src, dst, type FROM (SELECT src, dst, type FROM top_citers UNION ALL SELECT src, dst, type FROM edges WHERE src IN (SELECT id FROM top_seeds) AND dst IN (SELECT id FROM top_seeds))
@@ -89,6 +93,9 @@ expect("top_cited_subgraph", "src dst type", lambda w: graph.top_cited(w.edges,
 expect("focus_subgraph", "id place:i", lambda w: graph.around_node(w.edges, "33", 12)[0],
     """(SELECT '33' AS id, 1 AS place UNION ALL SELECT id, 1 + row_number() OVER (ORDER BY part, id) AS place FROM (SELECT id, part FROM (
        SELECT CASE WHEN dst = '33' THEN src ELSE dst END AS id, min(CASE WHEN dst = '33' THEN 1 ELSE 2 END) AS part FROM edges WHERE src = '33' OR dst = '33' GROUP BY 1) ORDER BY part, id LIMIT 11))""")
+expect("focus_subgraph_edges", "src dst type", lambda w: graph.around_node(w.edges, "33", 12)[1],
+    """(WITH shown AS (SELECT '33' AS id UNION ALL SELECT id FROM (SELECT CASE WHEN dst = '33' THEN src ELSE dst END AS id, min(CASE WHEN dst = '33' THEN 1 ELSE 2 END) AS part
+       FROM edges WHERE src = '33' OR dst = '33' GROUP BY 1 ORDER BY part, id LIMIT 11)) SELECT src, dst, type FROM edges WHERE (src = '33' OR dst = '33') AND src IN (SELECT id FROM shown) AND dst IN (SELECT id FROM shown))""")
 expect("enriched_nodes", "id source in_degree:i out_degree:i language", lambda w: views.enriched(w.nodes, w.degree, graph.out_degree(w.edges), w.meta),
     """(SELECT n.id, n.source, coalesce(d.in_degree, 0) AS in_degree, coalesce(o.n, 0) AS out_degree, m.language FROM nodes n LEFT JOIN degree d ON d.id = n.id
        LEFT JOIN (SELECT src, count(*) AS n FROM edges GROUP BY src) o ON o.src = n.id LEFT JOIN meta m ON m.id = n.id)""")
@@ -143,9 +150,10 @@ def _records(w: World) -> DataFrame:
 
 expect("language_slice", "id language pos:i", lambda w: sampling.language_slice(w.sample, 20, languages=STRATA),
     "(SELECT id, language, pos FROM (SELECT *, row_number() OVER (PARTITION BY language ORDER BY pos) AS n FROM sample) WHERE n <= 6)")
-expect("query_stats", "language n:i share:f mean_cases:f year_min:i year_max:i n_verified:i", lambda w: sampling.query_stats(w.queries, w.truth, w.valid, STRATA),
-    """(SELECT language, count(*) AS n, count(*) / sum(count(*)) OVER () AS share, avg(gt_size) AS mean_cases, min(year) AS year_min, max(year) AS year_max, count(*) AS n_verified
-       FROM queries JOIN tsize USING (query_id) GROUP BY language)""")
+_laws = lambda w: graph.successors(w.edges, graph.LAW).select(F.col("src").alias("query_id"), F.col("dst").alias("id"))
+expect("query_stats", "language n:i share:f mean_cases:f mean_laws:f year_min:i year_max:i n_verified:i", lambda w: sampling.query_stats(w.queries, w.truth, w.valid, STRATA, _laws(w)),
+    """(SELECT language, count(*) AS n, count(*) / sum(count(*)) OVER () AS share, avg(gt_size) AS mean_cases, avg(coalesce(laws, 0)) AS mean_laws, min(year) AS year_min, max(year) AS year_max, count(*) AS n_verified
+       FROM queries JOIN tsize USING (query_id) LEFT JOIN (SELECT src, count(*) AS laws FROM edges WHERE type = 'case_to_law' GROUP BY src) ON src = query_id GROUP BY language)""")
 _cases = lambda w: graph.successors(w.edges, graph.CASE).select(F.col("src").alias("query_id"), F.col("dst").alias("id"))
 expect("gt_breakdown_rows", "query_id id reason", lambda w: sampling.truth_breakdown(w.sample, _cases(w), w.valid, w.meta), "breakdown")
 expect("gt_breakdown", "reason n:i share:f", lambda w: sampling.breakdown_counts(sampling.truth_breakdown(w.sample, _cases(w), w.valid, w.meta)),
@@ -159,7 +167,7 @@ expect("cosine_delta", "n:i mean:f median:f stdev:f min:f max:f", lambda w: _del
 
 # Rankings and pools ---------------------------------------------------------------------------------
 for _r in retrieval.RANKINGS:
-    expect(f"rank_{_r}", "system query_id id value:g rank:i", lambda w, r=_r: w.ranked(r).where("rank <= 40"), f"(SELECT * FROM ranked WHERE ranking = '{_r}' AND rank <= 40)")
+    expect(f"rank_{_r}", "system query_id id value:g rank:i", lambda w, r=_r: w.ranked(r), f"(SELECT * FROM ranked WHERE ranking = '{_r}')")
 expect("candidate_pools", "system query_id id score:g is_seed seed_rank:i", lambda w: w.found.pools(), "pools")
 expect("pair_scores", "query_id id pair_score:f", lambda w: w.scores, "scores")
 expect("topk_prefix", "system ranking k:i query_id id rank:i", lambda w: w.results, "results")
@@ -200,8 +208,8 @@ _rows = """(SELECT *, list_position(['rag', 'rag_smart', 'emb_1hop', 'emb_2hop',
     UNION ALL SELECT system, """ + _short + ", 'rank', mean_recall, mean_precision, mean_f1, k, mean_mrr, mean_ndcg, hit_rate, n_queries FROM summary))"
 _matrix_rows = lambda w: views.matrix_rows(metrics.layer_ceilings(w.layers, w.truth), metrics.summary(w.per_query))
 expect("pipeline_matrix_rows", "system system_order:i stage block value:f precision:f f1:f pool_size:f mrr:f ndcg:f hit_rate:f n_queries:i recall_shade:f precision_shade:f", _matrix_rows, _rows)
-expect("pipeline_matrix", "system system_order:i seeds:f raw:f post_temporal:f post_cap:f cos@5:f cos@20:f ind@5:f ind@20:f CE@5:f CE@20:f", lambda w: views.matrix(_matrix_rows(w), w.settings.ks),
-    "(PIVOT " + _rows + " ON stage IN ('seeds', 'raw', 'post_temporal', 'post_cap', 'cos@5', 'cos@20', 'ind@5', 'ind@20', 'CE@5', 'CE@20') USING any_value(value) GROUP BY system_order, system)")
+expect("pipeline_matrix", "system system_order:i seeds:f raw:f post_temporal:f post_cap:f cos@5:f cos@10:f cos@15:f cos@20:f ind@5:f ind@10:f ind@15:f ind@20:f CE@5:f CE@10:f CE@15:f CE@20:f", lambda w: views.matrix(_matrix_rows(w), w.settings.ks),
+    "(PIVOT " + _rows + " ON stage IN ('seeds', 'raw', 'post_temporal', 'post_cap', 'cos@5', 'cos@10', 'cos@15', 'cos@20', 'ind@5', 'ind@10', 'ind@15', 'ind@20', 'CE@5', 'CE@10', 'CE@15', 'CE@20') USING any_value(value) GROUP BY system_order, system)")
 expect("heatmap_all_languages", "system ranking k:i all:f de:f en:f es:f fr:f", lambda w: views.heat_map(metrics.both_summaries(w.per_query), "recall"),
     "(PIVOT by_language ON language IN ('all', 'de', 'en', 'es', 'fr') USING any_value(mean_recall) GROUP BY system, ranking, k)")
 expect("heatmap_shades", "system ranking k:i language metric value:f shade:f", lambda w: views.long_heat_map(metrics.both_summaries(w.per_query), metrics.MEANS),
@@ -209,11 +217,17 @@ expect("heatmap_shades", "system ranking k:i language metric value:f shade:f", l
        SELECT system, ranking, k, language, replace(metric, 'mean_', '') AS metric, value FROM (UNPIVOT by_language ON mean_precision, mean_recall, mean_f1, mean_mrr, mean_ndcg, mean_nearness_score, mean_nearness_score_undirected INTO NAME metric VALUE value)))""")
 expect("nearness_series", "system 5:f 10:f 15:f 20:f", lambda w: views.nearness_series(metrics.summary(w.per_query), "indegree", w.settings.ks),
     "(PIVOT (SELECT system, k, mean_nearness_score FROM summary WHERE ranking = 'indegree') ON k IN (5, 10, 15, 20) USING any_value(mean_nearness_score) GROUP BY system)")
+expect("nearness_series_undirected", "system 5:f 10:f 15:f 20:f", lambda w: views.nearness_series(metrics.summary(w.per_query), "indegree", w.settings.ks, directed=False),
+    "(PIVOT (SELECT system, k, mean_nearness_score_undirected FROM summary WHERE ranking = 'indegree') ON k IN (5, 10, 15, 20) USING any_value(mean_nearness_score_undirected) GROUP BY system)")
+expect("comparison_table", f"system ranking k:i {_means}", lambda w: views.comparison(metrics.summary(w.per_query)), "summary")
 _drill = lambda w: views.drill_ranked(w.per_query, "cross_encoder", 10, w.settings.systems, w.queries)
 _drill_sql = """(SELECT query_id, language, year, n_ground_truth, max(recall) FILTER (system = 'rag') AS rag_recall, max(ndcg) FILTER (system = 'graph_1hop') AS graph_1hop_ndcg,
     max(recall) FILTER (system = 'graph_1hop') - max(recall) FILTER (system = 'emb_1hop') AS delta FROM per_query WHERE ranking = 'cross_encoder' AND k = 10 GROUP BY ALL)"""
 expect("drilldown_ranked", "query_id language year:i n_ground_truth:i rag_recall:f graph_1hop_ndcg:f",
     lambda w: _drill(w).withColumns({"rag_recall": F.col("rag.recall"), "graph_1hop_ndcg": F.col("graph_1hop.ndcg")}), _drill_sql)
+expect("drilldown_language", "query_id language rag_recall:f",
+    lambda w: views.drill_ranked(w.per_query, "indegree", 5, w.settings.systems, language="de").withColumn("rag_recall", F.col("rag.recall")),
+    "(SELECT query_id, language, recall AS rag_recall FROM per_query WHERE system = 'rag' AND ranking = 'indegree' AND k = 5 AND language = 'de')")
 expect("drilldown_delta_sorted", "query_id delta:f", lambda w: views.sorted_by(views.with_delta(_drill(w), "recall"), "delta", True, "query_id"), _drill_sql)
 expect("drilldown_page", "query_id delta:f", lambda w: views.page(views.sorted_by(views.with_delta(_drill(w), "recall"), "delta", True, "query_id"), 20, 15),
     f"(SELECT * FROM {_drill_sql} ORDER BY round(delta, 12) DESC NULLS LAST, query_id LIMIT 15 OFFSET 20)")
@@ -236,18 +250,22 @@ expect("inspector_counts", "query_id n_pool:i n_gt:i n_seeds:i n_pool_hits:i n_g
        SELECT query_id, id, bool_or(k = 1) AS p, bool_or(k = 2) AS s, bool_or(k = 3) AS t FROM (SELECT query_id, id, 1 AS k FROM pools WHERE system = 'graph_1hop' UNION ALL SELECT query_id, id, 2 FROM seeds UNION ALL SELECT query_id, id, 3 FROM truth) GROUP BY query_id, id) GROUP BY query_id)""")
 expect("run_header", "language n_queries:i n_ground_truth:i", lambda w: views.run_header(w.accuracy, "rag", "cosine", 20),
     "(SELECT language, count(*) AS n_queries, sum(n_ground_truth) AS n_ground_truth FROM accuracy WHERE system = 'rag' AND ranking = 'cosine' AND k = 20 GROUP BY language)")
-expect("retrieved_lists", "system ranking k:i query_id retrieved", lambda w: views.lists(w.results.where("k = 5")).withColumn("retrieved", F.array_join("retrieved", ",")),
-    "(SELECT system, ranking, k, query_id, string_agg(id, ',' ORDER BY rank) AS retrieved FROM results WHERE k = 5 GROUP BY ALL)")
+expect("retrieved_lists", "system ranking k:i query_id retrieved", lambda w: views.lists(w.results).withColumn("retrieved", F.array_join("retrieved", ",")),
+    "(SELECT system, ranking, k, query_id, string_agg(id, ',' ORDER BY rank) AS retrieved FROM results GROUP BY ALL)")
 expect("configurations", "system ranking k:i", lambda w: views.configurations(w.results), "(SELECT DISTINCT system, ranking, k FROM results)")
-expect("one_query_metrics", "system ranking k:i recall:f mrr:f", lambda w: views.for_query(w.accuracy, "33"), "(SELECT * FROM accuracy WHERE query_id = '33')")
+expect("one_query_metrics", "system ranking k:i recall:f mrr:f", lambda w: views.for_query(w.accuracy, w.first_query), "(SELECT * FROM accuracy WHERE query_id = (SELECT min(query_id::BIGINT)::VARCHAR FROM queries))")
+expect("query_pools", "query_id pool n_seeds:i", lambda w: views.pool_of(w.found.pools(), "graph_1hop").withColumn("pool", F.array_join("pool", ",")),
+    "(SELECT query_id, string_agg(id, ',' ORDER BY is_seed DESC, seed_rank NULLS FIRST, id) AS pool, count(*) FILTER (is_seed) AS n_seeds FROM pools WHERE system = 'graph_1hop' GROUP BY query_id)")
+expect("query_scores", "query_id id pair_score:f", lambda w: views.for_query(w.scores, w.first_query), "(SELECT * FROM scores WHERE query_id = (SELECT min(query_id::BIGINT)::VARCHAR FROM queries))")
 
 
-@entry("custom_query", "system query_id id rank:i", None)
+@entry("custom_query", "system query_id id rank:i excerpt", "custom")
 def _custom(w: World) -> DataFrame:
-    """One free query: no date rule, no self-exclusion, lists of all default systems side by side."""
+    """One free query: no date rule, no self-exclusion, lists of all default systems side by side with the texts' beginnings."""
     asked = w.corpus.where("id = '33'").select(F.lit("custom").alias("query_id"), "vector", F.lit(None).cast("long").alias("date_ms"))
     found = retrieval.Retrieval(w.engine, asked, w.settings.but(systems=retrieval.DEFAULT_SYSTEMS), exclude_self=False, use_dates=False)
-    return retrieval.rank(found.pools(), "indegree", w.degree).where("rank <= 10")
+    best = retrieval.rank(found.pools(), "indegree", w.degree).where("rank <= 10")
+    return best.join(w.corpus.select("id", text.excerpt(F.col("text"), 80).alias("excerpt")), "id", "left")
 
 
 # Texts ----------------------------------------------------------------------------------------------
@@ -310,6 +328,117 @@ expect("last_record_by_key", "role turn:i text", lambda w: readers.last_by_key(w
     "(SELECT role, arg_max(turn, conv_id * 1000 + turn) AS turn, arg_max(text, conv_id * 1000 + turn) AS text FROM conversations WHERE role IS NOT NULL GROUP BY role)")
 
 
+def _scratch(w: World) -> str:
+    return f"{shared_folder(w.spark)}/sources-{uuid.uuid4().hex}"
+
+
+_talk = lambda w: w.table("conversations").select(F.col("conv_id").cast("string").alias("query_id"), F.col("text").alias("query_text"), F.col("turn").cast("int").alias("year"), F.col("role").alias("language"))
+
+
+@entry("lines_round_trip", "conv:i turn:i text", "(SELECT conv_id AS conv, turn, text FROM conversations)")
+def _lines(w: World) -> DataFrame:
+    sinks.write_lines(w.table("conversations").select(F.col("conv_id").alias("conv"), "turn", "text"), path := _scratch(w))
+    return readers.lines(w.spark, path, "conv long, turn long, text string")
+
+
+@entry("last_line_by_key", "role n:i", "(SELECT role, max(conv_id * 1000 + turn) AS n FROM conversations GROUP BY role)")
+def _last_line(w: World) -> DataFrame:
+    rows = w.table("conversations").select("role", (F.col("conv_id") * 1000 + F.col("turn")).alias("n"))
+    sinks.write_lines(rows.coalesce(1).sortWithinPartitions("n"), path := _scratch(w))  # in order, in one file
+    return readers.last_by_key(readers.ordered_lines(w.spark, path, "role string, n long"), "role")
+
+
+@entry("query_lines", "query_id query_text", "(SELECT conv_id::VARCHAR AS query_id, text AS query_text FROM conversations WHERE trim(coalesce(text, '')) <> '')")
+def _query_lines(w: World) -> DataFrame:
+    sinks.write_lines(_talk(w), path := _scratch(w))
+    return readers.queries(w.spark, path)
+
+
+@entry("facts_lines", "decision_id language", "(SELECT conv_id::VARCHAR AS decision_id, arg_min(lower(role), turn) AS language FROM conversations WHERE lower(role) IN ('user', 'assistant') GROUP BY conv_id)")
+def _facts_lines(w: World) -> DataFrame:
+    rows = w.table("conversations").select(F.col("conv_id").cast("string").alias("decision_id"), F.col("role").alias("language"), F.col("text").alias("facts"), "conv_id", "turn")
+    sinks.write_lines(rows.coalesce(1).sortWithinPartitions("conv_id", "turn").drop("conv_id", "turn"), path := _scratch(w))
+    return readers.facts(w.spark, path, ("user", "assistant"))
+
+
+@entry("result_files", "system ranking k:i query_id id rank:i", "(SELECT * FROM results WHERE system = 'rag' AND ranking = 'cosine')")
+def _result_files(w: World) -> DataFrame:
+    """Lists written as lines, one folder of files a configuration as named there, and read back by their names."""
+    base = _scratch(w)
+    for k in w.settings.ks:
+        rows = views.lists(w.results.where(f"system = 'rag' AND ranking = 'cosine' AND k = {k}")).select("query_id", "retrieved")
+        sinks.write_named(rows, base, f"rag_cosine_{k}.jsonl")
+    return readers.results(w.spark, base)
+
+
+@entry("csv_round_trip", "system ranking k:i mean_recall:f n_queries:i", "(SELECT system, ranking, k, avg(recall) AS mean_recall, count(*) AS n_queries FROM accuracy GROUP BY ALL)")
+def _csv(w: World) -> DataFrame:
+    made = w.accuracy.groupBy(*metrics.CONFIG).agg(F.avg("recall").alias("mean_recall"), F.count(F.lit(1)).alias("n_queries"))
+    sinks.write_csv(made, path := _scratch(w))
+    return readers.aggregate(w.spark, path, "system string, ranking string, k int, mean_recall double, n_queries long")
+
+
+@entry("scores_round_trip", "query_id id pair_score:f", "scores")
+def _scores_lines(w: World) -> DataFrame:
+    sinks.write_scores(w.scores, path := _scratch(w))
+    return sinks.read_scores(w.spark, path)
+
+
+@entry("partitioned_results", "system ranking k:i query_id id rank:i", "results")
+def _partitioned(w: World) -> DataFrame:
+    path = _scratch(w)
+    for system in w.settings.systems:  # a run at a time: others stay
+        sinks.write_results(w.results.where(F.col("system") == system).drop("value"), path)
+    return w.spark.read.parquet(path)
+
+
+@entry("upsert_points", "point_id text", "(SELECT doc_id::VARCHAR AS point_id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS text FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0)")
+def _upsert(w: World) -> DataFrame:
+    ids = w.table("documents").select(F.col("doc_id").cast("string").alias("point_id"), "doc_id")
+    old = ids.where("doc_id % 2 = 0").select("point_id", F.lit("old").alias("text"))
+    new = ids.where("doc_id % 3 = 0").select("point_id", F.lit("new").alias("text"))
+    return sinks.upsert(new, old, "point_id")
+
+
+@entry("snapshot_restore", "c_custkey:i c_name", "(SELECT c_custkey, c_name FROM customer)")
+def _snapshot(w: World) -> DataFrame:
+    sinks.snapshot(w.spark, w.table("customer").select("c_custkey", "c_name"), path := _scratch(w), "one")
+    return sinks.restore(w.spark, path)
+
+
+@entry("embedding_cache", "query_id n:i", "(SELECT vec_id::VARCHAR AS query_id, len(embedding) AS n FROM embeddings)")
+def _cache(w: World) -> DataFrame:
+    rows = w.table("embeddings").select(F.col("vec_id").cast("string").alias("query_id"), "embedding")
+    sinks.write_lines(rows, path := _scratch(w))
+    return readers.embedding_cache(w.spark, path).select("query_id", F.size("embedding").alias("n"))
+
+
+@entry("embedding_shards", "chunk_id n:i", "(SELECT doc_id::VARCHAR AS chunk_id, len(text) AS n FROM documents WHERE coalesce(text, '') <> '')")
+def _shards(w: World) -> DataFrame:
+    """Vectors in shards, in two runs of which the second takes what the first left; a text's vector is its length here."""
+    rows = w.table("documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "text")
+    embedder = sinks.BatchEmbedder(lambda texts: [[float(len(t))] for t in texts])
+    path = _scratch(w)
+    sinks.embed_shards(rows.where("int(chunk_id) % 2 = 0"), embedder, path)
+    sinks.embed_shards(rows, embedder, path)
+    return w.spark.read.parquet(f"{path}/shards").select("chunk_id", F.get("vector", 0).alias("n"))
+
+
+@entry("arrow_files", "n_nationkey:i n_name", "(SELECT n_nationkey, n_name FROM nation)")
+def _arrow(w: World) -> DataFrame:
+    """A table written as Arrow files by the executors' file system and read back."""
+    path = _scratch(w)
+    sinks.write_arrow(w.table("nation").select("n_nationkey", "n_name"), path)
+    return readers.arrow_table(w.spark, path, "n_nationkey int, n_name string")
+
+
+expect("chunk_points", "id chunk_index:i source", lambda w: readers.chunk_points(w.points, ("src1", "src2")), "(SELECT id, chunk_index, source FROM points WHERE source IN ('src1', 'src2'))")
+expect("sample_texts", "decision_id n:i", lambda w: readers.sample_texts(
+        w.table("documents").select(F.col("doc_id").cast("string").alias("decision_id"), F.lit("").alias("file_number"), F.lit("").alias("date"), F.col("lang").alias("language"), F.col("source").alias("court"), F.col("text").alias("full_text")),
+        court="src3", max_tokens=300, limit=20).withColumn("n", text.token_count(F.col("text"))),
+    f"(SELECT * FROM (SELECT doc_id::VARCHAR AS decision_id, len({_words}) AS n FROM documents WHERE source = 'src3' AND coalesce(text, '') <> '') WHERE n < 300 ORDER BY decision_id LIMIT 20)")
+
+
 @entry("resume_remaining", "query_id", "(SELECT DISTINCT query_id FROM truth WHERE NOT (query_id::INT % 3 <> 0 AND query_id::INT % 5 <> 0))")
 def _resume(w: World) -> DataFrame:
     asked = w.truth.select("query_id").distinct()

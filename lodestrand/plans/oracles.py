@@ -145,6 +145,22 @@ RELATIONS: dict[str, str] = {
         FROM edges e JOIN top_seeds s ON s.id = e.dst JOIN ends n ON n.id = e.src) WHERE nth <= 5""",
     "top_nodes": """SELECT * FROM (SELECT id, row_number() OVER (ORDER BY a, b, c) AS place FROM (
         SELECT id, min((a, b, c)) AS m, (m)[1] AS a, (m)[2] AS b, (m)[3] AS c FROM (SELECT id, 0 AS a, rank AS b, 0 AS c FROM top_seeds UNION ALL SELECT src, 1, rank, nth FROM top_citers) GROUP BY id)) WHERE place <= 60""",
+    "c_near": "SELECT p.id, p.chunk_index, round(list_cosine_similarity(c.vector, p.vector), 9) AS score FROM (SELECT vector FROM corpus WHERE id = '33') c CROSS JOIN rulings p",
+    "c_seeds": "SELECT * FROM (SELECT id, max(score) AS score, row_number() OVER (ORDER BY max(score) DESC, id) AS seed_rank FROM c_near GROUP BY id) WHERE seed_rank <= 20",
+    "c_g1": """SELECT id, row_number() OVER (ORDER BY coalesce(in_degree, 0) DESC, id) AS n FROM (SELECT DISTINCT a.b AS id FROM c_seeds s JOIN around a ON a.a = s.id) LEFT JOIN degree USING (id)
+        WHERE id NOT IN (SELECT id FROM c_seeds)""",
+    "c_g2": """SELECT id, row_number() OVER (ORDER BY coalesce(in_degree, 0) DESC, id) AS n FROM (SELECT id FROM c_g1 WHERE n <= 256 UNION SELECT a.b FROM c_g1 f JOIN around a ON a.a = f.id WHERE n <= 256)
+        LEFT JOIN degree USING (id) WHERE id NOT IN (SELECT id FROM c_seeds)""",
+    "c_e1": """SELECT id, row_number() OVER (ORDER BY score DESC, id) AS n FROM (SELECT k.id, max(k.score) AS score FROM c_seeds s JOIN knn k ON k.node = s.id
+        AND k.rank <= 3 * greatest(10, 64 // (SELECT count(*) FROM c_seeds)) GROUP BY k.id) WHERE id NOT IN (SELECT id FROM c_seeds)""",
+    "c_front": "SELECT id FROM c_e1 WHERE n <= 64 ORDER BY id LIMIT 10",
+    "c_e2": """SELECT id, row_number() OVER (ORDER BY score DESC, id) AS n FROM (SELECT id, max(score) AS score FROM (SELECT k.id, k.score FROM c_front f JOIN knn k ON k.node = f.id
+        AND k.rank <= 3 * greatest(10, 128 // (SELECT count(*) FROM c_front)) UNION ALL SELECT id, 1.0 FROM c_e1 WHERE n <= 64) GROUP BY id) WHERE id NOT IN (SELECT id FROM c_seeds)""",
+    "c_pools": "SELECT s.system, id, true AS is_seed, seed_rank FROM c_seeds CROSS JOIN (VALUES ('rag'), ('emb_1hop'), ('emb_2hop'), ('graph_1hop'), ('graph_2hop')) s(system)"
+    + "".join(f" UNION ALL SELECT '{s}', id, false, NULL FROM {c} WHERE n <= {cap}" for s, c, cap in (("emb_1hop", "c_e1", 64), ("emb_2hop", "c_e2", 128), ("graph_1hop", "c_g1", 64), ("graph_2hop", "c_g2", 128))),
+    "custom": """SELECT p.system, 'custom' AS query_id, p.id, p.rank, substr(coalesce(c.text, ''), 1, 80) AS excerpt FROM (
+        SELECT system, id, row_number() OVER (PARTITION BY system ORDER BY round(ln(1 + coalesce(in_degree, 0)), 9) DESC, is_seed DESC, seed_rank NULLS LAST, id) AS rank FROM c_pools LEFT JOIN degree USING (id)) p
+        LEFT JOIN corpus c ON c.id = p.id WHERE p.rank <= 10""",
     "log": """SELECT (event_id % 7)::BIGINT AS run_id, event_id AS line_no, CASE WHEN event_type = 'error' THEN '12:00 === ' || upper(s) || ' FAILED ===' WHEN event_type = 'signup' THEN '=== SKIP ' || s || ' ==='
         WHEN event_type = 'purchase' THEN '=== ' || upper(s) || ' finished in 3 s ===' WHEN event_type = 'view' THEN '=== ' || upper(s) || ' started ===' ELSE 'progress ' || event_id END AS line
         FROM (SELECT *, CASE event_id % 3 WHEN 0 THEN 'sample' WHEN 1 THEN 'retrieval' ELSE 'metrics' END AS s FROM events)""",

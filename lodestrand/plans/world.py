@@ -136,6 +136,11 @@ class World:
         """Queries whose pair scores could not be had: a stand-in for failed batches."""
         return self.queries.where(F.col("query_id").cast("long") % 29 == 0).select("query_id")
 
+    @cached_property
+    def first_query(self) -> str:
+        """The query with the least number."""
+        return str(self.queries.agg(F.min(F.col("query_id").cast("long"))).first()[0])
+
     def ranked(self, ranking: str) -> DataFrame:
         scores = self.scores if ranking == "cross_encoder" else None
         return retrieval.rank(self.found.pools(), ranking, self.degree, scores, self.failed if scores is not None else None)
@@ -150,9 +155,9 @@ class World:
         return keep(out)
 
     @cached_property
-    def distances(self) -> tuple[DataFrame, DataFrame]:
-        targets = self.truth.select(F.col("id").alias("target"))
-        return graph.distances(self.edges, targets), graph.distances(self.edges, targets, directed=False)
+    def seed_targets(self) -> DataFrame:
+        """id, target: each query's seeds with each case that it cites."""
+        return keep(self.found.seeds.select("query_id", "id").join(self.truth.select("query_id", F.col("id").alias("target")), "query_id").select("id", "target").distinct())
 
     @cached_property
     def accuracy(self) -> DataFrame:

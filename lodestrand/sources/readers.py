@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import posixpath
 from collections.abc import Mapping
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions.text import token_count
 from . import schemas
 
 #: Fixed value: how result files are named.
@@ -47,31 +51,84 @@ def lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def ordered_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines with ``line_file`` and ``line_no`` (their order in the file); malformed ones are dropped."""
-    raw = spark.read.text(path).select(
-        F.col("value"), F.col("_metadata.file_path").alias("line_file"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("line_no")
-    )
-    parsed = raw.select("line_file", "line_no", F.from_json("value", schema).alias("r"))
-    first = F.col("r").isNotNull()
-    return parsed.where(first).select("r.*", "line_file", "line_no")
+    """JSON lines with ``line_at`` (file, start of the block read, number in it), which orders them as they stand; malformed ones are dropped."""
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("number"))
+    parsed = spark.read.text(path).select(at.alias("line_at"), F.from_json("value", schema).alias("r"))
+    return parsed.where(F.col("r").isNotNull()).select("r.*", "line_at")
 
 
-def last_by_key(rows: DataFrame, key: str = "query_id", order: str = "line_no") -> DataFrame:
+def last_by_key(rows: DataFrame, key: str = "query_id", order: str = "line_at") -> DataFrame:
     """One record a key, the last; rows without a key are dropped."""
     place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
     return rows.where(F.col(key).isNotNull()).withColumn("_n", place).where(F.col("_n") == 1).drop("_n")
 
 
+def arrow_table(spark: SparkSession, folder: str, columns: str) -> DataFrame:
+    """The Arrow files of a folder, in the file or the stream form, read on the executors a file at a time.
+
+    ``columns`` is the schema of what is read; other columns are left out, missing ones are null.
+    """
+    wanted = spark.createDataFrame([], columns).schema
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.arrow").load(folder).select("path", "content")
+
+    def run(batches):
+        target = to_arrow_schema(wanted)
+        for batch in batches:
+            for content in batch.column("content"):
+                buffer = pa.BufferReader(content.as_buffer())
+                try:
+                    parts = pa.ipc.open_file(buffer).read_all().to_batches()
+                except pa.ArrowInvalid:
+                    buffer.seek(0)
+                    parts = pa.ipc.open_stream(buffer).read_all().to_batches()
+                for part in parts:
+                    there = {n: part.column(n) for n in part.schema.names}
+                    yield pa.RecordBatch.from_arrays([there[f.name].cast(f.type) if f.name in there else pa.nulls(part.num_rows, f.type) for f in target], schema=target)
+
+    return files.mapInArrow(run, wanted)
+
+
+def newest_revision(spark: SparkSession, root: str, explicit: str | None = None) -> str:
+    """A dataset's folder: the explicit one, or the last by name of the revisions below ``root``."""
+    if explicit:
+        return explicit
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [x.getPath() for x in system.listStatus(folder) if x.isDirectory()] if system.exists(folder) else []
+    if not found:
+        raise FileNotFoundError(f"no revision of a dataset in {root}")
+    return max((x.getName(), x.toString()) for x in found)[1]
+
+
+def inside(root: str, relative: str) -> str:
+    """The path of a file below ``root``; one that leads out of it is refused."""
+    path = posixpath.normpath(f"{root}/{relative}")
+    if relative.startswith("/") or "\\" in relative or not path.startswith(posixpath.normpath(root) + "/"):
+        raise PermissionError(f"{relative} isn't below the folder")
+    return path
+
+
+def sample_texts(docs: DataFrame, *, court: str, max_tokens: int, limit: int, only: DataFrame | None = None) -> DataFrame:
+    """decision_id, file_number, date, language, court, text of a court's decisions of fewer than ``max_tokens`` tokens.
+
+    ``only`` (decision_id) restricts them; of those that fit, the first ``limit`` by id.
+    """
+    rows = docs.where((F.col("court") == court) & (F.coalesce("full_text", F.lit("")) != "") & (token_count(F.col("full_text")) < max_tokens))
+    rows = rows.join(only.select("decision_id").distinct(), "decision_id", "left_semi") if only is not None else rows
+    named = rows.select("decision_id", "file_number", "date", "language", "court", F.col("full_text").alias("text"))
+    return named.orderBy("decision_id").limit(limit)
+
+
 def queries(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Query records whose text isn't blank."""
-    got = lines(spark, path, schemas.QUERIES).where(F.trim(F.coalesce("query_text", F.lit(""))) != "")
-    return got.limit(limit) if limit is not None else got
+    """Query records whose text isn't blank; with ``limit``, the first in the order of files and lines."""
+    got = ordered_lines(spark, path, schemas.QUERIES).where(F.trim(F.coalesce("query_text", F.lit(""))) != "")
+    return (got.orderBy("line_at").limit(limit) if limit is not None else got).drop("line_at")
 
 
 def facts(spark: SparkSession, path: str, languages=("de", "fr", "it")) -> DataFrame:
     """decision_id, language, facts in the given languages, one an id: the least in file order."""
     rows = ordered_lines(spark, path, schemas.FACTS).withColumn("language", F.lower("language")).where(F.col("language").isin(*languages))
-    place = F.row_number().over(Window.partitionBy("decision_id").orderBy("line_file", "line_no"))
+    place = F.row_number().over(Window.partitionBy("decision_id").orderBy("line_at"))
     return rows.withColumn("_n", place).where("_n = 1").select("decision_id", "language", F.coalesce("facts", F.lit("")).alias("facts"))
 
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import point_id
+from .checkpoints import keep
 from .readers import exists
+from .schemas import PAIR_SCORES
 
 #: Fixed value: dates before 2001, in milliseconds; after a back-fill few should be.
 OLD_DATE_MS = 978_307_200_000
@@ -23,6 +27,41 @@ def write_lines(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
+def write_named(rows: DataFrame, folder: str, name: str) -> None:
+    """Rows as lines of one file of a given name (a list a query: as large as a result file is)."""
+    spark, part = rows.sparkSession, f"{folder}/_{name}"
+    rows.coalesce(1).write.mode("overwrite").json(part)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    written = system.globStatus(path(f"{part}/part-*"))
+    target = path(f"{folder}/{name}")
+    system.delete(target, False)
+    if len(written):
+        system.rename(written[0].getPath(), target)
+    system.delete(path(part), True)
+
+
+def write_arrow(rows: DataFrame, folder: str) -> None:
+    """Rows as Arrow files, one a batch: made on the executors, named by their content's hash and written by Spark's file system."""
+    names = rows.columns
+
+    def run(batches):
+        for batch in batches:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_file(sink, batch.schema) as writer:
+                writer.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["content"])
+
+    files = rows.select(*names).mapInArrow(run, "content binary").withColumn("name", F.concat(F.sha2("content", 256), F.lit(".arrow")))
+    spark = rows.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for row in files.toLocalIterator():  # a file at a time
+        out = system.create(path(f"{folder}/{row.name}"), True)
+        out.write(bytearray(row.content))
+        out.close()
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     """An aggregate (a few rows a configuration) as one CSV with a header."""
     rows.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
@@ -33,8 +72,12 @@ def with_point_ids(chunks: DataFrame) -> DataFrame:
 
 
 def upsert(new: DataFrame, old: DataFrame | None, key: str = "point_id") -> DataFrame:
-    """The store after an upsert: one row a key, the new one where there are both."""
-    once = new.dropDuplicates([key])
+    """The store after an upsert: one row a key, the new one where there are both.
+
+    Of several new rows of a key the one with the largest hash stays, whatever the order they come in.
+    """
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(F.xxhash64(F.to_json(F.struct(*sorted(new.columns)))))))
+    once = new.withColumn("_n", place).where("_n = 1").drop("_n")
     return once if old is None else old.join(once.select(key), key, "left_anti").unionByName(once, allowMissingColumns=True)
 
 
@@ -55,6 +98,58 @@ def embed(rows: DataFrame, embedder: Callable[[DataFrame], DataFrame]) -> tuple[
     return done.where("vector IS NOT NULL"), done.where("vector IS NULL").drop("vector")
 
 
+class BatchEmbedder:
+    """Texts to vectors in batches through a callable, tried again, with another to fall back on.
+
+    ``call`` and ``fallback`` take a list of texts and give as many lists of numbers. A batch that both refuse
+    is tried text by text, and what still fails has no vector. Runs on the executors, a partition's batches
+    one after the other.
+    """
+
+    def __init__(self, call, fallback=None, *, size: int = 4, attempts: int = 3, wait: float = 0.5):
+        self.call, self.fallback, self.size, self.attempts, self.wait = call, fallback, size, attempts, wait
+
+    def _vectors(self, texts: list[str]) -> list:
+        for call in (self.call, self.fallback):
+            for i in range(self.attempts if call is not None else 0):
+                try:
+                    got = call(texts)
+                    if len(got) == len(texts):
+                        return [[float(x) for x in v] for v in got]
+                except Exception:  # whatever the service says, another try or the next way follows
+                    time.sleep(self.wait * 2**i)
+        return [None] if len(texts) == 1 else [self._vectors([t])[0] for t in texts]
+
+    def __call__(self, rows: DataFrame) -> DataFrame:
+        names, text = rows.columns, rows.columns.index("text")
+
+        def run(batches):
+            for batch in batches:
+                texts, vectors = batch.column(text).to_pylist(), []
+                for at in range(0, len(texts), self.size):
+                    part = texts[at : at + self.size]
+                    known = iter(self._vectors([t for t in part if t]) if any(part) else [])
+                    vectors += [next(known) if t else None for t in part]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(vectors, pa.list_(pa.float32()))], [*names, "vector"])
+
+        kinds = dict(rows.drop("vector").dtypes)
+        return rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", vector array<float>")
+
+
+def embed_shards(rows: DataFrame, embedder: Callable[[DataFrame], DataFrame], path: str, *, key: str = "chunk_id") -> tuple[int, int]:
+    """(rows written, rows that failed): vectors of the rows that no shard below ``path`` has are written as new shards.
+
+    A run that broke off is resumed by keys, not by counting rows; failures are listed in ``path``/failed.
+    """
+    spark, shards = rows.sparkSession, f"{path}/shards"
+    todo = missing(rows, spark.read.parquet(shards), key) if exists(spark, shards) else rows
+    done = keep(embedder(todo))
+    done.where("vector IS NOT NULL").write.mode("append").parquet(shards)
+    done.where("vector IS NULL").select(key).write.mode("overwrite").json(f"{path}/failed")
+    counted = done.agg(F.count("vector").alias("good"), F.count_if(F.col("vector").isNull()).alias("bad")).first()
+    return counted.good, counted.bad
+
+
 def backfill_dates(points: DataFrame, dates: DataFrame) -> DataFrame:
     """Points with date_ms from ``dates`` (decision_id, date_ms); dates of 0 or less aren't written."""
     good = dates.where("date_ms > 0").groupBy("decision_id").agg(F.min("date_ms").alias("new_ms"))
@@ -85,6 +180,18 @@ def resume(queries: DataFrame, outputs: dict[str, DataFrame]) -> tuple[DataFrame
     return missing(queries, done, "query_id"), {k: v.join(done, "query_id", "left_semi") for k, v in outputs.items()}
 
 
+def write_scores(rows: DataFrame, path: str) -> None:
+    """Pair scores (query_id, id, pair_score) as lines of query_id and a map from id to score."""
+    pairs = F.map_from_entries(F.array_sort(F.collect_list(F.struct("id", "pair_score"))))
+    write_lines(rows.groupBy("query_id").agg(pairs.alias("scores")), path)
+
+
+def read_scores(spark: SparkSession, path: str) -> DataFrame:
+    """query_id, id, pair_score from such lines; malformed ones are dropped."""
+    raw = spark.read.schema(PAIR_SCORES).option("mode", "DROPMALFORMED").json(path)
+    return raw.select("query_id", F.explode("scores").alias("id", "pair_score"))
+
+
 def snapshot(spark: SparkSession, table: DataFrame, path: str, tag: str) -> None:
     """A table under a tag, and a line in the manifest: tag, rows and a checksum that doesn't depend on order."""
     table.write.mode("overwrite").parquet(f"{path}/{tag}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable
 from pathlib import PurePosixPath
 
@@ -49,14 +50,23 @@ def stage_changes(lines: DataFrame) -> DataFrame:
     )
 
 
-def append_new(stream: DataFrame, path: str, checkpoint: str, key: str, schema: str):
-    """A writer that appends rows whose key isn't there yet; a batch that is run again adds nothing."""
+def append_new(stream: DataFrame, path: str, checkpoint: str, key: str, schema: str, slices: int = 64):
+    """A writer that adds rows whose key isn't there yet, by slices of keys and batches.
 
-    def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
-        there = spark.read.schema(schema).parquet(path).select(key)
-        batch.dropDuplicates([key]).join(there, key, "left_anti").write.mode("append").parquet(path)
+    A row lies in the folder of its key's slice and of the batch (of the query with this checkpoint) that
+    brought it. A batch reads the keys of the slices that it has rows for and no others, and replaces its own
+    folders as a whole: run again after a failure, it neither adds nor loses anything.
+    """
+    query, whole = f"{zlib.crc32(checkpoint.encode()):08x}", f"{schema}, slice int, batch string"
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark, own = batch.sparkSession, f"{query}-{number}"
+        dealt = batch.dropDuplicates([key]).withColumn("slice", F.pmod(F.xxhash64(key), F.lit(slices)).cast("int")).withColumn("batch", F.lit(own))
+        spark.createDataFrame([], whole).write.mode("ignore").partitionBy("slice", "batch").parquet(path)
+        mine = [r[0] for r in dealt.select("slice").distinct().collect()]  # ``slices`` at most
+        there = spark.read.schema(whole).parquet(path).where(F.col("slice").isin(mine) & (F.col("batch") != own))
+        new = dealt.join(there.select(key), key, "left_anti")
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slice", "batch").parquet(path)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 

@@ -37,7 +37,7 @@ def registry():
     return catalogue.queries()
 
 
-@pytest.mark.parametrize("name", [n for n in catalogue.ENTRIES if n != "custom_query"])
+@pytest.mark.parametrize("name", list(catalogue.ENTRIES))
 def test_against_sql(spark, database, registry, name):
     df = registry[name](spark, SF)
     columns = sorted(df.columns)

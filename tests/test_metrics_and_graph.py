@@ -1,10 +1,12 @@
 """Micro-fixtures with results worked out by hand."""
 
 import math
+import random
 
+import numpy as np
 import pytest
 
-from lodestrand.operators import graph, metrics, retrieval
+from lodestrand.operators import graph, metrics, retrieval, sampling, vectors
 
 
 def table(spark, rows, schema):
@@ -32,24 +34,51 @@ def test_accuracy(spark):
     assert (empty.recall, empty.ndcg, empty.n_ground_truth) == (0, 0, 0)
 
 
+def slow_distances(edges, pairs, directed):
+    """{(target, id): hops up to 2} by breadth-first search from every id."""
+    ahead = {}
+    for a, b, _ in edges:
+        ahead.setdefault(a, set()).add(b)
+        if not directed:
+            ahead.setdefault(b, set()).add(a)
+    out = {}
+    for id_, target in pairs:
+        near, reached = {id_}, {id_}
+        for d in range(3):
+            if target in near:
+                out[target, id_] = d
+                break
+            near = set().union(*(ahead.get(x, set()) for x in near)) - reached
+            reached |= near
+    return out
+
+
 def test_nearness(spark):
     edges = table(spark, [("x", "a", "case_to_case"), ("y", "x", "case_to_case"), ("a", "w", "case_to_case")], "src string, dst string, type string")
     truth = table(spark, [("q", "a")], "query_id string, id string")
-    targets = truth.selectExpr("id AS target")
-    r = metrics.nearness(results(spark, ["a", "x", "y", "w"], 4), truth, graph.distances(edges, targets), graph.distances(edges, targets, directed=False)).first()
+    pairs = table(spark, [(x, "a") for x in "axywz"], "id string, target string")
+    r = metrics.nearness(results(spark, ["a", "x", "y", "w"], 4), truth, graph.distances_between(edges, pairs), graph.distances_between(edges, pairs, directed=False)).first()
     assert r.nearness_score == pytest.approx(0.458333, abs=1e-6) and (r.n_exact, r.n_near_1, r.n_near_2, r.n_far) == (1, 1, 1, 1)
     assert r.nearness_score_undirected == pytest.approx(0.583333, abs=1e-6)
     assert (r.n_near_1_undirected, r.n_near_2_undirected, r.n_far_undirected) == (2, 1, 0)
-    pairs = table(spark, [(x, "a") for x in "axywz"], "id string, target string")
-    for directed in (True, False):
-        whole = {(x.id, x.d) for x in graph.distances(edges, targets, directed=directed).collect()}
-        assert {(x.id, x.d) for x in graph.distances_between(edges, pairs, directed=directed).collect()} == whole
     gone = table(spark, [("q", "missing")], "query_id string, id string")
-    nothing = graph.distances(edges.limit(0), gone.selectExpr("id AS target"))
+    nothing = graph.distances_between(edges.limit(0), table(spark, [("missing", "missing"), ("x", "missing")], "id string, target string"))
     r = metrics.nearness(results(spark, ["missing", "x"], 2), gone, nothing, nothing).first()
     assert (r.n_exact, r.n_far, r.nearness_score) == (1, 1, 0.5)
 
 
+@pytest.mark.parametrize("directed", [True, False])
+def test_distances_against_a_search(spark, directed):
+    """A hub on either side, loops, repeated edges and pairs of ids that have none."""
+    r = random.Random(4)
+    ids = [str(i) for i in range(25)]
+    made = [("0", x, "t") for x in ids[1:20]] + [(x, "1", "t") for x in ids[2:22]] + [(r.choice(ids), r.choice(ids), "t") for _ in range(25)] + [("3", "3", "t")]
+    asked = [(a, b) for a in [*ids, "gone"] for b in [*ids[:12], "none"]]
+    edges, pairs = table(spark, made + made[:5], "src string, dst string, type string"), table(spark, asked, "id string, target string")
+    got = {(x.target, x.id): x.d for x in graph.distances_between(edges, pairs, directed=directed).collect()}
+    assert got == slow_distances(made, asked, directed)
+
+
 def test_graph_build(spark):
     rows = table(spark, [("r1", "['r2','r2','r1','']", "['L1']", 0), ("r2", None, "['r2','L1']", 1), ("r3", "nope", "['r9']", 2), ("r4", "['r9']", "", 3)],
                  "decision_id string, cited_rulings string, laws string, pos long")
@@ -137,3 +166,65 @@ def test_summaries(spark):
     assert math.isclose(metrics.summary(df).first().mean_precision, 0.1)
     diff = metrics.id_difference(df.select("query_id"), table(spark, [("q1",), ("q9",)], "query_id string")).first()
     assert tuple(diff) == (1, 1, 2, True)
+
+
+def test_run_plan():
+    plan = lambda n, **k: sampling.run_plan(n, **({"available": {"de": 50, "fr": 40, "it": 60}, "at_hand": {"de": 10, "fr": 10, "it": 9}, "may_reuse": True} | k))
+    assert plan(29) == sampling.RunPlan(27, 0, True)
+    assert plan(30) == sampling.RunPlan(30, 10, False)
+    assert plan(10_000) == sampling.RunPlan(120, 40, False)
+    assert plan(9, may_reuse=False) == sampling.RunPlan(9, 3, False)
+    assert plan(0) == plan(-5) == sampling.RunPlan(0, 0, True) == plan(None)
+
+
+def searched(spark, seed=3, n=300, dims=8):
+    """Points around a few centres, some without a vector or a date, and queries, as tables and as rows."""
+    r = np.random.default_rng(seed)
+    centres = r.normal(size=(6, dims))
+    points = [(f"p{i % 150}", i // 150, None if i % 41 == 0 else (centres[i % 6] + 0.3 * r.normal(size=dims)).astype(np.float32).tolist(), None if i % 11 == 0 else i) for i in range(n)]
+    queries = [(f"q{i}", None if i == 7 else (centres[i % 6] + 0.3 * r.normal(size=dims)).astype(np.float32).tolist(), 5 + i % 3, None if i % 4 == 0 else 200, "p3" if i % 2 else None) for i in range(40)]
+    as_table = (spark.createDataFrame(points, "id string, chunk_index int, vector array<float>, date_ms long"), spark.createDataFrame(queries, "query_id string, vector array<float>, depth int, before long, skip string"))
+    return points, queries, *as_table
+
+
+def slow_nearest(points, queries):
+    out = set()
+    for q, v, depth, before, skip in queries:
+        if v is None:
+            continue
+        found = []
+        for id_, chunk, vector, date in points:
+            if vector is None or id_ == skip or (before is not None and (date is None or date >= before)):
+                continue
+            a, b = np.array(v, float), np.array(vector, float)
+            found.append((-round(float(a @ b / np.sqrt((a @ a) * (b @ b))), 9), id_, chunk))
+        out |= {(q, i, c) for _, i, c in sorted(found)[:depth]}
+    return out
+
+
+def test_exact_search(spark):
+    """Broadcast or in blocks, null vectors or not: the neighbours by brute force."""
+    points, queries, p, q = searched(spark)
+    want = slow_nearest(points, queries)
+    for block in (4096, 7):
+        assert {(r.query_id, r.id, r.chunk_index) for r in vectors.nearest(q, p.repartition(3), block=block).collect()} == want
+    assert vectors.nearest(q, p.limit(0)).count() == vectors.nearest(q.limit(0), p).count() == 0
+
+
+def test_cells(spark, monkeypatch):
+    """All cells: exact. Some: at least nine in ten neighbours."""
+    monkeypatch.setattr(vectors, "POINTS", 40)
+    points, queries, p, q = searched(spark)
+    index = vectors.CellIndex(p, 12, sample=200)
+    got = {(r.query_id, r.id, r.chunk_index) for r in index.nearest(q, 12).collect()}
+    assert got == slow_nearest(points, queries)
+    few = index.recall(q, 4).first()
+    assert few.n_queries == 39 and few.recall >= 0.9
+
+
+def test_smart_seeds_look_further_for_dated_queries(spark):
+    points = spark.createDataFrame([(f"p{i}", 0, [1.0, i / 100], i) for i in range(60)], "id string, chunk_index int, vector array<float>, date_ms long")
+    degree = spark.createDataFrame([("p30", 9), ("p12", 5)], "id string, in_degree long")
+    asked = spark.createDataFrame([("dated", [1.0, 0.0], 1000, None), ("undated", [1.0, 0.0], None, None)], "query_id string, vector array<float>, before long, skip string")
+    got = vectors.smart_seeds(asked, points, degree, 2, overfetch=24, undated=8).where("seed_rank = 1").collect()
+    assert {r.query_id: r.id for r in got} == {"dated": "p30", "undated": "p12"}

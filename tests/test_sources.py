@@ -1,5 +1,6 @@
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,6 +20,104 @@ def test_tolerant_lines(spark, tmp_path):
     assert {r.query_id: r.retrieved for r in last.collect()} == {"1": ["b"], "3": []}
 
 
+def test_last_line_over_several_files_and_blocks(spark, tmp_path):
+    """The last of the last file by name, wherever a file is split."""
+    for name, n in (("a", 3000), ("b", 4000)):
+        write(tmp_path / f"{name}.jsonl", [{"query_id": str(i % 7), "retrieved": [f"{name}{i}", "x" * 50]} for i in range(n)])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        last = readers.last_by_key(readers.ordered_lines(spark, str(tmp_path), schemas.RESULTS)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {r.query_id: r.retrieved[0] for r in last} == {str(i % 7): f"b{i}" for i in range(3993, 4000)}
+
+
+def test_first_queries(spark, tmp_path):
+    write(tmp_path / "a.jsonl", [{"query_id": str(i), "query_text": "x"} for i in range(50)])
+    write(tmp_path / "b.jsonl", [{"query_id": str(i), "query_text": "x"} for i in range(50, 60)])
+    assert {r.query_id for r in readers.queries(spark, str(tmp_path), 53).collect()} == {str(i) for i in range(53)}
+
+
+def test_arrow_files(spark, tmp_path):
+    """File and stream form, columns that are missing or not asked for."""
+    one, two = pa.table({"a": [1, 2], "b": ["x", None], "c": [1.0, 2.0]}), pa.table({"a": pa.array([3], pa.int32())})
+    with pa.ipc.new_file(str(tmp_path / "1.arrow"), one.schema) as w:
+        w.write_table(one)
+    with pa.ipc.new_stream(str(tmp_path / "2.arrow"), two.schema) as w:
+        w.write_table(two)
+    got = readers.arrow_table(spark, str(tmp_path), "a long, b string").collect()
+    assert {tuple(r) for r in got} == {(1, "x"), (2, None), (3, None)}
+
+
+def test_folders(spark, tmp_path):
+    for name in ("r1", "r3", "r2"):
+        (tmp_path / "root" / name).mkdir(parents=True)
+    assert readers.newest_revision(spark, str(tmp_path / "root")).endswith("/r3")
+    assert readers.newest_revision(spark, "anything", "own") == "own"
+    with pytest.raises(FileNotFoundError):
+        readers.newest_revision(spark, str(tmp_path / "none"))
+    assert readers.inside("/data", "a/b.csv") == "/data/a/b.csv"
+    for bad in ("../x", "a/../../x", "/etc/x", "..", "a\\..\\x", ""):
+        with pytest.raises(PermissionError):
+            readers.inside("/data", bad)
+
+
+def test_sample_texts(spark):
+    rows = [("b", "n", "d", "de", "C", "one two"), ("a", "n", "d", "de", "C", "one"), ("c", "n", "d", "de", "X", "one"), ("d", "n", "d", "de", "C", " ".join("x" * 9)), ("e", "n", "d", "de", "C", "")]
+    docs = spark.createDataFrame(rows, schemas.RULINGS.replace("full_text string, ", "").replace("decision_id string, ", "decision_id string, ") + ", full_text string")
+    get = lambda **k: [r.decision_id for r in readers.sample_texts(docs, court="C", max_tokens=5, **k).collect()]
+    assert get(limit=9) == ["a", "b"] and get(limit=1) == ["a"]
+    assert get(limit=9, only=spark.createDataFrame([("b",), ("c",)], "decision_id string")) == ["b"]
+
+
+def test_batches_of_texts(spark, tmp_path):
+    """A service that refuses some batches, one to fall back on, texts that both refuse, and a second run that takes what is left."""
+
+    def call(texts):
+        if any("!" in t for t in texts):
+            raise ConnectionError
+        return [[float(len(t)), 1.0] for t in texts]
+
+    def fallback(texts):
+        if any("?" in t for t in texts):
+            raise ValueError
+        return [[float(len(t)), 2.0] for t in texts]
+
+    rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(["a", "bb", "c!", "d!?", "", None, "eeee"])], "chunk_id string, text string").coalesce(1)
+    embedder = sinks.BatchEmbedder(call, fallback, size=3, attempts=2, wait=0.0)
+    good, failed = sinks.embed(rows, embedder)
+    assert {r.chunk_id: r.vector[0] for r in good.collect()} == {"0": 1.0, "1": 2.0, "2": 2.0, "6": 4.0}
+    assert {r.chunk_id for r in failed.collect()} == {"3", "4", "5"}
+    path = str(tmp_path / "v")
+    assert sinks.embed_shards(rows.where("chunk_id < '2'"), embedder, path) == (2, 0)
+    assert sinks.embed_shards(rows, embedder, path) == (2, 3)
+    assert spark.read.parquet(f"{path}/shards").count() == 4
+
+
+def test_upsert_is_stable(spark):
+    new = spark.createDataFrame([("a", i) for i in range(20)], "point_id string, n int")
+    assert len({sinks.upsert(new.repartition(k), None).first().n for k in (1, 2, 5)}) == 1
+
+
+def test_scores(spark, tmp_path):
+    rows = spark.createDataFrame([("q", "a", 0.5), ("q", "b", 0.25), ("r", "a", 1.0)], "query_id string, id string, pair_score double")
+    sinks.write_scores(rows, str(tmp_path / "s"))
+    assert {tuple(r) for r in sinks.read_scores(spark, str(tmp_path / "s")).collect()} == {tuple(r) for r in rows.collect()}
+
+
+def test_shared_folder_on_a_cluster():
+    from lodestrand.sources import checkpoints
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        conf, sparkContext = {}, Context
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        checkpoints.shared_folder(Session)
+
+
 def test_queries_and_facts(spark, tmp_path):
     path = write(tmp_path / "q.jsonl", [{"query_id": "1", "query_text": "x"}, {"query_id": "2", "query_text": "  "}, {"query_id": "3"}])
     assert [r.query_id for r in readers.queries(spark, path).collect()] == ["1"]
@@ -106,6 +205,20 @@ def test_snapshots(spark, tmp_path):
         sinks.restore(spark, path, "one")
 
 
+class FakeStream:
+    """Takes what a stream's writer would call."""
+
+    def __init__(self, writes):
+        self.writes, self.writeStream = writes, self
+
+    def foreachBatch(self, write):
+        self.writes.append(write)
+        return self
+
+    def option(self, *_):
+        return self
+
+
 def test_streams(spark, tmp_path):
     source = "/root/testdata/sf0.001/events.parquet"
     batch = progress.progress(spark.read.parquet(source).withColumn("ts", F.col("ts").cast("timestamp")))
@@ -118,6 +231,14 @@ def test_streams(spark, tmp_path):
         stream = progress.read_events(spark, source).select("event_id")
         progress.append_new(stream, out, f"{check}/{name}", "event_id", "event_id long").trigger(availableNow=True).start().awaitTermination(60)
     assert spark.read.parquet(out).count() == spark.read.parquet(source).count()
+    writes = []
+    write = progress.append_new(FakeStream(writes), out, f"{check}/one", "event_id", "event_id long")
+    assert write is not None
+    rows = spark.range(10**9, 10**9 + 5).selectExpr("id AS event_id")
+    for _ in range(2):  # the same batch again, as after a failure
+        writes[0](rows, 77)
+    writes[0](rows, 78)
+    assert spark.read.parquet(out).where("event_id >= 1000000000").count() == 5
 
 
 def test_stage_changes(spark, tmp_path):
