@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import graph, metrics, retrieval
+from ..operators import graph, metrics, retrieval, views
 from ..sources import schemas, sinks
 from ..sources.checkpoints import keep
 from ..sources.readers import exists
@@ -17,6 +17,11 @@ from ..sources.readers import exists
 OVER = ("done", "failed", "aborted", "interrupted")
 
 
+STAGES = ("retrieval", "metrics", "aggregates")
+#: Fixed value: queries by which metrics may differ from the results and still be used again.
+TOLERANCE = 5
+
+
 class Cancelled(Exception):
     """The run was asked to stop; what earlier stages wrote stays."""
 
@@ -27,15 +32,20 @@ def _outputs(results: DataFrame) -> DataFrame:
 
 def evaluate(
     corpus: retrieval.Corpus, queries: DataFrame, truth: DataFrame, folder: str, settings: retrieval.Settings, *,
-    rankings=("cosine", "indegree"), model=None, resume: bool = False, on_event: Callable[[dict], None] = lambda e: None,
+    rankings=("cosine", "indegree"), model=None, resume: bool = False, stages=STAGES, on_event: Callable[[dict], None] = lambda e: None,
     cancelled: Callable[[], bool] = lambda: False,
 ) -> dict[str, DataFrame]:
     """Write results, pools, layers, per_query and the aggregates below ``folder`` and return them as read back.
 
     ``queries`` has query_id, query_text, language, year, date_ms, vector; ``truth`` is (query_id, id). With
     ``resume``, queries that have rows in every configuration are left as they are and the others run anew;
-    rows of incomplete queries are dropped. Stages are job groups, so they can be cancelled from outside too.
+    rows of incomplete queries are dropped; metrics are left as they are if they have all columns, the same
+    configurations and, but for TOLERANCE at most, the same queries as the results. ``stages`` says which to
+    run; those left out must have been run before. Stages are job groups, so they can be cancelled from
+    outside too.
     """
+    if unknown := set(stages) - set(STAGES):
+        raise ValueError(f"no such stage: {sorted(unknown)}")
     spark = queries.sparkSession
 
     def stage(name: str, make: Callable[[], None]) -> None:
@@ -78,11 +88,29 @@ def evaluate(
             one = retrieval.cut_off(retrieval.rank(found.pools(), ranking, corpus.degree, scores), settings.ks)
             rows = one if rows is None else rows.unionByName(one)
         merged("results", rows, metrics.CONFIG)
+        if scores is not None:
+            merged("scores", scores.withColumn("model", F.lit("pair")), ["model"])
         merged("pools", found.pools(), ["system"])
         merged("layers", found.layers(truth), ["system"])
 
+    def scored(results: DataFrame) -> bool:
+        """Whether the metrics there are those of these results."""
+        if not exists(spark, at("per_query")):
+            return False
+        rows = read("per_query")
+        wanted = {f.name for f in spark.createDataFrame([], schemas.PER_QUERY).schema.fields}
+        if not wanted <= set(rows.columns):  # written by an older version
+            return False
+        new, old = (views.configurations(x) for x in (results, rows))
+        if new.exceptAll(old).unionByName(old.exceptAll(new)).limit(1).count():
+            return False
+        return metrics.id_difference(results.select("query_id"), rows.select("query_id")).first().differing <= TOLERANCE
+
     def score() -> None:
         results = read("results")
+        if resume and scored(results):
+            on_event({"type": "skipped", "stage": "metrics"})
+            return
         pairs = keep(metrics.wanted_distances(results, truth))
         out, any_ = (graph.distances_between(corpus.edges, pairs, directed=x) for x in (True, False))
         near = metrics.nearness(results, truth, out, any_)
@@ -99,8 +127,11 @@ def evaluate(
             sinks.write_csv(made, at(name + ".csv"))
             made.write.mode("overwrite").parquet(at(name))
 
-    for name, make in (("retrieval", retrieve), ("metrics", score), ("aggregates", aggregate)):
-        stage(name, make)
+    for name, make in zip(STAGES, (retrieve, score, aggregate), strict=True):
+        if name in stages:
+            stage(name, make)
+        else:
+            on_event({"type": "skipped", "stage": name})
     names = ("results", "pools", "layers", "per_query", "summary", "summary_by_language", "recall_ceiling", "recall_ceiling_layers")
     return {name: read(name) for name in names}
 

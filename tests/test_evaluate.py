@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lodestrand.__main__ import main
 from lodestrand.plans import evaluate as ev
 from lodestrand.plans.world import World
 
@@ -46,3 +47,40 @@ def test_history(spark, tmp_path):
     assert ev.close_orphans(spark, path) == 1
     assert ev.runs(spark, path).where("run_id = 2").first().status == "failed"
     assert ev.latest_active(ev.runs(spark, path)).count() == 0
+
+
+def test_metrics_are_used_again(spark, world, tmp_path):
+    """Only where columns, configurations and, nearly, queries are those of the results."""
+    settings, folder = world.settings.but(systems=("rag",), ks=(5,)), str(tmp_path / "run")
+    few = world.queries.where("int(query_id) < 40")
+
+    def skipped(queries, **more):
+        events = []
+        ev.evaluate(world.engine, queries, world.truth, folder, settings, resume=True, on_event=events.append, **more)
+        return [e["stage"] for e in events if e["type"] == "skipped"]
+
+    assert skipped(few.where("int(query_id) < 20")) == []
+    assert skipped(few.where("int(query_id) < 20")) == ["metrics"]
+    assert skipped(few) == [] and few.count() > 5
+    assert skipped(few, stages=("aggregates",)) == ["retrieval", "metrics"]
+    old = spark.read.parquet(f"{folder}/per_query").drop("nearness_score_undirected")
+    ev.sinks.write_results(ev.keep(old), f"{folder}/per_query")
+    for part in (tmp_path / "run" / "per_query").rglob("*.parquet"):
+        assert part.exists()
+    assert skipped(few) == []
+    with pytest.raises(ValueError, match="stage"):
+        skipped(few, stages=("nothing",))
+
+
+def test_command_line(spark, tmp_path, capsys):
+    run = lambda *a: main(["--tables", SF, *a], spark)
+    out = str(tmp_path / "out")
+    assert run("evaluate", "--out", out, "--n", "9", "--systems", "rag", "--k", "5", "--dry-run") == 0
+    assert '"queries": 9' in capsys.readouterr().out and not (tmp_path / "out").exists()
+    assert run("evaluate", "--out", out, "--n", "9", "--systems", "rag", "--k", "5", "--rankings", "cosine", "cross_encoder") == 0
+    assert spark.read.parquet(f"{out}/results").select("query_id").distinct().count() == 9
+    assert spark.read.parquet(f"{out}/scores").count() > 0
+    assert run("show", "--out", out) == 0 and "recall_ceiling" in capsys.readouterr().out
+    assert run("sample", "--out", str(tmp_path / "s"), "--n", "6", "--dry-run") == 0 and not (tmp_path / "s").exists()
+    assert run("sample", "--out", str(tmp_path / "s"), "--n", "6") == 0 and 0 < spark.read.json(str(tmp_path / "s")).count() <= 6
+    assert run("query", "graph_stats") == 0 and "n_nodes" in capsys.readouterr().out
