@@ -506,14 +506,14 @@ def remove_repeats(
     # texts with more copies than ``most``, 10,000 texts at most, have a salt, so that their copies are dealt out
     counted = plain.groupBy(*ids).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
     crowds = common.cut(counted.select(*ids, F.ceil(F.col("n") / most).alias("salts")))
-    salt = F.coalesce(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("salts")), F.lit(0)).alias("salt")
+    salt = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("salts")), F.lit(0)).alias("salt")
     texts = plain.join(F.broadcast(crowds), ids, "left").select("doc_id", *ids, "body", salt)
     part = "key long, tid long, tid2 long, place long, part binary"
 
     def fetched(rows: DataFrame) -> DataFrame:
         """``rows`` with the bytes of the stretches."""
-        wanted = rows.groupBy(*ids).agg(F.collect_set(F.struct("key", "place")).alias("wanted")).withColumn("salt", F.lit(0).cast("long"))
-        # doc_id goes along so that all uses of the texts read the same shuffle
+        # doc_id goes along, and salt 0 isn't a literal, so that all uses of the texts read the same shuffle
+        wanted = rows.groupBy(*ids).agg(F.collect_set(F.struct("key", "place")).alias("wanted"), F.min(F.col("place") * 0).alias("salt"))
         return texts.join(wanted.hint("shuffle_hash"), [*ids, "salt"]).select("doc_id", *ids, "salt", "body", "wanted").mapInArrow(_cut_out(length), part)
 
     def fetched_few(rows: DataFrame) -> DataFrame:
@@ -528,7 +528,8 @@ def remove_repeats(
         dealt = found.repartitionByRange("key", "name").sortWithinPartitions("mark", "key", "name")
         judged = common.cut(dealt.mapInArrow(_judge(least), JUDGED))
         names = judged.where("kind = 0").groupBy("key").agg(F.count(F.lit(1)).alias("names")).where("names > 1")
-        parted = judged.where("kind = 0").drop("kind").join(names, "key").withColumn("kind", F.when(F.col("names") <= least, 2).otherwise(3))
+        # names has the keys at the ends of partitions: two a partition at most, and those passed on in parts
+        parted = judged.where("kind = 0").drop("kind").join(F.broadcast(names), "key").withColumn("kind", F.when(F.col("names") <= least, 2).otherwise(3))
         whole = judged.where("kind > 1").unionByName(parted.drop("names"))
         to_sort, to_split = (whole.where(F.col("kind") == k).drop("kind") for k in (2, 3))
         by_sort = (
