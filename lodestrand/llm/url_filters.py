@@ -1,10 +1,10 @@
-"""URL filters by a sort-merge range join, in DataFrame operations only.
+"""URL filters by sort-merge range joins, in DataFrame operations only.
 
 A host's labels, reversed and each closed by a low character, make a key under which all subdomains of
-a host lie in one interval. A rule opens its interval at its host's key and closes it at the first key
-behind it. URLs and these events are sorted together; sweeping over them, the last event gives the
-stack of the nested rules that are active. The path test and the choice of the longest rule then look
-at that stack alone.
+a host lie in one interval, as all paths under a path do. Rules open their intervals at their keys, with
+the stack of the nested ones that are active from there on; URLs and these events are sorted together, and
+sweeping over them, the last event has the stack for each URL. The first sweep finds the hosts that have
+rules above a URL's host, the second, for each of these, the paths that have rules above the URL's path.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Closes a label, and the next character, which closes an interval.
-CLOSE, BEYOND = "\x01", "\x02"
+#: Closes a label.
+CLOSE = "\x01"
 
 
 def host_and_path(url):
@@ -42,32 +42,43 @@ def rule_table(spark: SparkSession, rules: Sequence[tuple[str, str]]) -> DataFra
     return spark.sql(f"SELECT * FROM VALUES {values} AS rules(verdict, host, path)")
 
 
-def _events(rules: DataFrame) -> DataFrame:
-    """key, stack: from this key on, these rules (of this host and those above it) are active."""
-    entry = F.struct(
-        (F.length("host") + F.length("path")).alias("len"), F.length("host").alias("host_len"), "host", "path", "verdict"
-    )
-    by_host = rules.groupBy("host").agg(F.collect_set(entry).alias("own"))
+def _host_events(rules: DataFrame) -> DataFrame:
+    """key, stack: from a host's key on, the hosts with rules that it lies under, itself included."""
+    hosts = rules.select("host").distinct()
     labels = F.split("host", r"\.", -1)
-    above = by_host.select(
-        "host",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1), F.size(labels)),
-                lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."),
-            )
-        ).alias("holder"),
-    )
-    held = above.join(by_host.select(F.col("host").alias("holder"), "own"), "holder")
-    stacks = held.groupBy("host").agg(
-        F.flatten(F.collect_list("own")).alias("open"),
-        F.flatten(F.collect_list(F.when(F.col("holder") != F.col("host"), F.col("own")))).alias("shut"),
+    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
+    held = hosts.select("host", F.explode(above).alias("holder")).join(hosts.select(F.col("host").alias("holder")), "holder")
+    return held.groupBy("host").agg(F.collect_set("holder").alias("stack")).select(reversed_key(F.col("host")).alias("key"), "stack")
+
+
+def _path_events(rules: DataFrame) -> DataFrame:
+    """holder, key, stack: from a path on, the rules (holder, path, verdict) of its host that it lies under, its own included."""
+    own = rules.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
+    prefixes = F.transform(F.sequence(F.lit(0), F.length("path")), lambda i: F.substr("path", F.lit(1), i))
+    above = own.select(F.col("host").alias("holder"), F.col("path").alias("key"), F.explode(prefixes).alias("path"))
+    held = above.join(own.select(F.col("host").alias("holder"), "path", "verdict"), ["holder", "path"])
+    return held.groupBy("holder", "key").agg(F.collect_set(F.struct("holder", "path", "verdict")).alias("stack"))
+
+
+def _swept(rows: DataFrame, events: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` with ``active``, the stack of the last event at or before their keys, and a number, ``uid``.
+
+    Rows and events are dealt by ranges of (keys, salt), so a key with a third of all rows is split over
+    tasks; the stack that is active at the start of a range is carried over from the ranges before it. That
+    needs the last event of each range, a row a range.
+    """
+    order = [*keys, "kind", "salt"]
+    mixed = rows.withColumn("kind", F.lit(1)).unionByName(
+        events.withColumns({"kind": F.lit(0), "salt": F.lit(-(2**63)).cast("long")}), allowMissingColumns=True
     )
-    key = reversed_key(F.col("host"))
-    opens = stacks.select(key.alias("key"), F.col("open").alias("stack"))
-    behind = F.concat(F.substr(key, F.lit(1), F.length(key) - 1), F.lit(BEYOND))
-    shuts = stacks.select(behind.alias("key"), F.col("shut").alias("stack"))
-    return opens.unionByName(shuts)
+    swept = common.cut(mixed.repartitionByRange(*order).withColumn("part", F.spark_partition_id())).withColumn("uid", F.monotonically_increasing_id())
+    event = F.col("kind") == 0
+    last = swept.groupBy("part").agg(F.max(F.when(event, F.struct(*keys, "stack"))).alias("last"))
+    ranges = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select("part", F.last("last", ignorenulls=True).over(ranges)["stack"].alias("carried"))
+    sweep = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    active = swept.withColumn("seen", F.last("stack", ignorenulls=True).over(sweep)).where(~event).join(carried, "part", "left")
+    return active.withColumn("active", F.coalesce("seen", "carried")).drop("kind", "salt", "part", "stack", "seen", "carried")
 
 
 def url_filter(
@@ -77,47 +88,31 @@ def url_filter(
 
     ``rules`` has verdict, host, path. A rule fits its host and all subdomains where the URL's path starts
     with the rule's; the longest (host plus path; at a tie the longer host, then the host and path that
-    sort last) wins. No rule fits: rule null, verdict ``default``. Null URLs and those without ``://``
-    have an empty host and path. Repeated rows and null ids are kept; empty pages give an empty result,
-    empty rules leave the default; other columns are not read.
-
-    URLs and events are dealt by ranges of (key, hash), so a host with a third of all rows is split over
-    tasks; the stack that is active at the start of a range is carried over from the ranges before it.
-    That needs the last event of each range, a row a range. Both tables may be large; nothing is
-    broadcast by hint or collected.
+    sort last; of one host and path the verdict that does) wins. No rule fits: rule null, verdict
+    ``default``. Null URLs and those without ``://`` have an empty host and path; URLs of any length are
+    read whole. Repeated rows and null ids are kept; empty pages give an empty result, empty rules leave the
+    default; other columns are not read.
+
+    A URL carries the few hosts above its own that have rules, then, once for each of these, the few rules
+    whose paths are nested around its path, however many rules a host has. Both tables may be large;
+    nothing is broadcast by hint or collected.
     """
     host, path = host_and_path(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    urls = rows.select(
-        reversed_key(F.col("host")).alias("key"), F.xxhash64("page_id", "path").alias("salt"), F.lit(1).alias("kind"),
-        "page_id", "host", "path",
-    )
-    least = F.lit(-(2**63)).cast("long")
-    events = _events(rules).select("key", least.alias("salt"), F.lit(0).alias("kind"), "stack")
-    swept = common.cut(
-        urls.unionByName(events, allowMissingColumns=True)
-        .repartitionByRange("key", "kind", "salt")
-        .withColumn("part", F.spark_partition_id())
-    )
-    event = F.col("kind") == 0
-    last = swept.groupBy("part").agg(F.max(F.when(event, F.struct("key", "stack"))).alias("last"))
-    ranges = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    carried = last.select("part", F.last("last", ignorenulls=True).over(ranges)["stack"].alias("carried"))
-    sweep = Window.partitionBy("part").orderBy("key", "kind", "salt").rowsBetween(Window.unboundedPreceding, 0)
-    active = (
-        swept.withColumn("seen", F.last("stack", ignorenulls=True).over(sweep))
-        .where(~event)
-        .join(carried, "part", "left")
-        .withColumn("active", F.coalesce("seen", "carried"))
-    )
-    fits = F.filter(
-        "active",
-        lambda r: ((F.col("host") == r["host"]) | F.endswith(F.col("host"), F.concat(F.lit("."), r["host"])))
-        & F.startswith(F.col("path"), r["path"]),
-    )
-    best = F.array_max(fits)
-    return active.select(
+    urls = rows.withColumns({"key": reversed_key(F.col("host")), "salt": F.xxhash64("page_id", "path")})
+    under = F.filter("active", lambda h: (F.col("host") == h) | F.endswith(F.col("host"), F.concat(F.lit("."), h)))
+    named = _swept(urls, _host_events(rules), "key").select("uid", "page_id", "host", "path", F.explode_outer(under).alias("holder"))
+    each = named.withColumns({"key": F.col("path"), "salt": F.xxhash64("uid"), "row": F.col("uid")}).drop("uid")
+    found = _swept(each, _path_events(rules), "holder", "key")
+    fits = F.filter("active", lambda r: (r["holder"] == F.col("holder")) & F.startswith(F.col("path"), r["path"]))
+    longest = F.array_max(F.transform(fits, lambda r: F.struct(F.length(r["path"]).alias("n"), r["path"].alias("path"), r["verdict"].alias("verdict"))))
+    size = (F.length("holder") + longest["n"]).alias("size")
+    rule = F.struct(size, F.length("holder").alias("of_host"), F.col("holder").alias("host"), longest["path"].alias("path"), longest["verdict"].alias("verdict"))
+    same = lambda c: F.first(c).alias(c)  # noqa: E731  (equal in all rows of a URL)
+    judged = found.select("row", "page_id", "host", "path", F.when(longest.isNotNull(), rule).alias("one"))
+    best = judged.groupBy("row").agg(same("page_id"), same("host"), same("path"), F.max("one").alias("best"))
+    return best.select(
         "page_id", "host", "path",
-        F.concat(best["host"], best["path"]).alias("rule"),
-        F.coalesce(best["verdict"], F.lit(default)).alias("verdict"),
+        F.concat(F.col("best.host"), F.col("best.path")).alias("rule"),
+        F.coalesce(F.col("best.verdict"), F.lit(default)).alias("verdict"),
     )

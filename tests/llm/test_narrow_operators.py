@@ -159,6 +159,12 @@ def test_url_filter(spark):
         assert len(got) == len(urls)
         for i, u in enumerate(urls):
             assert got[i] == slow_rule(u, rules), u
+    # one host with thousands of paths, nested ones among them, and hosts above and below it
+    deep = [("block" if i % 3 else "allow", f"a.com/{'/'.join(str(i))}") for i in range(1500)] + [("block", "com/1/"), ("allow", "x.a.com/1/2")]
+    urls = [f"http://{h}/{'/'.join(str(r.randint(0, 20000)))}" for h in ("a.com", "x.a.com", "y.x.a.com", "b.com") for _ in range(60)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(4)
+    got = {x.page_id: (x.host, x.path, x.rule, x.verdict) for x in url_filters.url_filter(pages, url_filters.rule_table(spark, deep)).collect()}
+    assert got == {i: slow_rule(u, deep) for i, u in enumerate(urls)}
     none = url_filters.rule_table(spark, queries.RULES).limit(0)
     assert {x.verdict for x in url_filters.url_filter(pages, none).collect()} == {"allow"}
     assert url_filters.url_filter(pages.limit(0), none).count() == 0

@@ -98,3 +98,23 @@ def test_run_agrees_with_itself(spark, world):
     path, _ = world
     got = [sorted((r.row_key, r.copy_number_) for r in corpus_pipeline.run(spark, path).collect()) for _ in range(2)]
     assert got[0] == got[1] and got[0]
+
+
+def test_empty_and_long_texts(spark, world, tmp_path):
+    """No rows; and rows that are null, empty, very long or repeated, with ids that are strings and columns that clash."""
+    path, docs = world
+    read = spark.read.parquet(f"{path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, read.limit(0), path)
+        assert none.count() == 0 and set(read.columns) <= set(none.columns), name
+    long = " ".join(d["text"] for d in docs if d["text"])
+    rows = [("a", long, "en", "s", 1), ("b", long + " end", "en", "s", 2), ("c", None, None, None, None), ("d", "", "en", None, 0), (None, long[:400], "en", "s", 3), (None, long[:400], "en", "s", 3)]
+    odd = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id string, text string, lang string, source string, n_chars long, k1 string, row string")
+    one = corpus_pipeline.drop_near_duplicates(spark, odd, path).collect()
+    assert sorted(str(r.doc_id) for r in one) == ["None", "a", "c"]
+    clean = corpus_pipeline.drop_benchmark_overlaps(spark, odd, path).collect()
+    assert {r.doc_id for r in clean} >= {"c", "d"} and all(r.k1 == "x" for r in clean)
+    safe = corpus_pipeline.redact_secrets(spark, odd, path)
+    assert safe.columns == odd.columns and safe.count() == 6 and safe.where("text IS NULL").count() == 1
+    mixed = corpus_pipeline.mix_sources(spark, odd, path)
+    assert mixed.columns == [*odd.columns, "copy_number"] and mixed.count() > 0
