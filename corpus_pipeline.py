@@ -3,45 +3,54 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; between stages the
 rows are written as Parquet to the shared folder and read again, so no stage is worked out twice and lost
 executors cost one stage at most. All stages but the last return the columns of ``documents``.
+
+In every stage ids may be null, repeated and of any type, texts null, empty or of any length, and ``docs``
+may have more columns, of whatever names, which go along; an empty table gives an empty result. Rows that
+are alike in all columns are one row after the near-duplicate stage.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestrand.llm import decontamination, mixing, near_texts, quality, secrets
-from lodestrand.llm.common import table
+from lodestrand.llm.common import shared_folder, table
 
 #: No SQL: two stages are learned models.
 ORACLE_SQL = None
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the quality classifier, fitted on the labelled rows among these, scores 0.7 or more."""
+    """Rows that the quality classifier, fitted on the labelled rows among these, scores 0.7 or more.
+
+    Null and empty texts are scored like a text without tokens. Without labelled rows all scores are 0.5, and none stays.
+    """
     return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of texts whose five-word shingles have a Jaccard similarity of 0.8 or more."""
+    """One row of each group of texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
+
+    The one with the smallest id stays, null last; texts without words (null and empty ones too) are one group.
+    """
     return near_texts.keep_one_similar(docs)
 
 
 def drop_benchmark_overlaps(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that overlap no benchmark item."""
+    """Rows that overlap no benchmark item; null and empty texts overlap none."""
     return decontamination.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, with a mark in place of each secret."""
+    """All rows, with a mark in place of each secret; null and empty texts stay as they are."""
     return secrets.redact_rows(docs, secrets.train(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows as often as the mix takes them, with ``copy_number``."""
+    """Rows as often as the mix takes them, with ``copy_number``; null sources are one source, null texts have size 0."""
     return mixing.emit(docs)
 
 
@@ -55,8 +64,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestrand-")
-    docs, folder = table(spark, sf_dir, "documents"), f"{shared}/corpus-{uuid.uuid4().hex}"
+    docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
