@@ -30,20 +30,26 @@ def accuracy(results: DataFrame, truth: DataFrame, queries: DataFrame) -> DataFr
     ``queries`` (query_id, language, year). Results of unknown queries are left out. Precision divides by
     k whatever the list's length; recall and NDCG are 0 without truth.
     """
-    size = truth.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_ground_truth"))
     marked = results.join(truth.select("query_id", "id", F.lit(True).alias("hit")), ["query_id", "id"], "left")
     hit = F.coalesce("hit", F.lit(False))
     counted = marked.groupBy(*CONFIG, "query_id").agg(
         F.count_if(hit).alias("n_hits"), F.min(F.when(hit, F.col("rank"))).alias("first"),
         F.coalesce(F.sum(F.when(hit, F.lit(1.0) / F.log2(F.col("rank") + 1))), F.lit(0.0)).alias("dcg"),
     )
+    return _scored(counted, truth, queries)
+
+
+def _scored(counted: DataFrame, truth: DataFrame, queries: DataFrame) -> DataFrame:
+    """Metrics from counts (n_hits, first, dcg) by list; other columns go along."""
+    size = truth.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_ground_truth"))
+    more = [c for c in counted.columns if c not in (*CONFIG, "query_id", "n_hits", "first", "dcg")]
     known = counted.join(queries.select("query_id", "language", "year"), "query_id").join(size, "query_id", "left")
     known = known.withColumn("n_ground_truth", F.coalesce("n_ground_truth", F.lit(0)))
     known = known.withColumn("precision", _per(F.col("n_hits"), F.col("k"))).withColumn("recall", _per(F.col("n_hits"), F.col("n_ground_truth")))
     return known.select(
         *CONFIG, "query_id", "language", "year", "n_ground_truth", "precision", "recall", f1(F.col("precision"), F.col("recall")).alias("f1"),
         F.coalesce(F.lit(1.0) / F.col("first"), F.lit(0.0)).alias("mrr"), "dcg",
-        _per(F.col("dcg"), ideal_dcg(F.col("k"), F.col("n_ground_truth"))).alias("ndcg"), "n_hits",
+        _per(F.col("dcg"), ideal_dcg(F.col("k"), F.col("n_ground_truth"))).alias("ndcg"), "n_hits", *more,
     )
 
 
@@ -76,6 +82,31 @@ def nearness(results: DataFrame, truth: DataFrame, directed: DataFrame, undirect
     )
 
 
+def per_query(results: DataFrame, truth: DataFrame, queries: DataFrame, directed: DataFrame, undirected: DataFrame) -> DataFrame:
+    """Columns of ``accuracy`` and ``nearness``, in one pass over the lists.
+
+    What depends on a query and an id alone, whether it is truth and how far from it, is worked out once for
+    each such pair, however many systems, rankings and cut-offs list it.
+    """
+    pairs = results.select("query_id", "id").distinct()
+    wanted = pairs.join(truth.select("query_id", F.col("id").alias("target")), "query_id")
+    marks = pairs.join(truth.select("query_id", "id", F.lit(0).alias("own")), ["query_id", "id"], "left")
+    for name, table in (("far_out", directed), ("far_any", undirected)):
+        marks = marks.join(wanted.join(table, ["target", "id"]).groupBy("query_id", "id").agg(F.min("d").alias(name)), ["query_id", "id"], "left")
+    marks = marks.withColumns({"far_out": F.coalesce("own", "far_out"), "far_any": F.coalesce("own", "far_any")})
+    hit, out, any_ = F.col("own").isNotNull(), F.col("far_out"), F.col("far_any")
+    gain = lambda d: F.avg(F.coalesce(F.lit(1.0) / (d + 1), F.lit(0.0)))
+    counted = results.join(marks, ["query_id", "id"]).groupBy(*CONFIG, "query_id").agg(
+        F.count_if(hit).alias("n_hits"), F.min(F.when(hit, F.col("rank"))).alias("first"),
+        F.coalesce(F.sum(F.when(hit, F.lit(1.0) / F.log2(F.col("rank") + 1))), F.lit(0.0)).alias("dcg"),
+        gain(out).alias("nearness_score"), F.count_if(out == 0).alias("n_exact"), F.count_if(out == 1).alias("n_near_1"),
+        F.count_if(out == 2).alias("n_near_2"), F.count_if(out.isNull()).alias("n_far"), gain(any_).alias("nearness_score_undirected"),
+        F.count_if(any_ == 1).alias("n_near_1_undirected"), F.count_if(any_ == 2).alias("n_near_2_undirected"),
+        F.count_if(any_.isNull()).alias("n_far_undirected"),
+    )
+    return _scored(counted, truth, queries)
+
+
 def _means(rows: DataFrame) -> list[Column]:
     there = [c for c in MEANS if c in rows.columns]
     return [

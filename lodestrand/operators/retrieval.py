@@ -96,12 +96,11 @@ class Retrieval:
 
         def make():
             if system.startswith("graph"):
-                e = self._once("graph", lambda: graph.Expansion(c.edges, c.nodes, c.dates, c.degree))
+                e = self._once("graph", lambda: graph.Expansion(c.edges, c.nodes, c.dates, c.degree, keep))
                 return (e.one_hop if system == "graph_1hop" else e.two_hop)(self.seeds, self.dates, s.cap_1hop if system == "graph_1hop" else s.cap_2hop)
-            e = self._once("emb", lambda: vectors.Expansion(c.points, c.dates))
+            e = self._once("emb", lambda: vectors.Expansion(c.points, c.dates, keep))
             if system == "emb_1hop":
-                got = e.one_hop(self.seeds, self.dates, s.cap_1hop)
-                return got | {"post_cap": keep(got["post_cap"])}
+                return e.one_hop(self.seeds, self.dates, s.cap_1hop)
             return e.two_hop(self.seeds, self.stages("emb_1hop")["post_cap"], self.dates, s.cap_2hop, s.frontier)
 
         return self._once(f"stages {system}", make)

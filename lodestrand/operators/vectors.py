@@ -237,15 +237,19 @@ def neighbours_of(pairs: DataFrame, points: DataFrame) -> DataFrame:
 
 
 class Expansion:
-    """Expansion through vectors; ``dates`` (id, date_ms) may miss ids. Methods return query_id, id, score."""
+    """Expansion through vectors; ``dates`` (id, date_ms) may miss ids. Methods return query_id, id, score.
 
-    def __init__(self, points: DataFrame, dates: DataFrame):
-        self.points, self.dates = points, dates
+    ``hold`` is applied to the raw set of a hop, which all later stages read.
+    """
+
+    def __init__(self, points: DataFrame, dates: DataFrame, hold=lambda df: df):
+        self.points, self.dates, self.hold = points, dates, hold
 
     def _outside(self, rows: DataFrame, seeds_: DataFrame) -> DataFrame:
         return rows.where(F.col("id") != F.col("query_id")).join(seeds_.select("query_id", "id"), ["query_id", "id"], "left_anti")
 
     def _stages(self, raw: DataFrame, query_dates: DataFrame, cap: int) -> dict[str, DataFrame]:
+        raw = self.hold(raw)
         dated = raw.join(self.dates, "id", "left").join(query_dates, "query_id", "left")
         timely = dated.where(undated_or_before(F.col("date_ms"), F.col("query_date"))).select("query_id", "id", "score")
         return {"raw": raw, "post_temporal": timely, "post_cap": ranked_first(timely, cap, F.desc("score"), F.asc("id"))}

@@ -113,9 +113,7 @@ def evaluate(
             return
         pairs = keep(metrics.wanted_distances(results, truth))
         out, any_ = (graph.distances_between(corpus.edges, pairs, directed=x) for x in (True, False))
-        near = metrics.nearness(results, truth, out, any_)
-        rows = metrics.accuracy(results, truth, queries).join(near, [*metrics.CONFIG, "query_id"])
-        sinks.write_results(rows, at("per_query"), metrics.CONFIG)
+        sinks.write_results(metrics.per_query(results, truth, queries, out, any_), at("per_query"), metrics.CONFIG)
 
     def aggregate() -> None:
         rows = read("per_query")

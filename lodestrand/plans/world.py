@@ -165,13 +165,17 @@ class World:
 
     @cached_property
     def nearness(self) -> DataFrame:
+        return metrics.nearness(self.results, self.truth, *self.distances)
+
+    @cached_property
+    def distances(self) -> tuple[DataFrame, DataFrame]:
+        """Distances, directed and not, of what lists and truth ask for."""
         pairs = keep(metrics.wanted_distances(self.results, self.truth))
-        out, any_ = (graph.distances_between(self.edges, pairs, directed=x) for x in (True, False))
-        return metrics.nearness(self.results, self.truth, out, any_)
+        return graph.distances_between(self.edges, pairs), graph.distances_between(self.edges, pairs, directed=False)
 
     @cached_property
     def per_query(self) -> DataFrame:
-        return keep(self.accuracy.join(self.nearness, [*metrics.CONFIG, "query_id"]))
+        return keep(metrics.per_query(self.results, self.truth, self.queries, *self.distances))
 
     @cached_property
     def pool_metrics(self) -> DataFrame:
