@@ -18,7 +18,7 @@ from . import common
 
 SEED = "mix"
 #: Rows that a bucket of a source's size class has about, whose places are counted in one task.
-BUCKET_ROWS = 100_000
+BUCKET_ROWS = 2_000
 
 
 def mix(
