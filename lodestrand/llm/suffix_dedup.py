@@ -34,7 +34,7 @@ from . import common
 GRAM, SHALLOW = 64, 24
 #: Bytes hashed at once (2 ** 23 at most, for places have 24 bits there; it only bounds memory); stretches that a task combines before it
 #: sends them; bytes sorted at once.
-PIECE, COMBINE, CHUNK = 1 << 20, 600_000, 8 << 20
+PIECE, COMBINE, CHUNK = 1 << 19, 300_000, 8 << 20
 #: Distinct stretches of one anchor that are sorted together; a larger group is split, by strings that so many
 #: neighbouring windows share, one step after the other.
 MAX_GROUP, STEPS = 2_000, (8, 1)
