@@ -182,6 +182,23 @@ def payload_int(value: Column, default: int | None = None) -> Column:
     return got if default is None else F.coalesce(got, F.lit(default))
 
 
+def payload(rows: DataFrame) -> DataFrame:
+    """A stored point's payload from a chunk's fields: null texts empty, numbers lenient, num_chunks 1 where unknown, date_ms from the date.
+
+    ``rows`` has the chunk's columns, as texts or numbers; a date that is no whole number gives null.
+    """
+    plain = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("decision_id", "chunk_id", "text", "file_number", "language", "court")}
+    numbers = {"chunk_index": payload_int(F.col("chunk_index"), 0), "num_chunks": payload_int(F.col("num_chunks"), 1), "date_ms": F.col("date").try_cast("long")}
+    return rows.withColumns(plain | numbers).withColumn("date", F.coalesce(F.col("date").cast("string"), F.lit("")))
+
+
+def chunk_counts(docs: DataFrame, chunked: DataFrame, text_col: str) -> DataFrame:
+    """One row: n_docs, n_empty (texts that are left out), n_chunks, n_split (texts of several chunks)."""
+    empty = F.coalesce(F.col(text_col), F.lit("")) == ""
+    texts = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(empty).alias("n_empty"))
+    return texts.crossJoin(chunked.agg(F.count(F.lit(1)).alias("n_chunks"), F.count_if((F.col("chunk_index") == 0) & (F.col("num_chunks") > 1)).alias("n_split")))  # a row each
+
+
 def run_estimate(n_queries: Column, seconds: int = 18) -> tuple[Column, Column]:
     """(hours for all queries, queries for each of three languages)."""
     return n_queries * seconds / F.lit(3600.0), F.floor(n_queries / 3)

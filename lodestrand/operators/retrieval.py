@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -169,6 +170,38 @@ def pair_scores(pools: DataFrame, query_texts: DataFrame, texts: DataFrame, mode
     return pairs.select("query_id", "id", model.score(F.col("a"), F.col("b")).alias("pair_score"))
 
 
+def pair_scores_by_call(pools: DataFrame, query_texts: DataFrame, texts: DataFrame, call, *, size: int = 32, attempts: int = 3, limit: int = 4000) -> tuple[DataFrame, DataFrame]:
+    """(query_id, id, pair_score; query_id of the queries that failed) from a model that scores lists of pairs.
+
+    ``call`` takes a list of (query text, text) and gives as many numbers; every task is a replica and has its
+    pairs scored ``size`` at a time. Where a batch is refused ``attempts`` times, its queries have failed.
+    """
+    there = texts.where(F.trim(F.coalesce("text", F.lit(""))) != "").select("id", F.substring("text", 1, limit).alias("b"))
+    asked = query_texts.select("query_id", F.substring(F.coalesce("query_text", F.lit("")), 1, limit).alias("a"))
+    pairs = union_of_pools(pools).join(there, "id").join(asked, "query_id").select("query_id", "id", "a", "b")
+
+    def scored(rows: list[tuple]) -> list:
+        for _ in range(attempts):
+            try:
+                got = [float(x) for x in call(rows)]
+                if len(got) == len(rows):
+                    return got
+            except Exception:  # whatever the service says, it is asked again
+                continue
+        return [None] * len(rows)
+
+    def run(batches):
+        for batch in batches:
+            rows, out = list(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)), []
+            for at in range(0, len(rows), size):
+                out += scored(rows[at : at + size])
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("id"), pa.array(out, pa.float64())], ["query_id", "id", "pair_score"])
+
+    done = keep(pairs.mapInArrow(run, "query_id string, id string, pair_score double"))
+    failed = done.where("pair_score IS NULL").select("query_id").distinct()
+    return done.join(failed, "query_id", "left_anti"), failed
+
+
 def rank(pools: DataFrame, ranking: str, degree: DataFrame, scores: DataFrame | None = None, failed: DataFrame | None = None) -> DataFrame:
     """system, ranking, query_id, id, value, rank for one ranking, over whole pools.
 

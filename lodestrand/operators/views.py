@@ -84,6 +84,10 @@ def drill_pool(pool_metrics: DataFrame, systems) -> DataFrame:
 
 def with_delta(drill: DataFrame, metric: str, plus: str = "graph_1hop", minus: str = "emb_1hop") -> DataFrame:
     """The drill-down with the difference of two systems, null if either is missing."""
+    if metric not in DRILL:
+        raise ValueError(f"no such metric: {metric}")
+    if unknown := {plus, minus} - set(drill.columns):
+        raise ValueError(f"no such system: {sorted(unknown)}")
     return drill.withColumn("delta", F.col(f"{plus}.{metric}") - F.col(f"{minus}.{metric}"))
 
 

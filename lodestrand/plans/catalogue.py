@@ -439,6 +439,47 @@ expect("sample_texts", "decision_id n:i", lambda w: readers.sample_texts(
     f"(SELECT * FROM (SELECT doc_id::VARCHAR AS decision_id, len({_words}) AS n FROM documents WHERE source = 'src3' AND coalesce(text, '') <> '') WHERE n < 300 ORDER BY decision_id LIMIT 20)")
 
 
+@entry("valid_ids_file", "id", "valid")
+def _ids_file(w: World) -> DataFrame:
+    sinks.write_ids(w.valid, path := _scratch(w))
+    return sinks.read_ids(w.spark, path)
+
+
+@entry("graph_files", "src dst type source", "(SELECT e.*, n.source FROM edges e JOIN nodes n ON n.id = e.dst)")
+def _graph_files(w: World) -> DataFrame:
+    sinks.write_graph(w.nodes, w.edges, path := _scratch(w))
+    nodes, edges = sinks.read_graph(w.spark, path)
+    return edges.join(nodes.withColumnRenamed("id", "dst"), "dst")
+
+
+@entry("cached_embeddings", "query_id n:i", "(SELECT doc_id::VARCHAR AS query_id, len(text) AS n FROM documents WHERE doc_id < 60 AND coalesce(text, '') <> '')")
+def _cached(w: World) -> DataFrame:
+    rows = w.table("documents").where("doc_id < 60").select(F.col("doc_id").cast("string").alias("query_id"), "text")
+    embedder = sinks.BatchEmbedder(lambda texts: [[float(len(t))] for t in texts])
+    path = _scratch(w)
+    sinks.cached(rows.where("int(query_id) % 3 = 0"), path, embedder)
+    return sinks.cached(rows, path, embedder).select("query_id", F.get("embedding", 0).alias("n"))
+
+
+expect("chunk_counts", "n_docs:i n_empty:i n_chunks:i n_split:i", lambda w: text.chunk_counts(_docs(w), text.chunks(_docs(w), "id", "text", size=100, overlap=20), "text"),
+    f"""(SELECT count(*) AS n_docs, count_if(n = 0) AS n_empty, sum(CASE WHEN n = 0 THEN 0 WHEN len(w) <= 100 THEN 1 ELSE ceil((len(w) - 100) / 80.0)::INT + 1 END) AS n_chunks, count_if(n > 0 AND len(w) > 100) AS n_split
+       FROM (SELECT coalesce(len(text), 0) AS n, {_words} AS w FROM documents))""")
+expect("payloads", "decision_id chunk_id chunk_index:i num_chunks:i date_ms:i language", lambda w: text.payload(w.table("documents").select(
+        F.col("doc_id").alias("decision_id"), F.lit(None).cast("string").alias("chunk_id"), F.when(F.col("doc_id") % 2 == 0, F.col("doc_id").cast("string")).otherwise("x").alias("chunk_index"),
+        F.lit("").alias("num_chunks"), F.when(F.col("doc_id") % 3 == 0, "2001").otherwise("no").alias("date"), "text", F.lit("").alias("file_number"), F.col("lang").alias("language"), F.lit("").alias("court"))),
+    "(SELECT doc_id::VARCHAR AS decision_id, '' AS chunk_id, CASE WHEN doc_id % 2 = 0 THEN doc_id ELSE 0 END AS chunk_index, 1 AS num_chunks, CASE WHEN doc_id % 3 = 0 THEN 2001 END AS date_ms, coalesce(lang, '') AS language FROM documents)")
+expect("backfill_samples", "decision_id chunk_index:i date_ms:i", lambda w: sinks.backfill_samples(w.points.withColumnRenamed("id", "decision_id")),
+    "(SELECT id AS decision_id, chunk_index, date_ms FROM points WHERE date_ms IS NOT NULL ORDER BY id, chunk_index LIMIT 3)")
+
+
+@entry("pair_scores_by_call", "query_id id pair_score:f",
+    """(SELECT u.query_id, u.id, (len(c.text[1:4000]) % 97)::DOUBLE AS pair_score FROM (SELECT DISTINCT query_id, id FROM pools WHERE system = 'rag') u JOIN corpus c ON c.id = u.id
+       WHERE trim(coalesce(c.text, '')) <> '')""")
+def _by_call(w: World) -> DataFrame:
+    pools = w.found.pools().where("system = 'rag'")
+    return retrieval.pair_scores_by_call(pools, w.query_texts, w.engine.texts, lambda rows: [len(b) % 97 for _, b in rows])[0]
+
+
 @entry("resume_remaining", "query_id", "(SELECT DISTINCT query_id FROM truth WHERE NOT (query_id::INT % 3 <> 0 AND query_id::INT % 5 <> 0))")
 def _resume(w: World) -> DataFrame:
     asked = w.truth.select("query_id").distinct()

@@ -134,6 +134,11 @@ def evaluate(
     return {name: read(name) for name in names}
 
 
+def seconds_each(events: list[dict], n_queries: int) -> list[dict]:
+    """stage, seconds, seconds_each of the stages that a run's events say are done."""
+    return [{"stage": e["stage"], "seconds": e["seconds"], "seconds_each": e["seconds"] / max(1, n_queries)} for e in events if e["type"] == "stage_done"]
+
+
 # History of runs: states are appended, the table of runs is a view.
 
 

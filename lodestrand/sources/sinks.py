@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import point_id
 from .checkpoints import keep
-from .readers import exists
+from .readers import embedding_cache, exists
 from .schemas import PAIR_SCORES
 
 #: Fixed value: dates before 2001, in milliseconds; after a back-fill few should be.
@@ -165,6 +165,38 @@ def backfill_check(points: DataFrame) -> DataFrame:
     )
 
 
+def backfill_samples(points: DataFrame, n: int = 3) -> DataFrame:
+    """The first ``n`` points by id and chunk that have a date, to look at after a back-fill."""
+    return points.where("date_ms IS NOT NULL").orderBy("decision_id", "chunk_index").limit(n)
+
+
+def cached(wanted: DataFrame, path: str, embedder: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """query_id, embedding of ``wanted`` (query_id, text): those that the cache below ``path`` lacks are embedded and appended to it first."""
+    spark = wanted.sparkSession
+    todo = missing(wanted, embedding_cache(spark, path), "query_id") if exists(spark, path) else wanted
+    done = keep(embedder(todo).where("vector IS NOT NULL").select("query_id", F.col("vector").alias("embedding")))
+    done.write.mode("append").json(path)
+    return embedding_cache(spark, path).join(wanted.select("query_id"), "query_id", "left_semi")
+
+
+def write_ids(ids: DataFrame, folder: str) -> None:
+    """Ids, sorted, a line each: what later steps take as the valid ones."""
+    ids.select("id").distinct().orderBy("id").write.mode("overwrite").text(folder)
+
+
+def read_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.text(folder).select(F.col("value").alias("id"))
+
+
+def write_graph(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
+    nodes.write.mode("overwrite").parquet(f"{folder}/nodes")
+    edges.write.mode("overwrite").parquet(f"{folder}/edges")
+
+
+def read_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{folder}/nodes"), spark.read.parquet(f"{folder}/edges")
+
+
 def completed(outputs: dict[str, DataFrame]) -> DataFrame:
     """query_id of the queries that every output has."""
     rows = None

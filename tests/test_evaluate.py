@@ -31,6 +31,8 @@ def test_run_cancel_and_resume(spark, world, tmp_path):
     want = world.accuracy.where("system IN ('rag', 'graph_1hop') AND ranking <> 'cross_encoder' AND k IN (5, 10) AND int(query_id) < 60")
     got = whole["per_query"].join(want.select("system", "ranking", "k", "query_id", F.col("recall").alias("r")), ["system", "ranking", "k", "query_id"])
     assert got.count() == want.count() == whole["per_query"].count() and got.where("abs(recall - r) > 1e-9").count() == 0
+    each = ev.seconds_each(events, 10)
+    assert each[0]["stage"] == "retrieval" and len(each) < len(ev.STAGES) and each[0]["seconds_each"] == pytest.approx(each[0]["seconds"] / 10)
     header = spark.read.option("header", True).csv(f"{folder}/summary.csv")
     assert header.count() == 8 and "mean_recall" in header.columns
 

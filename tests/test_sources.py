@@ -4,6 +4,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lodestrand.operators import retrieval, views
 from lodestrand.sources import readers, schemas, sinks
 from lodestrand.streaming import progress
 
@@ -94,6 +95,22 @@ def test_batches_of_texts(spark, tmp_path):
     assert spark.read.parquet(f"{path}/shards").count() == 4
 
 
+def test_pair_scores_by_call(spark):
+    """A batch that is refused every time costs its queries their scores."""
+    pools = spark.createDataFrame([("s", q, i) for q in ("p", "q", "bad") for i in ("a", "b", "none")], "system string, query_id string, id string")
+    asked = spark.createDataFrame([("p", "pp"), ("q", "qqq"), ("bad", "!")], "query_id string, query_text string")
+    texts = spark.createDataFrame([("a", "x"), ("b", "yy"), ("none", " ")], "id string, text string")
+
+    def call(rows):
+        if any(a == "!" for a, _ in rows):
+            raise ConnectionError
+        return [len(a) + len(b) for a, b in rows]
+
+    good, failed = retrieval.pair_scores_by_call(pools, asked, texts, call, size=1, attempts=2)
+    assert {tuple(r) for r in good.collect()} == {("p", "a", 3.0), ("p", "b", 4.0), ("q", "a", 4.0), ("q", "b", 5.0)}
+    assert [r.query_id for r in failed.collect()] == ["bad"]
+
+
 def test_upsert_is_stable(spark):
     new = spark.createDataFrame([("a", i) for i in range(20)], "point_id string, n int")
     assert len({sinks.upsert(new.repartition(k), None).first().n for k in (1, 2, 5)}) == 1
@@ -270,3 +287,13 @@ def test_event_log_and_retry():
     assert progress.with_retry(call, sleep=waits.append) == "ok" and waits == [1, 2]
     with pytest.raises(ValueError, match="no"):
         progress.with_retry(lambda: (_ for _ in ()).throw(ValueError("no")), sleep=waits.append)
+
+
+def test_names_are_checked(spark):
+    drill = spark.createDataFrame([(1, (0.5,), (0.25,))], "query_id int, graph_1hop struct<recall: double>, emb_1hop struct<recall: double>")
+    assert views.with_delta(drill, "recall").first().delta == 0.25
+    for bad in ({"metric": "no"}, {"metric": "recall", "plus": "no"}):
+        with pytest.raises(ValueError, match="no such"):
+            views.with_delta(drill, **bad)
+    with pytest.raises(ValueError, match="cut-off"):
+        views.drill_ranked(drill, "cosine", 0, ("rag",))
