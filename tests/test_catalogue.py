@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from lodestrand.operators import vectors
 from lodestrand.plans import catalogue
 from lodestrand.plans.world import World
 
@@ -47,6 +48,25 @@ def test_against_sql(spark, database, registry, name):
     assert got == sorted((tuple(plain(r[i]) for i in at) for r in rel.fetchall()), key=str)
 
 
+#: Queries whose vector search has more than a block of nodes at 0.1 GB.
+BY_BLOCKS = [
+    "candidate_pools",
+]
+
+
+@pytest.fixture(scope="module")
+def registry_by_blocks():
+    """Queries whose searches all join blocks of queries with blocks of points, as they do over many queries."""
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setitem(vectors.nearest.__kwdefaults__, "block", 50)
+        yield catalogue.queries()
+
+
+@pytest.mark.parametrize("name", BY_BLOCKS)
+def test_against_sql_by_blocks(spark, database, registry_by_blocks, name):
+    test_against_sql(spark, database, registry_by_blocks, name)
+
+
 @pytest.fixture(scope="module")
 def world(spark):
     return World(spark, SF)
