@@ -1,4 +1,5 @@
 import json
+import time
 
 import pyarrow as pa
 import pytest
@@ -297,3 +298,19 @@ def test_names_are_checked(spark):
             views.with_delta(drill, **bad)
     with pytest.raises(ValueError, match="cut-off"):
         views.drill_ranked(drill, "cosine", 0, ("rag",))
+
+
+def test_keeping_removes_the_shuffles_that_led_to_it(spark):
+    from lodestrand.sources.checkpoints import keep
+
+    blocks = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    shuffles = lambda: {int(x.split("_")[1]) for x in blocks.getAllBlocks().mkString(" ").split() if x.startswith("shuffle_")}
+    before, df = shuffles(), spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    setting = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    kept = keep(df)
+    end = time.time() + 20
+    while shuffles() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not shuffles() - before
+    assert sorted(kept.collect()) == sorted(df.collect())  # what led to it can still be read, by working it out again
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == setting
