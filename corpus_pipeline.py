@@ -11,18 +11,35 @@ are alike in all columns are one row after the near-duplicate stage.
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestrand.llm import decontamination, mixing, near_texts, quality, secrets
-from lodestrand.llm.common import shared_folder, table
+from lodestrand.llm.common import release, shared_folder, table
 
 #: No SQL: two stages are learned models.
 ORACLE_SQL = None
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+
+def lean(stage: Stage) -> Stage:
+    """``stage``, begun and ended with a driver that has let go of the steps before."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark)
+        out = stage(spark, docs, sf_dir)
+        release(spark)
+        return out
+
+    return run
+
+
+@lean
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the quality classifier, fitted on the labelled rows among these, scores 0.7 or more.
 
@@ -31,6 +48,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+@lean
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
 
@@ -39,22 +57,25 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return near_texts.keep_one_similar(docs)
 
 
+@lean
 def drop_benchmark_overlaps(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that overlap no benchmark item; null and empty texts overlap none."""
     return decontamination.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+@lean
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, with a mark in place of each secret; null and empty texts stay as they are."""
     return secrets.redact_rows(docs, secrets.train(docs))
 
 
+@lean
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows as often as the mix takes them, with ``copy_number``; null sources are one source, null texts have size 0."""
     return mixing.emit(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("quality", keep_quality),
     ("near_duplicates", drop_near_duplicates),
     ("decontamination", drop_benchmark_overlaps),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -33,6 +34,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Give back what the driver no longer uses: plans of steps that have run, their shuffles and broadcasts.
+
+    The JVM collects garbage only when its heap is full, and by then has taken all of it from the machine.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
     """``doc_id``, the UTF-8 bytes of the text as ``body`` (null: empty) and ``more``; nothing else is read."""
     body = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))

@@ -293,9 +293,11 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
         dealt = common.block_pairs(rest, "node").select("token", "low", "high", "own", "n", "node", "root", "sketch")
         return dealt.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high", "n", "node").mapInArrow(_unlike_groups(nearest), "a long, b long").distinct()
 
+    common.release(docs.sparkSession)  # of some twenty steps, each with a plan of its own
     tested = common.cut(allowed(proposed))
     roots = common.cut(simhash.components(linked(tested)))
     for nearest in (True, False):
+        common.release(docs.sparkSession)
         pairs = common.cut(across(roots, nearest).join(tested, ["a", "b"], "left_anti"))
         roots = common.cut(simhash.components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(linked(pairs))))
         tested = tested.unionByName(pairs)

@@ -118,3 +118,11 @@ def test_empty_and_long_texts(spark, world, tmp_path):
     assert safe.columns == odd.columns and safe.count() == 6 and safe.where("text IS NULL").count() == 1
     mixed = corpus_pipeline.mix_sources(spark, odd, path)
     assert mixed.columns == [*odd.columns, "copy_number"] and mixed.count() > 0
+
+
+def test_stages_let_go_of_what_the_driver_held_before(spark):
+    """A stage begins and ends by collecting the JVM's garbage: before a full heap, which is all that it would wait for."""
+    held = spark.sparkContext._jvm.java.lang.ref.WeakReference(spark.sparkContext._jvm.java.lang.Object())
+    docs = spark.createDataFrame([(1, "en", "a", "some words", 10)], "doc_id long, lang string, source string, text string, n_chars int")
+    assert dict(corpus_pipeline.STAGES)["mixing"](spark, docs, "").count() == 1
+    assert held.get() is None
