@@ -51,6 +51,7 @@ def test_against_sql(spark, database, registry, name):
 #: Queries whose vector search has more than a block of nodes at 0.1 GB.
 BY_BLOCKS = [
     "candidate_pools",
+    "comparison_table",
 ]
 
 

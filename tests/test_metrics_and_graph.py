@@ -228,3 +228,13 @@ def test_smart_seeds_look_further_for_dated_queries(spark):
     asked = spark.createDataFrame([("dated", [1.0, 0.0], 1000, None), ("undated", [1.0, 0.0], None, None)], "query_id string, vector array<float>, before long, skip string")
     got = vectors.smart_seeds(asked, points, degree, 2, overfetch=24, undated=8).where("seed_rank = 1").collect()
     assert {r.query_id: r.id for r in got} == {"dated": "p30", "undated": "p12"}
+
+
+def test_distances_in_parts_are_those_in_one(spark):
+    edges = spark.createDataFrame([(str(a), str((a * a + k) % 40), "t") for a in range(40) for k in range(3)], "src string, dst string, type string")
+    pairs = spark.range(40).selectExpr("cast(id as string) AS id").crossJoin(spark.range(42).selectExpr("cast(id as string) AS target"))
+    for directed in (True, False):
+        held = []
+        got = graph.distances_between(edges, pairs, directed=directed, hold=lambda df: held.append(1) or df, middle_rows=500)
+        assert sorted(got.collect()) == sorted(graph.distances_between(edges, pairs, directed=directed).collect())
+        assert len(held) > 4
