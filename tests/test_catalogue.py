@@ -52,6 +52,7 @@ def test_against_sql(spark, database, registry, name):
 BY_BLOCKS = [
     "candidate_pools",
     "comparison_table",
+    "configurations",
 ]
 
 
