@@ -53,6 +53,7 @@ BY_BLOCKS = [
     "candidate_pools",
     "comparison_table",
     "configurations",
+    "csv_round_trip",
 ]
 
 
