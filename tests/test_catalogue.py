@@ -54,6 +54,7 @@ BY_BLOCKS = [
     "comparison_table",
     "configurations",
     "csv_round_trip",
+    "dcg_at_k",
 ]
 
 
