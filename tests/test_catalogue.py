@@ -55,6 +55,7 @@ BY_BLOCKS = [
     "configurations",
     "csv_round_trip",
     "dcg_at_k",
+    "drilldown_delta_sorted",
 ]
 
 
