@@ -56,6 +56,7 @@ BY_BLOCKS = [
     "csv_round_trip",
     "dcg_at_k",
     "drilldown_delta_sorted",
+    "derived_smaller_k",
 ]
 
 
