@@ -57,6 +57,7 @@ BY_BLOCKS = [
     "dcg_at_k",
     "drilldown_delta_sorted",
     "derived_smaller_k",
+    "drilldown_language",
 ]
 
 
