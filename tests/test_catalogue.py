@@ -58,6 +58,7 @@ BY_BLOCKS = [
     "drilldown_delta_sorted",
     "derived_smaller_k",
     "drilldown_language",
+    "drilldown_filtered",
 ]
 
 
