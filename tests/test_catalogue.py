@@ -59,6 +59,7 @@ BY_BLOCKS = [
     "derived_smaller_k",
     "drilldown_language",
     "drilldown_filtered",
+    "drilldown_page",
 ]
 
 
