@@ -60,6 +60,7 @@ BY_BLOCKS = [
     "drilldown_language",
     "drilldown_filtered",
     "drilldown_page",
+    "emb_1hop_pool",
 ]
 
 
