@@ -61,6 +61,7 @@ BY_BLOCKS = [
     "drilldown_filtered",
     "drilldown_page",
     "emb_1hop_pool",
+    "drilldown_pool",
 ]
 
 
