@@ -62,6 +62,7 @@ BY_BLOCKS = [
     "drilldown_page",
     "emb_1hop_pool",
     "drilldown_pool",
+    "drilldown_ranked",
 ]
 
 
