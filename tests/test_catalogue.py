@@ -63,6 +63,7 @@ BY_BLOCKS = [
     "emb_1hop_pool",
     "drilldown_pool",
     "drilldown_ranked",
+    "emb_1hop_raw",
 ]
 
 
