@@ -64,6 +64,7 @@ BY_BLOCKS = [
     "drilldown_pool",
     "drilldown_ranked",
     "emb_1hop_raw",
+    "emb_1hop_timely",
 ]
 
 
