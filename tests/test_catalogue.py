@@ -65,6 +65,7 @@ BY_BLOCKS = [
     "drilldown_ranked",
     "emb_1hop_raw",
     "emb_1hop_timely",
+    "emb_2hop_pool",
 ]
 
 
