@@ -66,6 +66,7 @@ BY_BLOCKS = [
     "emb_1hop_raw",
     "emb_1hop_timely",
     "emb_2hop_pool",
+    "emb_2hop_timely",
 ]
 
 
