@@ -67,6 +67,7 @@ BY_BLOCKS = [
     "emb_1hop_timely",
     "emb_2hop_pool",
     "emb_2hop_timely",
+    "emb_2hop_raw",
 ]
 
 
