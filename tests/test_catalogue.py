@@ -68,6 +68,7 @@ BY_BLOCKS = [
     "emb_2hop_pool",
     "emb_2hop_timely",
     "emb_2hop_raw",
+    "f1_at_k",
 ]
 
 
