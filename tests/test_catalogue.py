@@ -69,6 +69,7 @@ BY_BLOCKS = [
     "emb_2hop_timely",
     "emb_2hop_raw",
     "f1_at_k",
+    "graph_nearness_directed",
 ]
 
 
