@@ -70,6 +70,7 @@ BY_BLOCKS = [
     "emb_2hop_raw",
     "f1_at_k",
     "graph_nearness_directed",
+    "heatmap_all_languages",
 ]
 
 
