@@ -71,6 +71,7 @@ BY_BLOCKS = [
     "f1_at_k",
     "graph_nearness_directed",
     "heatmap_all_languages",
+    "gt_rank_table",
 ]
 
 
