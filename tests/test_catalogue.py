@@ -72,6 +72,7 @@ BY_BLOCKS = [
     "graph_nearness_directed",
     "heatmap_all_languages",
     "gt_rank_table",
+    "heatmap_shades",
 ]
 
 
