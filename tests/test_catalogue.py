@@ -73,6 +73,7 @@ BY_BLOCKS = [
     "heatmap_all_languages",
     "gt_rank_table",
     "heatmap_shades",
+    "hit_rate",
 ]
 
 
