@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from lodestrand.operators import vectors
+from lodestrand.operators import retrieval, vectors
 from lodestrand.plans import catalogue
 from lodestrand.plans.world import World
 
@@ -152,3 +152,10 @@ def test_entry_without_the_optional_parts(tmp_path):
     for _ in range(2):
         subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path / "copy", check=True, timeout=120, env={**os.environ, "PYTHONPATH": ""})
         (tmp_path / "copy" / "corpus_pipeline.py").unlink(missing_ok=True)
+
+
+def test_pair_scores_in_parts_are_those_in_one(world):
+    pools, texts = world.found.pools().where("system = 'rag'"), world.engine.texts
+    one, parts = (retrieval.pair_scores(pools, world.query_texts, texts, at_once=n) for n in (10**9, 1000))
+    assert len(parts.inputFiles()) > len(one.inputFiles())
+    assert sorted(parts.collect()) == sorted(one.collect()) and one.count()
