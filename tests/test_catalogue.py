@@ -159,3 +159,24 @@ def test_pair_scores_in_parts_are_those_in_one(world):
     one, parts = (retrieval.pair_scores(pools, world.query_texts, texts, at_once=n) for n in (10**9, 1000))
     assert len(parts.inputFiles()) > len(one.inputFiles())
     assert sorted(parts.collect()) == sorted(one.collect()) and one.count()
+
+
+def test_pair_scores_meet_once_a_pair_by_blocks_of_queries(spark, world, monkeypatch):
+    """What two texts share is worked out once a pair, not once for each place of a score that names it."""
+    counted = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def shared(a, b):
+        counted.add(1)
+        return len(set(a) & set(b))
+
+    class Counting(vectors.Overlap):
+        def meet(self, a, b):
+            return shared(a, b)
+
+    pools, texts = world.found.pools().where("system = 'rag'"), world.engine.texts
+    one = retrieval.pair_scores(pools, world.query_texts, texts)
+    monkeypatch.setattr(vectors, "BLOCK", 50)
+    many = retrieval.pair_scores(pools, world.query_texts, texts, Counting())
+    assert counted.value == many.count() and len(many.inputFiles()) > len(one.inputFiles())
+    assert sorted(many.collect()) == sorted(one.collect())
