@@ -3,8 +3,7 @@
 import random
 
 import pytest
-
-from lodestrand.operators import overlaps
+from lodestrand.operators import graph, overlaps
 
 
 @pytest.mark.parametrize(("kind", "blocks"), [("long", (7, 5)), ("string", (7, 5)), ("long", (512, 16_384))])
@@ -20,3 +19,16 @@ def test_shared_members_by_blocks(spark, monkeypatch, kind, blocks):
     )
     want = [(a, b, len(left[a]), len(right[b]), len(set(left[a]) & set(right[b]))) for a, b in pairs if a in left and b in right]
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("directed", [True, False])
+@pytest.mark.parametrize("most", [0, 4, 1024])
+def test_distances_by_sets(spark, directed, most):
+    """With hubs on either side, loops and ids that have no edges; of large sets none, some and all."""
+    r = random.Random(4)
+    ids = [str(i) for i in range(25)]
+    made = [("0", x, "t") for x in ids[1:20]] + [(x, "1", "t") for x in ids[2:22]] + [(r.choice(ids), r.choice(ids), "t") for _ in range(25)] + [("3", "3", "t")]
+    pairs = spark.createDataFrame([(a, b) for a in [*ids, "gone"] for b in [*ids[:12], "none"]], "id string, target string")
+    edges = spark.createDataFrame(made + made[:5], "src string, dst string, type string")
+    got = graph.distances_by_sets(edges, pairs, lambda df: df, directed=directed, most=most)
+    assert sorted(got.collect()) == sorted(graph.distances_between(edges, pairs, directed=directed).collect())
