@@ -3,7 +3,13 @@
 import random
 
 import pytest
-from lodestrand.operators import graph, overlaps
+from pyspark.sql import functions as F
+
+from lodestrand.operators import graph, metrics, overlaps
+from lodestrand.plans import catalogue
+from lodestrand.plans.world import World
+
+SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.parametrize(("kind", "blocks"), [("long", (7, 5)), ("string", (7, 5)), ("long", (512, 16_384))])
@@ -32,3 +38,27 @@ def test_distances_by_sets(spark, directed, most):
     edges = spark.createDataFrame(made + made[:5], "src string, dst string, type string")
     got = graph.distances_by_sets(edges, pairs, lambda df: df, directed=directed, most=most)
     assert sorted(got.collect()) == sorted(graph.distances_between(edges, pairs, directed=directed).collect())
+
+
+@pytest.mark.parametrize("name", ["drilldown_language", "drilldown_ranked", "drilldown_filtered", "drilldown_page", "drilldown_delta_sorted", "heatmap_all_languages", "graph_nearness_directed"])
+def test_queries_ask_for_no_distances_that_they_do_not_return(spark, monkeypatch, name):
+    asked = []
+
+    def noted(edges, pairs, hold, *, directed=True, real=graph.distances_by_sets):
+        asked.append(directed)
+        return real(edges, pairs, hold, directed=directed)
+
+    monkeypatch.setattr(graph, "distances_by_sets", noted)
+    monkeypatch.setattr(metrics, "per_query", None)
+    if name == "drilldown_language":
+        monkeypatch.setattr(World, "scores", None)
+    assert catalogue.queries()[name](spark, SF).count()
+    assert asked == ([True] if name == "graph_nearness_directed" else [])
+
+
+def test_accuracy_of_one_cut_off_is_that_of_all(spark):
+    one, all_ = World(spark, SF), World(spark, SF)
+    got = one.accuracy_at("indegree", 5)
+    assert "results" not in one.__dict__ and "scores" not in one.__dict__
+    want = all_.accuracy.where("ranking = 'indegree' AND k = 5")
+    assert sorted(got.collect()) == sorted(want.collect()) == sorted(all_.accuracy_at("indegree", 5).collect()) and want.where(F.col("n_hits") > 0).count()
