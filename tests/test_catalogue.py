@@ -180,3 +180,29 @@ def test_pair_scores_meet_once_a_pair_by_blocks_of_queries(spark, world, monkeyp
     many = retrieval.pair_scores(pools, world.query_texts, texts, Counting())
     assert counted.value == many.count() and len(many.inputFiles()) > len(one.inputFiles())
     assert sorted(many.collect()) == sorted(one.collect())
+
+
+@pytest.mark.parametrize("block", [1024, 40])
+def test_second_hop_leaves_nothing_of_the_first_out(world, block):
+    """Each timely id of the first hop is in the second and starts from there, beyond the frontier and the cap of pools too."""
+    found, s = world.found, world.settings
+    first, seeds, dates = {}, {}, {r.id: r.date_ms for r in world.dates.collect()}
+    for rows, into in ((found.stages("emb_1hop")["post_temporal"], first), (found.seeds, seeds)):
+        for r in rows.collect():
+            into.setdefault(r.query_id, []).append(r.id)
+    assert max(map(len, first.values())) > s.cap_1hop > s.frontier
+    near = {}
+    for r in vectors.nearest(world.rulings.where("chunk_index = 0").selectExpr("id AS query_id", "vector", "400 AS depth", "CAST(NULL AS long) AS before", "CAST(NULL AS string) AS skip"), world.rulings).collect():
+        near.setdefault(r.query_id, []).append((-r.score, r.id, r.chunk_index))
+    near = {node: sorted(rows) for node, rows in near.items()}
+    want = {}
+    for q, hop in first.items():
+        for node in hop:
+            want[q, node] = 1.0
+            for minus, id_, _ in near[node][: 3 * max(10, s.cap_2hop // len(hop))]:
+                if id_ != q and id_ not in seeds[q] and (dates.get(id_) is None or dates.get(q) is None or dates[id_] < dates[q]):
+                    want[q, id_] = max(want.get((q, id_), -2.0), -minus)
+    got = vectors.Expansion(world.rulings, world.dates).two_hop_whole(found.seeds, found.stages("emb_1hop")["post_temporal"], found.dates, s.cap_2hop, block=block).collect()
+    assert {(r.query_id, r.id): r.score for r in got} == want and len(got) == len(want)
+    capped = {(r.query_id, r.id) for r in found.stages("emb_2hop")["post_temporal"].collect()}
+    assert capped < want.keys()
