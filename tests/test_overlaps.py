@@ -110,3 +110,17 @@ def test_search_in_single_precision_loses_nothing(depth):
         score = np.round(unit[seen] @ vectors._unit(asked)[i], 9)
         least = sorted(score)[-depth:][0] if len(seen) else 2
         assert sorted(zip(p[q == i].tolist(), s[q == i].tolist())) == [(j, x) for j, x in zip(seen, score.tolist()) if x >= least]
+
+
+def test_a_drill_down_makes_the_systems_that_it_shows(spark, monkeypatch):
+    want = sorted(map(str, catalogue.ENTRIES["drilldown_ranked"].query(World(spark, SF)).collect()))
+    for owner, name in ((vectors, "smart_seeds"), (vectors, "Expansion"), (graph.Expansion, "two_hop"), (graph.Expansion, "two_hop_capped")):
+        monkeypatch.setattr(owner, name, None)
+    assert sorted(map(str, catalogue.ENTRIES["drilldown_ranked"].query(World(spark, SF)).collect())) == want and want
+
+
+def test_accuracy_of_some_systems_is_that_of_all(spark):
+    one, all_ = World(spark, SF), World(spark, SF)
+    got = one.accuracy_at("cross_encoder", 10, ("rag", "graph_1hop")).collect()
+    want = all_.accuracy.where("ranking = 'cross_encoder' AND k = 10 AND system IN ('rag', 'graph_1hop')").collect()
+    assert sorted(got) == sorted(want) == sorted(all_.accuracy_at("cross_encoder", 10, ("rag", "graph_1hop")).collect()) and want
